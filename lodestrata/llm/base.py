@@ -78,3 +78,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased, as UTF-8; bytes.lower and bytes.split know ASCII only."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
