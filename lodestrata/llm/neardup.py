@@ -29,7 +29,7 @@ REGISTERS = 128
 MANTISSA = 10
 ROWS = 4  # registers a band
 BANDS = REGISTERS // ROWS
-BLOCK = 1024  # classes of one bucket that meet at a time
+BLOCK = 512  # classes of one bucket that meet at a time
 MARGIN = 0.19  # below the threshold; a standard deviation of the estimate is 0.035 there
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def _sketches(size: int):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, id) of every band of every sketch."""
+    """(band key, place of the band, id) of every band of every sketch."""
     salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         ids = batch.column("rep").to_numpy()
@@ -121,13 +121,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             key = np.ascontiguousarray(regs).view(np.uint64)[:, :, 0]  # ROWS x 16 bits
             key = mix64(mix64(key) ^ salt)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["band", "rep"])
+        place = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(place), pa.array(np.repeat(ids, BANDS))], names=["band", "place", "rep"])
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column("text")]
+            sets = [np.sort(shingle_set(t.as_py(), size).view(np.int64)) for t in batch.column("text")]
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=offsets[1:])
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
@@ -150,6 +151,11 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+def _full_sets(plain: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of the documents in wanted. Rows that repeat an id with other texts give a row each."""
+    return plain.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(_sets(size), "rep long, shingles array<long>")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. Kept as a table."""
     regs = reps.select("rep", "regs", "n_shingles")
@@ -161,9 +167,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, pe
     )
     near = keep(near, "near")
     wanted = keep(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "wanted")
-    # the text of a class is that of its smallest id; rows that repeat an id may differ in text, and the class has the one sketched as rep
-    texts = plain.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = keep(texts.mapInArrow(_sets(size), "rep long, shingles array<long>"), "sets")
+    sets = keep(_full_sets(plain, wanted, size), "sets")
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}"))
     meet = F.size(F.array_intersect("sa", "sb"))
     links = near.join(one("a"), "a").join(one("b"), "b").withColumn("i", meet).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
@@ -197,23 +201,38 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def _across(threshold: float):
-    """In one pair of blocks of one bucket: pairs of different components whose sketches agree enough."""
+def _across(percent: int):
+    """In one pair of blocks of one bucket: links between members of different components, verified on full sets.
+
+    A pair is looked at in the first band that it shares only, so once in all buckets.
+    """
+    least = percent / 100 - MARGIN
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left, right = (group[group.side == s].reset_index(drop=True) for s in (0, 1))
         if not len(right):
             right = left
+        place = int(group.place.iloc[0])
         x, y = (np.frombuffer(b"".join(g.regs), np.uint16).reshape(len(g), -1) for g in (left, right))
-        found_a, found_b = [], []
+        sizes, parts, reps, sets = right.shingles.map(len).to_numpy(), right.component.to_numpy(), right.rep.to_numpy(), right.shingles
+        found = []
         for s in range(len(left)):
-            equal = (x[s] == y).sum(1)
-            other = (right.component.to_numpy() != left.component[s]) & (estimate(equal) >= threshold)
-            b = right.rep.to_numpy()[other]
-            found_a.append(np.full(len(b), left.rep[s]))
-            found_b.append(b)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            own = left.shingles[s]
+            near = (parts != left.component[s]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+            if right is left:
+                near[: s + 1] = False
+            at = np.flatnonzero(near)
+            equal = x[s] == y[at]
+            ok = estimate(equal.sum(1)) >= least
+            at, equal = at[ok], equal[ok]
+            at = at[equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == place]
+            if len(at):
+                other = np.concatenate([sets[i] for i in at])
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                meet = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+                found += [(left.rep[s], reps[i]) for i in at[100 * meet >= percent * (len(own) + sizes[at] - meet)]]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     return run
 
@@ -229,7 +248,7 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
     owners = rows.where("f1 IS NOT NULL").select(F.col("doc_id").alias("rep"), "f1", "f2", "n_shingles", "regs")
     reps = keep(owners.join(classes, ["rep", "f1", "f2"], "left_semi").dropDuplicates(["rep", "f1", "f2"]), "reps")
 
-    bands = keep(reps.select("rep", "regs").mapInArrow(_bands, "band long, rep long"), "bands")
+    bands = keep(reps.select("rep", "regs").mapInArrow(_bands, "band long, place int, rep long"), "bands")
     buckets = keep(bands.groupBy("band").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star < last").select("band", "star"), "buckets")
     shared = keep(bands.join(buckets, "band"), "shared")
     drop(bands)
@@ -237,23 +256,24 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
     links = _verified(stars, reps, plain, size, percent)
     found = components(links)
 
-    # buckets that still hold several components, one row for each member
-    labelled = shared.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    # buckets that still hold several components
+    labelled = shared.join(found, "rep", "left").select("band", "place", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = keep(labelled, "labelled")
     open_ = keep(labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "n"), "open")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     members = labelled.join(open_, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.join(reps.select("rep", "regs"), "rep").select("band", "rep", "component", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("band", "rep", "component", "regs", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = members.groupBy("band", "x", "y").applyInPandas(_across(percent / 100 - MARGIN), "a long, b long").distinct()
-    late = _verified(more, reps, plain, size, percent)
+    members = keep(members, "members")
+    sets = keep(_full_sets(plain, members.select("rep").distinct(), size).join(reps.select("rep", "regs"), "rep"), "sets")
+    members = members.join(sets, "rep").select("band", "place", "rep", "component", "regs", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("band", "place", "rep", "component", "regs", "shingles", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    late = keep(members.groupBy("band", "x", "y").applyInPandas(_across(percent), "a long, b long").distinct(), "late")
     if not late.isEmpty():
         again = components(links.unionByName(late))
         drop(found)
         found = again
     named = classes.join(found, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     named = keep(named, "named")
-    for d in (classes, reps, buckets, shared, labelled, open_, links, late, found):
+    for d in (classes, reps, buckets, shared, labelled, open_, sets, links, late, found):
         drop(d)
     return rows.select("doc_id", "n_shingles", "f1", "f2"), named
 
@@ -268,7 +288,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d)
-SELECT doc_id, len(g) AS n_shingles FROM s
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT u, v FROM p WHERE 100 * i >= 80 * (nu + nv - i)),
+r AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.u
 """
