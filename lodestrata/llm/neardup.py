@@ -125,6 +125,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(place), pa.array(np.repeat(ids, BANDS))], names=["band", "place", "rep"])
 
 
+def _short_sets(size: int):
+    """Sets as sorted 3-byte hashes, repeats kept: what two of them share is never fewer than what the full sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(shingle_set(t.as_py(), size) >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "short"])
+
+    return run
+
+
+def _long(short: bytes) -> np.ndarray:
+    b = np.frombuffer(short, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return b[:, 0] | b[:, 1] << np.uint32(8) | b[:, 2] << np.uint32(16)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +167,9 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _full_sets(plain: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the documents in wanted. Rows that repeat an id with other texts give a row each."""
-    return plain.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(_sets(size), "rep long, shingles array<long>")
+def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the documents in wanted. Rows that repeat an id with other texts give a row each."""
+    return plain.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, percent: int) -> DataFrame:
@@ -167,7 +183,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, pe
     )
     near = keep(near, "near")
     wanted = keep(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "wanted")
-    sets = keep(_full_sets(plain, wanted, size), "sets")
+    sets = keep(_texts(plain, wanted).mapInArrow(_sets(size), "rep long, shingles array<long>"), "sets")
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}"))
     meet = F.size(F.array_intersect("sa", "sb"))
     links = near.join(one("a"), "a").join(one("b"), "b").withColumn("i", meet).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
@@ -202,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(percent: int):
-    """In one pair of blocks of one bucket: links between members of different components, verified on full sets.
+    """In one pair of blocks of one bucket: pairs of different components that may be links by their short sets, which miss none.
 
     A pair is looked at in the first band that it shares only, so once in all buckets.
     """
@@ -214,10 +230,11 @@ def _across(percent: int):
             right = left
         place = int(group.place.iloc[0])
         x, y = (np.frombuffer(b"".join(g.regs), np.uint16).reshape(len(g), -1) for g in (left, right))
-        sizes, parts, reps, sets = right.shingles.map(len).to_numpy(), right.component.to_numpy(), right.rep.to_numpy(), right.shingles
+        parts, reps, sets = right.component.to_numpy(), right.rep.to_numpy(), [_long(b) for b in right.short]
+        sizes = np.array([len(b) for b in sets])
         found = []
         for s in range(len(left)):
-            own = left.shingles[s]
+            own = _long(left.short[s])
             near = (parts != left.component[s]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
             if right is left:
                 near[: s + 1] = False
@@ -229,7 +246,7 @@ def _across(percent: int):
             if len(at):
                 other = np.concatenate([sets[i] for i in at])
                 hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-                meet = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+                meet = np.minimum(np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]])), len(own))
                 found += [(left.rep[s], reps[i]) for i in at[100 * meet >= percent * (len(own) + sizes[at] - meet)]]
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -263,10 +280,11 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     members = labelled.join(open_, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = keep(members, "members")
-    sets = keep(_full_sets(plain, members.select("rep").distinct(), size).join(reps.select("rep", "regs"), "rep"), "sets")
-    members = members.join(sets, "rep").select("band", "place", "rep", "component", "regs", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("band", "place", "rep", "component", "regs", "shingles", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    late = keep(members.groupBy("band", "x", "y").applyInPandas(_across(percent), "a long, b long").distinct(), "late")
+    sets = keep(_texts(plain, members.select("rep").distinct()).mapInArrow(_short_sets(size), "rep long, short binary").join(reps.select("rep", "regs"), "rep"), "sets")
+    members = members.join(sets, "rep").select("band", "place", "rep", "component", "regs", "short", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("band", "place", "rep", "component", "regs", "short", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    more = members.groupBy("band", "x", "y").applyInPandas(_across(percent), "a long, b long").distinct()
+    late = _verified(keep(more, "more"), reps, plain, size, percent)
     if not late.isEmpty():
         again = components(links.unionByName(late))
         drop(found)
