@@ -32,6 +32,8 @@ BANDS = REGISTERS // ROWS
 BLOCK = 512  # classes of one bucket that meet at a time
 MARGIN = 0.19  # below the threshold; a standard deviation of the estimate is 0.035 there
 
+SLOTS = 1 << 25  # bits of the filter over wanted ids: 4 MB
+
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,32 +127,44 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(place), pa.array(np.repeat(ids, BANDS))], names=["band", "place", "rep"])
 
 
-def _short_sets(size: int):
-    """Sets as sorted 3-byte hashes, repeats kept: what two of them share is never fewer than what the full sets share."""
+def _long(short: bytes) -> np.ndarray:
+    b = np.frombuffer(short, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return b[:, 0] | b[:, 1] << np.uint32(8) | b[:, 2] << np.uint32(16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.sort(shingle_set(t.as_py(), size) >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "short"])
 
-    return run
+def _short(hashes: np.ndarray) -> bytes:
+    """A set as sorted 3-byte hashes, repeats kept: what two of them share is never fewer than what the full sets share."""
+    return np.sort(hashes >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
-def _long(short: bytes) -> np.ndarray:
-    b = np.frombuffer(short, np.uint8).reshape(-1, 3).astype(np.uint32)
-    return b[:, 0] | b[:, 1] << np.uint32(8) | b[:, 2] << np.uint32(16)
+def _sets_of(plain: DataFrame, wanted: DataFrame, size: int, short: bool) -> DataFrame:
+    """(rep, shingles) of the documents in wanted, full or short. Rows that repeat an id with other texts give a row each.
 
+    A bitmap of SLOTS bits over hashes of the wanted ids goes to where texts are read, so few others' sets are shuffled; however
+    full the bitmap gets, the join behind it keeps those that are wanted.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bits = wanted.select(slot("rep").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("bits")).toPandas()
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    bitmap[bits.word.to_numpy(np.int64)] = bits.bits.to_numpy(np.int64)
+    shared = plain.sparkSession.sparkContext.broadcast(bitmap)  # SLOTS / 8 bytes, whatever the input
 
-def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.sort(shingle_set(t.as_py(), size).view(np.int64)) for t in batch.column("text")]
+            s = batch.column("slot").to_numpy()
+            at = np.flatnonzero(shared.value[s >> 6] >> (s & 63) & 1)
+            part = batch.take(pa.array(at))
+            sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
+            if short:
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_short(x) for x in sets], pa.binary())], names=["rep", "short"])
+                continue
             offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=offsets[1:])
-            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rep", "shingles"])
+            np.cumsum([len(x) for x in sets], out=offsets[1:])
+            values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rep", "shingles"])
 
-    return run
+    known = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), slot("doc_id").alias("slot"), "text")
+    return known.mapInArrow(run, "rep long, short binary" if short else "rep long, shingles array<long>").join(wanted, "rep", "left_semi")
 
 
 @F.pandas_udf("double")
@@ -161,17 +175,6 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(estimate((x == y).sum(1)))
 
 
-@F.pandas_udf("long")
-def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sizes of intersections of sorted distinct arrays."""
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
-def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, text) of the documents in wanted. Rows that repeat an id with other texts give a row each."""
-    return plain.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-
-
 def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. Kept as a table."""
     regs = reps.select("rep", "regs", "n_shingles")
@@ -183,7 +186,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, plain: DataFrame, size: int, pe
     )
     near = keep(near, "near")
     wanted = keep(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "wanted")
-    sets = keep(_texts(plain, wanted).mapInArrow(_sets(size), "rep long, shingles array<long>"), "sets")
+    sets = keep(_sets_of(plain, wanted, size, False), "sets")
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}"))
     meet = F.size(F.array_intersect("sa", "sb"))
     links = near.join(one("a"), "a").join(one("b"), "b").withColumn("i", meet).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
@@ -280,7 +283,8 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     members = labelled.join(open_, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = keep(members, "members")
-    sets = keep(_texts(plain, members.select("rep").distinct()).mapInArrow(_short_sets(size), "rep long, short binary").join(reps.select("rep", "regs"), "rep"), "sets")
+    wanted = keep(members.select("rep").distinct(), "wanted")
+    sets = keep(_sets_of(plain, wanted, size, True).join(reps.select("rep", "regs"), "rep"), "sets")
     members = members.join(sets, "rep").select("band", "place", "rep", "component", "regs", "short", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("band", "place", "rep", "component", "regs", "short", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     more = members.groupBy("band", "x", "y").applyInPandas(_across(percent), "a long, b long").distinct()
@@ -291,7 +295,7 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
         found = again
     named = classes.join(found, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     named = keep(named, "named")
-    for d in (classes, reps, buckets, shared, labelled, open_, sets, links, late, found):
+    for d in (classes, reps, buckets, shared, labelled, open_, members, wanted, sets, links, late, found):
         drop(d)
     return rows.select("doc_id", "n_shingles", "f1", "f2"), named
 
