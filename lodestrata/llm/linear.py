@@ -24,6 +24,7 @@ class Hasher:
 
     def __init__(self, limit: int = 200_000) -> None:
         self.memo: dict[str, tuple[int, int]] = {}
+        self.prefixes: dict[str, tuple[int, ...]] = {}
         self.limit = limit
 
     def __call__(self, token: str) -> tuple[int, int]:
@@ -37,6 +38,18 @@ class Hasher:
             self.memo[token] = got
         return got
 
+    def with_prefixes(self, token: str) -> tuple[int, ...]:
+        """Hashes of a token and of its prefixes of 3 to 6 letters, marked by a tilde."""
+        got = self.prefixes.get(token)
+        if got is None:
+            import xxhash
+
+            if len(self.prefixes) >= self.limit:
+                self.prefixes.clear()
+            got = tuple(xxhash.xxh3_64_intdigest(x) for x in (token, *(f"{token[:k]}~" for k in (3, 4, 5, 6) if len(token) > k)))
+            self.prefixes[token] = got
+        return got
+
 
 def ngram_features(text: str | None, hasher: Hasher) -> np.ndarray:
     """Feature slots, with repeats, of a text's word 1- and 2-grams, its shape 1- and 2-grams, and how far its 3-grams repeat."""
@@ -65,13 +78,12 @@ def ngram_features(text: str | None, hasher: Hasher) -> np.ndarray:
 
 def presence_features(text: str | None, hasher: Hasher) -> np.ndarray:
     """Distinct feature slots of a text's lower-cased words and their prefixes of 3 to 6 letters."""
-    tokens = set(_TOKEN.findall((text or "").lower()))
-    keys = {t for t in tokens}
-    keys.update(f"{t[:k]}~" for t in tokens for k in (3, 4, 5, 6) if len(t) > k)
+    keys: list[int] = []
+    for t in set(_TOKEN.findall((text or "").lower())):
+        keys.extend(hasher.with_prefixes(t))
     if not keys:
         return np.empty(0, np.int64)
-    w = np.fromiter((hasher(t)[0] for t in keys), np.uint64, len(keys))
-    return np.unique((w * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.unique((np.array(keys, np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def counted(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
