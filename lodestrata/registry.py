@@ -1,4 +1,5 @@
 """Queries and oracle SQL by registered name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
