@@ -31,12 +31,11 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def keep(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._scratch_path = path
     return kept
