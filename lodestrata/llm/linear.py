@@ -22,7 +22,7 @@ def _shape(token: str) -> str:
 class Hasher:
     """Token hashes with a bounded memo."""
 
-    def __init__(self, limit: int = 200_000) -> None:
+    def __init__(self, limit: int = 100_000) -> None:
         self.memo: dict[str, tuple[int, int]] = {}
         self.prefixes: dict[str, tuple[int, ...]] = {}
         self.limit = limit

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop, keep, mix64, words_of
+from .base import drop, keep, mix64, trim, words_of
 
 REGISTERS = 128
 MANTISSA = 10
@@ -108,6 +108,7 @@ def _sketches(size: int):
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(regs, pa.binary())],
                 names=["doc_id", "n_shingles", "f1", "f2", "regs"],
             )
+        trim()
 
     return run
 
@@ -162,6 +163,7 @@ def _sets_of(plain: DataFrame, wanted: DataFrame, size: int, short: bool) -> Dat
             np.cumsum([len(x) for x in sets], out=offsets[1:])
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rep", "shingles"])
+        trim()
 
     known = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), slot("doc_id").alias("slot"), "text")
     return known.mapInArrow(run, "rep long, short binary" if short else "rep long, shingles array<long>").join(wanted, "rep", "left_semi")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import keep, worker_cache
+from .base import keep, trim, worker_cache
 
 WIDTH = 2048
 END = 1
@@ -71,6 +71,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc.append(zlib.crc32(piece.tobytes()))
                 tokens.append(len(ids))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, tokens)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+    trim()
 
 
 def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[int, list[int]]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fold
+from .base import fold, trim
 from .linear import WIDTH, Ftrl, Hasher, counted, ngram_features, sigmoid
 
 TRAIN_ROWS = 8000
@@ -51,6 +51,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots.append(u.astype(np.int32).tobytes())
             values.append(v.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "slots", "vals"])
+    del hasher
+    trim()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
@@ -58,11 +60,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
     rows = training_rows(docs, labels, label).mapInArrow(_featurise, "doc_id long, y double, slots binary, vals binary").toPandas()
     order = np.lexsort((rows.slots.map(len), rows.doc_id, (rows.doc_id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)))
     model = Ftrl(alpha=0.3, l2=0.3)
-    parsed = [(np.frombuffer(rows.slots[i], np.int32), np.frombuffer(rows.vals[i], np.float32).astype(float), float(rows.y[i] > 0)) for i in order]
     for _ in range(EPOCHS):
-        for u, v, y in parsed:
-            model.update(u, v, y)
-    return model.weights()
+        for slots, vals, y in zip(rows.slots[order], rows.vals[order], rows.y[order], strict=True):
+            model.update(np.frombuffer(slots, np.int32), np.frombuffer(vals, np.float32), float(y > 0))
+    weights = model.weights()
+    del rows, model
+    trim()
+    return weights
 
 
 def score_rows(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
@@ -77,6 +81,8 @@ def score_rows(docs: DataFrame, weights: np.ndarray, column: str = "score") -> D
                 f = ngram_features(text.as_py(), hasher)
                 scores.append(sigmoid(float(w[WIDTH]) + (float(w[f].sum(dtype=float)) / np.sqrt(len(f)) if len(f) else 0.0)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+        del hasher
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 

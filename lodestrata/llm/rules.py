@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import trim
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 #: Rows on which cost and rejection are measured; bounds what reaches the driver.
 SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 20_000_000
 
-_SYMBOL = re.compile(r"[#*$%&|<>]+")
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]")
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def repeat_words(words: list) -> int:
@@ -118,6 +118,7 @@ def _runner(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:])],
                 names=["doc_id", *names, "base_failed", "kept"],
             )
+        trim()
 
     return run
 

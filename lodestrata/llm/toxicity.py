@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold
+from .base import fold, trim
 from .linear import _TOKEN, WIDTH, Ftrl, Hasher, presence_features, sigmoid
 from .quality import FOLDS, TRAIN_SLOTS, training_rows
 
@@ -133,6 +133,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             scores = [sigmoid(float(w[WIDTH]) + float(w[presence_features(t.as_py(), hasher)].sum(dtype=float))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        del hasher
+        trim()
 
     return plain.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
