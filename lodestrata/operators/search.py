@@ -138,7 +138,7 @@ def within_budget(results: DataFrame, max_tokens: int, keep_ratio: float = 0.9)
     listed = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("rs"))
 
     def step(acc: Column, r: Column) -> Column:
-        fits = (acc["used"] + r["tokens"] <= budget) | ((F.size(acc["kept"]) == 0) & (r["tokens"] > budget) & (r["rank"] == 1))
+        fits = (acc["used"] + r["tokens"] <= budget) | ((F.size(acc["kept"]) == 0) & (r["tokens"] > budget) & (r["rank"] == F.get("rs", F.lit(0))["rank"]))
         return F.when(fits, F.struct((acc["used"] + r["tokens"]).alias("used"), F.concat(acc["kept"], F.array(r["rank"])).alias("kept"))).otherwise(acc)
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))

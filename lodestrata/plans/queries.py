@@ -126,9 +126,9 @@ def hybrid_search(t):
     return _hybrid(t).where("rank <= 5").select("qid", "id", "rank", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"))
 
 
-@query(f"""WITH RECURSIVE {_HYBRID}, m AS (SELECT qid, id, rank, CAST(ceil(length(d.text) / 4.0) AS BIGINT) AS tokens FROM h JOIN documents d ON d.doc_id = h.id WHERE rank <= 20),
-w AS (SELECT qid, id, rank, tokens, true AS kept, tokens AS used FROM m WHERE rank = 1
-      UNION ALL SELECT m.qid, m.id, m.rank, m.tokens, w.used + m.tokens <= 2700, CASE WHEN w.used + m.tokens <= 2700 THEN w.used + m.tokens ELSE w.used END FROM w JOIN m ON m.qid = w.qid AND m.rank = w.rank + 1)
+@query(f"""WITH RECURSIVE {_HYBRID}, m AS (SELECT qid, id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r, CAST(ceil(length(d.text) / 4.0) AS BIGINT) AS tokens FROM h JOIN documents d ON d.doc_id = h.id WHERE rank <= 20),
+w AS (SELECT qid, id, rank, r, tokens, true AS kept, tokens AS used FROM m WHERE r = 1
+      UNION ALL SELECT m.qid, m.id, m.rank, m.r, m.tokens, w.used + m.tokens <= 2700, CASE WHEN w.used + m.tokens <= 2700 THEN w.used + m.tokens ELSE w.used END FROM w JOIN m ON m.qid = w.qid AND m.r = w.r + 1)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, tokens FROM w WHERE kept""")
 def token_budget(t):
     sized = _hybrid(t).where("rank <= 20").join(_docs(t).select("id", X.budget_tokens(F.col("text")).alias("tokens")), "id")
