@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import drop, keep, mix64, trim, words_of
 
@@ -169,7 +170,7 @@ def _sets_of(plain: DataFrame, wanted: DataFrame, size: int, short: bool) -> Dat
     return known.mapInArrow(run, "rep long, short binary" if short else "rep long, shingles array<long>").join(wanted, "rep", "left_semi")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
