@@ -126,6 +126,9 @@ def _runner(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with its measures and the cascade's verdict. No shuffle of texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sampled = docs.select(F.xxhash64("doc_id").alias("h"), "text").where(F.length("text") <= SAMPLE_CHARS // SAMPLE_ROWS).orderBy("h", "text").limit(SAMPLE_ROWS)
-    order = plan_order([r.text for r in sampled.collect()])
+    # the sample's hashes first, then its texts: no task sends texts that aren't of the sample
+    short = docs.select(F.xxhash64("doc_id").alias("h"), "text").where(F.length("text") <= SAMPLE_CHARS // SAMPLE_ROWS)
+    cut = short.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h").alias("h")).first().h
+    sampled = short.where(F.col("h") <= cut).limit(SAMPLE_ROWS).collect() if cut is not None else []
+    order = plan_order([r.text for r in sampled])
     return docs.mapInArrow(_runner(order), SCHEMA)
