@@ -50,3 +50,18 @@ def latest_versions(messages: DataFrame) -> DataFrame:
 def gaps_and_islands(rows: DataFrame, by: str, order: str, start) -> DataFrame:
     """rows with a column island that counts the rows flagged by start up to each."""
     return rows.withColumn("island", F.sum(start.cast("int")).over(Window.partitionBy(by).orderBy(order)))
+
+
+def tool_usage(messages: DataFrame, rate_in: float, rate_out: float, multiplier: float = 1.6, overhead: float = 12) -> DataFrame:
+    """Calls, tokens and cost of each tool: what calls say counts as output, what tools answer as input; rates are for a million tokens.
+
+    messages: (role, name, text, tool_calls array<struct<id, name, arguments>>). Calls and answers without a name are left out.
+    """
+    said = messages.where(F.col("role") == "assistant").select(F.explode("tool_calls").alias("c"))
+    # ids and names count by words, arguments by characters
+    spoken = X.message_tokens(F.col("c.id"), multiplier) + X.message_tokens(F.col("c.name"), multiplier) + F.length(F.coalesce("c.arguments", F.lit(""))) / 4 * multiplier + overhead
+    calls = said.select(F.col("c.name").alias("tool"), F.lit(1).alias("call"), F.lit(0.0).alias("i"), spoken.alias("o"))
+    answers = messages.where(F.col("role") == "tool").select(F.col("name").alias("tool"), F.lit(0).alias("call"), X.message_tokens(F.col("text"), multiplier).alias("i"), F.lit(0.0).alias("o"))
+    # one aggregate over both sides instead of a full join of two
+    sums = calls.unionByName(answers).where("tool IS NOT NULL AND tool <> ''").groupBy("tool").agg(F.sum("call").alias("calls"), F.round(F.sum("i")).cast("long").alias("tokens_in"), F.round(F.sum("o")).cast("long").alias("tokens_out"))
+    return sums.withColumn("cost", (F.col("tokens_in") * rate_in + F.col("tokens_out") * rate_out) / 1e6)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunk, corpus, measure, search
+from ..operators import chunk, code, corpus, measure, search, structure
 from ..sources import extract
 from ..streaming import maintain
 
@@ -292,3 +292,34 @@ def path_tree(t):
 @query("SELECT doc_id, length(text) AS n_chars, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
 def token_counts(t):
     return t("documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), X.budget_tokens(F.col("text")).alias("tokens"))
+
+
+@query()
+def document_structure(t):
+    return structure.detect_structure(_docs(t)).select("id", "chapters", "method", F.array_join("sample", "|").alias("sample"), "has_toc")
+
+
+_TOC_LINES = "|".join(structure.CONTENTS)
+
+
+@query(f"SELECT doc_id AS id, regexp_matches(substring(coalesce(text, ''), 1, 30000), '(?im)^\\s*(?:{_TOC_LINES}|目[ \\t\\x{{3000}}]*(?:录|錄|次))\\s*$') AS has_toc FROM documents")
+def contents_pages(t):
+    return _docs(t).select("id", structure.has_contents(F.col("text")).alias("has_toc"))
+
+
+_PLAN = ", ".join(f"CASE WHEN NOT regexp_matches(coalesce(text, ''), '(?im)^#+\\s*.*{x}') THEN '{x}' END" for x in structure.PLAN_SECTIONS)
+
+
+@query(f"SELECT conv_id, turn, array_to_string([{_PLAN}], '|') AS missing FROM conversations")
+def plan_sections(t):
+    return t("conversations").select("conv_id", "turn", F.array_join(structure.missing_sections(F.col("text")), "|").alias("missing"))
+
+
+_PATHS = "lang || '/' || source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.HPP' ELSE '' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PATHS} AS path FROM documents) SELECT doc_id, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' WHEN 'hpp' THEN 'cpp' END AS language FROM p""")
+def file_languages(t):
+    ending = F.get(F.array(F.lit(".py"), F.lit(".md"), F.lit(".HPP"), F.lit("")), (F.col("doc_id") % 4).cast("int"))
+    path = F.concat(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")), ending)
+    return t("documents").select("doc_id", code.language(path).alias("language"))
