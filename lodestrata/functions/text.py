@@ -127,3 +127,27 @@ def nearest(word: Column, choices: list[str]) -> Column:
     """The choice at the least edit distance; ties to the first."""
     options = F.array(*(F.struct(F.levenshtein(word, F.lit(c)).alias("d"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(choices)))
     return F.array_min(options)["c"]
+
+
+def unit_vector(vector: Column) -> Column:
+    """A vector over its length; a zero vector stays."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+
+
+def saved_at(folder: Column, file: Column) -> Column:
+    """When a conversation was saved, from names like 31.12.2024 and 23.59.58 - title.json; null for others."""
+    day, time = F.regexp_extract(folder, r"^(\d{2}\.\d{2}\.\d{4})$", 1), F.regexp_extract(file, r"^(\d{2}\.\d{2}\.\d{2})(?:\s*-\s*.*)?\.json$", 1)
+    return F.try_to_timestamp(F.concat(day, F.lit(" "), time), F.lit("dd.MM.yyyy HH.mm.ss"))
+
+
+def saved_title(file: Column) -> Column:
+    """A saved conversation's title, from its file name."""
+    dated = F.regexp_extract(file, r"^\d{2}\.\d{2}\.\d{2}(?:\s*-\s*(.*))?\.json$", 1)
+    return F.when(file.rlike(r"^\d{2}\.\d{2}\.\d{2}(?:\s*-\s*.*)?\.json$"), dated).otherwise(F.regexp_replace(file, r"\.json$", ""))
+
+
+def table_cells(line: Column) -> Column:
+    """Trimmed cells of a Markdown table row, without those outside its outer bars."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))

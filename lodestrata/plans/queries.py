@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunk, code, corpus, measure, search, structure
-from ..sources import extract
+from ..operators import assess, chunk, code, corpus, measure, search, structure
+from ..sources import extract, markdown
 from ..streaming import maintain
 
 QUERIES: dict = {}
@@ -323,3 +323,37 @@ def file_languages(t):
     ending = F.get(F.array(F.lit(".py"), F.lit(".md"), F.lit(".HPP"), F.lit("")), (F.col("doc_id") % 4).cast("int"))
     path = F.concat(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")), ending)
     return t("documents").select("doc_id", code.language(path).alias("language"))
+
+
+@query()
+def page_markdown(t):
+    return markdown.markdown_column(t("pages")).select("page_id", "markdown", F.length("markdown").alias("n_chars"))
+
+
+@query("SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0 AS has_length, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) ** 2)), 6) AS squared FROM embeddings")
+def unit_vectors(t):
+    v = t("embeddings").select("vec_id", X.unit_vector(F.col("embedding")).alias("u"))
+    squared = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
+    return v.select("vec_id", (squared > 0).alias("has_length"), F.round(squared, 6).alias("squared"))
+
+
+@query(r"SELECT doc_id AS id, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, round(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_full_match(s, '[\s\x{0B}\x{85}\p{Z}]*'))) / len(string_split(coalesce(text, ''), chr(10))), 2) AS blank_density, length(coalesce(text, '')) > 0 AS ok FROM documents")
+def extraction_density(t):
+    return assess.extraction_density(_docs(t))
+
+
+@query(f"WITH {_BM25}, h AS (SELECT qid, id, rank AS was FROM rk WHERE rank <= 10), s AS (SELECT h.qid, h.id, was, len(list_intersect(list_distinct({_tokens_sql('b.text')}), list_distinct({_tokens_sql('d.text')})))::DOUBLE AS rerank_score FROM h JOIN benchmark b ON b.item_id = h.qid JOIN documents d ON d.doc_id = h.id) SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, was) AS rank FROM s")
+def reranked_search(t):
+    found = _sparse(t, 10).join(_docs(t), "id").join(_items(t), "qid")
+    shared = lambda q, d: F.size(F.array_intersect(X.tokens(q), X.tokens(d)))
+    return assess.rerank(found, shared).select("qid", "id", "rerank_score", "rank")
+
+
+@query("SELECT doc_id, regexp_replace(text, '[' || chr(8203) || '-' || chr(8207) || chr(8288) || '-' || chr(8292) || chr(8294) || '-' || chr(8297) || chr(8234) || '-' || chr(8238) || chr(65279) || chr(173) || chr(847) || chr(6158) || chr(1564) || ']', '', 'g') AS clean FROM documents")
+def sanitized_texts(t):
+    return t("documents").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
+
+
+@query("SELECT doc_id, 1 + length(left(text, n)) - length(replace(left(text, n), chr(10), '')) AS line FROM (SELECT doc_id, text, length(text) // 2 AS n FROM documents)")
+def middle_line(t):
+    return t("documents").select("doc_id", corpus.line_of_offset(F.col("text"), F.floor(F.length("text") / 2)).cast("long").alias("line"))
