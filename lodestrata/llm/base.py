@@ -8,6 +8,7 @@ import types
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """A table of bounded size on the driver, by Arrow: without it each row would be Python objects first."""
+    return df.toArrow().to_pandas()
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, mod parts; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
