@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import fold, keep, local, trim
@@ -255,6 +255,20 @@ def score_texts(step: np.ndarray, logp: np.ndarray, column: np.ndarray, start: i
     return total[end + 1] - total[begin]
 
 
+def _most(rows: DataFrame, by: str, cost: Column, limit: float, keys: list[str]) -> DataFrame:
+    """The rows with the largest by (1 at least), as far as their costs fit in limit. Buckets are 1/64 of an octave wide, without a last one; the bucket that doesn't fit is cut by a hash of the keys."""
+    rows = rows.withColumn("__bucket", F.floor(F.log2(F.col(by)) * 64)).withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(1024)))
+    tally = local(rows.groupBy("__bucket").agg(F.sum(cost).cast("double").alias("c"))).sort_values("__bucket", ascending=False)
+    fits = tally.c.cumsum() <= limit
+    if fits.all():
+        return rows.drop("__bucket", "__part")
+    edge = int(tally["__bucket"][~fits].iloc[0])
+    parts = local(rows.where(F.col("__bucket") == edge).groupBy("__part").agg(F.sum(cost).cast("double").alias("c"))).sort_values("__part")
+    inside = parts["__part"][parts.c.cumsum() <= limit - tally.c[fits].sum()]
+    last = int(inside.max()) if len(inside) else -1
+    return rows.where((F.col("__bucket") > edge) | (F.col("__bucket") == edge) & (F.col("__part") <= last)).drop("__bucket", "__part")
+
+
 def learn(counts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree over the most frequent contexts of counts (kind, key, n), within MAX_CONTEXTS and MAX_EDGES."""
     rows = counts.where("kind = 1").select("key", "n")
@@ -266,21 +280,16 @@ def learn(counts: DataFrame, depth: int = DEPTH) -> Tree:
         part = rows.select(F.lit(d).alias("depth"), F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255).cast("long")).alias("symbol"), "n")
         edges = part if edges is None else edges.unionByName(part)
     nodes = keep(edges.groupBy("depth", "context").agg(F.sum("n").alias("visits"), F.count(F.lit(1)).alias("symbols")), "contexts")
-    tally = local(nodes.groupBy(F.least("visits", F.lit(1 << 20)).alias("visits")).agg(F.count(F.lit(1)).alias("c"), F.sum("symbols").alias("s"))).sort_values("visits", ascending=False)
-    fits = (tally.c.cumsum() <= MAX_CONTEXTS) & (tally.s.cumsum() <= MAX_EDGES)
-    least = int(tally.visits[fits].min()) if fits.any() else 1 << 62
-    chosen = nodes.where((F.col("visits") >= least) | (F.col("depth") == 0)).select("depth", "context")  # MAX_CONTEXTS + 1 rows at most
+    share = F.greatest(F.lit(1 / MAX_CONTEXTS), F.col("symbols") / F.lit(MAX_EDGES))
+    chosen = _most(nodes.where("depth > 0"), "visits", share, 1, ["depth", "context"]).select("depth", "context")  # MAX_CONTEXTS rows at most
+    chosen = chosen.unionByName(nodes.where("depth = 0").select("depth", "context"))
     found = local(edges.join(F.broadcast(chosen), ["depth", "context"]).select(F.col("depth").cast("int").alias("depth"), "context", "symbol", "n"))
     return Tree(found, depth)
 
 
 def _frequent(counts: DataFrame, limit: int) -> pd.DataFrame:
     """key, n of the most frequent words, at most limit."""
-    words = counts.where("kind = 0")
-    tally = local(words.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("c"))).sort_values("n", ascending=False)
-    fits = tally.c.cumsum() <= limit
-    least = int(tally.n[fits].min()) if fits.any() else 1 << 62
-    return local(words.where(F.col("n") >= least).select("key", "n"))
+    return local(_most(counts.where("kind = 0"), "n", F.lit(1), limit, ["key"]).select("key", "n"))
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

@@ -287,6 +287,14 @@ def test_lm_frequent_words_only_move_work(spark, monkeypatch):
     assert np.allclose(lm.score_corpus(d).toPandas().set_index("doc_id").base_score.loc[want.index], want)
 
 
+def test_lm_most_frequent_stay(spark):
+    """Counts beyond any clip keep their order, and a bucket that doesn't fit is cut, not dropped."""
+    big = spark.range(4000).selectExpr("id AS key", "IF(id < 3000, 5000000 + id % 2, IF(id < 3010, 9000000000, 3)) AS n")
+    got = lm._most(big, "n", lm.F.lit(1), 500, ["key"]).toPandas()
+    assert 400 <= len(got) <= 500 and (got.n > 3).all() and (got.n == 9_000_000_000).sum() == 10
+    assert lm._most(big, "n", lm.F.lit(1), 4000, ["key"]).count() == 4000 and lm._most(big.limit(0), "n", lm.F.lit(1), 5, ["key"]).count() == 0
+
+
 def brute_tree(texts, depth):
     """Context-tree weighting by plain recursion over all contexts."""
     counts = defaultdict(lambda: [0, 0])
