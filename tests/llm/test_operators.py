@@ -295,6 +295,29 @@ def test_lm_most_frequent_stay(spark):
     assert lm._most(big, "n", lm.F.lit(1), 4000, ["key"]).count() == 4000 and lm._most(big.limit(0), "n", lm.F.lit(1), 5, ["key"]).count() == 0
 
 
+def test_lm_scores_by_every_context(spark, monkeypatch):
+    """The tables give what the whole tree gives in one memory, wherever grams are resolved."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60 AND length(text) < 4000").union(docs_of(spark, ["qzx \u00e9\u4e2d", None, "same " * 50], [1000, 1001, None]))
+    rows = d.collect()
+    u, c = lm.grams([r.text for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10])
+    parts, code, n = [], u.astype(np.int64), c
+    for k in range(lm.DEPTH, -1, -1):
+        code, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        n = np.bincount(at, weights=n)
+        parts.append(pd.DataFrame({"depth": k, "context": code >> 8, "symbol": code & 255, "n": n}))
+    tree = lm.Tree(pd.concat(parts))
+    seen = {int(s) for s in parts[-1].symbol}
+    for cache in (lm.CACHE, 50):
+        monkeypatch.setattr(lm, "CACHE", cache)
+        monkeypatch.setattr(lm, "_GROUP", 1000)
+        got = lm.score_corpus(d).toPandas().set_index("doc_id").score
+        for r in rows:
+            if set((r.text or "").encode()) <= seen:
+                want = lm.score_texts(tree.step, tree.logp, tree.column, tree.start, [r.text])[0] / math.log(10)
+                assert (got[got.index.isna()].iloc[0] if r.doc_id is None else got[r.doc_id]) == pytest.approx(want, rel=1e-4)
+    assert np.isfinite(got).all()
+
+
 def brute_tree(texts, depth):
     """Context-tree weighting by plain recursion over all contexts."""
     counts = defaultdict(lambda: [0, 0])
