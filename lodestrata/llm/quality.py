@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Training reads at most TRAIN_ROWS labelled rows (those with the smallest hash of their id) and at most
-TRAIN_SLOTS distinct features of each; scoring reads every whole text. Weights have a fixed size, so
-they are broadcast.
+Training reads at most TRAIN_ROWS labelled rows (those with the smallest hash of their id), fewer if their
+features come to over TRAIN_FEATURES, and TRAIN_SLOTS distinct features of each; scoring reads every whole text. Weights have
+a fixed size, so they are broadcast.
 
 Defined cases: null ids, labels or texts train nothing; an empty text scores the intercept; without
 labels every score is 0.5; repeated rows each get their row; other columns pass through score_rows().
@@ -13,16 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fold, trim
+from .base import drop, fold, keep, trim
 from .linear import WIDTH, Ftrl, Hasher, counted, ngram_features, sigmoid
 
 TRAIN_ROWS = 8000
 TRAIN_SLOTS = 4096
+TRAIN_FEATURES = 20_000_000  # of all training rows together
 EPOCHS = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -55,9 +57,19 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def gathered(rows: DataFrame) -> pd.DataFrame:
+    """Featurised rows (doc_id, slots, ...) on the driver: whole ones, by the hash of their ids as far as TRAIN_FEATURES reaches, the first in any case."""
+    kept = keep(rows, "training")
+    sizes = kept.select(F.xxhash64("doc_id").alias("h"), (F.octet_length("slots") / 4).alias("n")).toPandas().sort_values("h")
+    over = sizes.h[(sizes.n.cumsum() > TRAIN_FEATURES) & (sizes.h > sizes.h.min())]
+    got = (kept.where(F.xxhash64("doc_id") < F.lit(int(over.iloc[0]))) if len(over) else kept).toPandas()
+    drop(kept)
+    return got
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """Weights of WIDTH slots and the intercept."""
-    rows = training_rows(docs, labels, label).mapInArrow(_featurise, "doc_id long, y double, slots binary, vals binary").toPandas()
+    rows = gathered(training_rows(docs, labels, label).mapInArrow(_featurise, "doc_id long, y double, slots binary, vals binary"))
     order = np.lexsort((rows.slots.map(len), rows.doc_id, (rows.doc_id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)))
     model = Ftrl(alpha=0.3, l2=0.3)
     for _ in range(EPOCHS):

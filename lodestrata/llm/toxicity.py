@@ -3,7 +3,8 @@
 Many voters (a fixed lexicon, and word and word-stem patterns mined from labelled training rows) vote on a
 bounded sample; a generative label model estimates their accuracies and pairwise correlations by
 expectation maximisation without looking at labels, and a linear classifier over hashed words and
-stems is trained on the posterior labels. Scoring reads every whole text.
+stems is trained on the posterior labels. Training reads all features of at most TRAIN_ROWS rows, fewer if
+their features come to over quality.TRAIN_FEATURES. Scoring reads every whole text.
 
 Defined cases: null ids or labels train nothing; an empty text scores the intercept; without labelled
 rows every score is 0.5; repeated rows each get their row; other columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .base import fold, trim
 from .linear import _TOKEN, WIDTH, Ftrl, Hasher, presence_features, sigmoid
-from .quality import FOLDS, TRAIN_SLOTS, training_rows
+from .quality import FOLDS, gathered, training_rows
 
 TRAIN_ROWS = 8000
 THRESHOLD = 0.5
@@ -105,13 +106,10 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 own = terms_of(text)
                 votes.append(np.fromiter((v in own for v in voters), np.uint8, len(voters)).tobytes())
                 u = presence_features(text, hasher)
-                if len(u) > TRAIN_SLOTS:  # an even spread over the whole text's features; voters' own slots always stay
-                    always = presence_features(" ".join(v.rstrip("~") for v in voters if v in own), hasher)
-                    u = np.union1d(u[:: -(-len(u) // TRAIN_SLOTS)], np.intersect1d(always, u))
                 slots.append(u.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.binary()), pa.array(slots, pa.binary())], names=["doc_id", "votes", "slots"])
 
-    got = rows.mapInArrow(featurise, "doc_id long, votes binary, slots binary").toPandas()
+    got = gathered(rows.mapInArrow(featurise, "doc_id long, votes binary, slots binary"))
     got = got.iloc[np.lexsort((got.slots.map(len), got.doc_id, (got.doc_id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)))]
     model = Ftrl(alpha=1.0, l1=2.0, l2=0.001)
     if len(got):

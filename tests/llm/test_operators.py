@@ -189,6 +189,23 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.classify(odd, labels).count() == 10
 
 
+@pytest.mark.parametrize("module", [toxicity])
+def test_long_training_texts_are_whole(spark, monkeypatch, module):
+    long = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) + "qwz" for i in range(6000))
+    d = docs_of(spark, [long] * 10)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    learnt, update = [], module.Ftrl.update
+    monkeypatch.setattr(module.Ftrl, "update", lambda self, slots, *a: (learnt.append(len(slots)), update(self, slots, *a))[1])
+    module.train(d, labels)
+    own = quality.ngram_features(long, quality.Hasher()) if module is quality else toxicity.presence_features(long, toxicity.Hasher())
+    assert learnt and set(learnt) == {len(np.unique(own))} and learnt[0] > 4096
+    rows = len(learnt)
+    learnt.clear()
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 2 * len(np.unique(own)) + 1)
+    module.train(d, labels)
+    assert 0 < len(learnt) < rows and set(learnt) == {len(np.unique(own))}
+
+
 def test_label_model_finds_classes():
     rng = np.random.default_rng(5)
     y = rng.random(3000) < 0.1
