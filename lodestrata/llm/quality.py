@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 Training reads at most TRAIN_ROWS labelled rows (those with the smallest hash of their id), fewer if their
-features come to over TRAIN_FEATURES, and TRAIN_SLOTS distinct features of each; scoring reads every whole text. Weights have
+features come to over TRAIN_FEATURES, and all features of each; scoring reads every whole text. Weights have
 a fixed size, so they are broadcast.
 
 Defined cases: null ids, labels or texts train nothing; an empty text scores the intercept; without
@@ -23,7 +23,6 @@ from .base import drop, fold, keep, trim
 from .linear import WIDTH, Ftrl, Hasher, counted, ngram_features, sigmoid
 
 TRAIN_ROWS = 8000
-TRAIN_SLOTS = 4096
 TRAIN_FEATURES = 20_000_000  # of all training rows together
 EPOCHS = 3
 THRESHOLD = 0.3
@@ -47,9 +46,6 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, values = [], []
         for text in batch.column("text"):
             u, v = counted(ngram_features(text.as_py(), hasher))
-            if len(u) > TRAIN_SLOTS:
-                top = np.argsort(-v, kind="stable")[:TRAIN_SLOTS]
-                u, v = u[top], v[top]
             slots.append(u.astype(np.int32).tobytes())
             values.append(v.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "slots", "vals"])

@@ -189,7 +189,7 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.classify(odd, labels).count() == 10
 
 
-@pytest.mark.parametrize("module", [toxicity])
+@pytest.mark.parametrize("module", [quality, toxicity])
 def test_long_training_texts_are_whole(spark, monkeypatch, module):
     long = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) + "qwz" for i in range(6000))
     d = docs_of(spark, [long] * 10)
