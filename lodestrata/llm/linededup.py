@@ -21,7 +21,7 @@ from .base import SPACE_CHARS, drop, keep
 
 MIN_KEY = 10
 FANOUT = 4
-#: Batches that a whole table is fed in; a feed of arriving data has its own.
+#: Batches that a whole table is fed in: under FANOUT, so the query itself compacts nothing; a feed of arriving data has its own.
 BATCHES = 3
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
