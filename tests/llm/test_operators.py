@@ -272,7 +272,6 @@ def test_pack(spark, odd):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ["Hello wörld 123", "", None, "a" * 5000 + " <|endoftext|> x", "the cat " * 3000]
     for d in (docs_of(spark, texts), odd):
         got = packing.pack(d).toPandas().sort_values(["sequence_id", "offset"])
