@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import types
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder in spark.checkpoint.dir; one of our own only where it is unset and the session is local, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -39,9 +42,35 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._scratch_path = path
+    remember(spark, path)
     return kept
 
 
+#: Folders written and not yet removed, with the JVM that can: lazy results may read them until the process ends.
+_left: dict[str, object] = {}
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the process ends, if nothing does before."""
+    if not _left:
+        atexit.register(_clear)
+    _left[path] = spark._jvm
+
+
+def _remove(jvm, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+def _clear() -> None:
+    for path, jvm in list(_left.items()):
+        try:
+            _remove(jvm, path)
+        except Exception:  # noqa: BLE001 - the JVM has ended first; the folder is the cluster's to clear
+            break
+    _left.clear()
+
+
 def drop(df: DataFrame | None) -> None:
     """Remove a table that keep() wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
@@ -49,6 +78,7 @@ def drop(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _left.pop(path, None)
 
 
 def local(df: DataFrame) -> pd.DataFrame:

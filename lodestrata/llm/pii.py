@@ -27,7 +27,7 @@ CUES = {
     "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key"),
     "iban": ("iban",),
     "account": ("account", "acct", "konto", "cuenta", "compte", "ssn", "passport"),
-    "address": ("street", "avenue", "road", "boulevard", "lane", "drive"),
+    "address": ("street", "avenue", "road", "boulevard", "lane", "drive", "st.", "ave.", "rd.", "blvd", "court", "square", "place", "terrace", "highway", "parkway"),
     "url": ("http://", "https://", "ftp://", "mailto:"),
 }
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
@@ -41,7 +41,8 @@ _URL = re.compile(r"[A-Za-z]+:(?://)?[^\s<>\"']{3,}")
 _IBAN = re.compile(r"[\s:=#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: ?(?:no|nr|number|num)\b\.?)?[ :#=]{1,4}([0-9](?:[ -]?[0-9]){5,17})(?![0-9])")
 _SECRET = re.compile(r"[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"',;]{8,})")
-_BEFORE_CUE = re.compile(r"[0-9]{1,5} (?:[A-Z][A-Za-z]+ ){1,3}$")
+_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?,?")
+_STREET = re.compile(r"(?:[A-Z][\w.'’-]*|[0-9]+(?:st|nd|rd|th)|of|the|de|la|del|du|von|van|der|den)")
 
 
 def automaton():
@@ -74,6 +75,21 @@ def _iban_ok(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _house(text: str, least: int, at: int) -> int:
+    """Where the house number before a cue at this place stands, over words of a street's name, token by token to the left; -1 if none does."""
+    end, names = at - 1, 0
+    while end > least:
+        start = max(text.rfind(" ", least, end), text.rfind("\n", least, end)) + 1
+        start = max(start, least)
+        token = text[start:end]
+        if names and _HOUSE.fullmatch(token):
+            return start
+        if not _STREET.fullmatch(token) or text[start - 1 : start] == "\n":
+            return -1
+        names, end = names + 1, start - 1
+    return -1
+
+
 def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by kind in the order of KINDS, then start."""
     if not text:
@@ -120,11 +136,12 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
             if at >= done["url"] and (m := _URL.match(text, at)):
                 add("url", at, m.end())
         elif what == "address":
-            if (m := _BEFORE_CUE.search(text, max(done["address"], at - 60), at)) and not text[last + 1 : last + 2].isalpha():
-                add("address", m.start(), last + 1)
+            if text[at - 1 : at] == " " and not text[last + 1 : last + 2].isalnum() and (start := _house(text, done["address"], at)) >= 0:
+                add("address", start, last + 1)
         else:
+            # a cue inside a span of its kind opens none, and its run isn't read again
             parser = {"iban": _IBAN, "account": _ACCOUNT, "secret": _SECRET}[what]
-            if (m := parser.match(text, last + 1)) and m.start(1) >= done[what] and (what != "iban" or _iban_ok(m.group(1))):
+            if last >= done[what] and (m := parser.match(text, last + 1)) and (what != "iban" or _iban_ok(m.group(1))):
                 add(what, m.start(1), m.end(1))
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 

@@ -4,7 +4,7 @@ Training reads at most TRAIN_ROWS labelled rows (those with the smallest hash of
 features come to over TRAIN_FEATURES, and all features of each; scoring reads every whole text. Weights have
 a fixed size, so they are broadcast.
 
-Defined cases: null ids, labels or texts train nothing; an empty text scores the intercept; without
+Defined cases: null ids, labels or texts train nothing; of rows that repeat an id one text trains, the one with the smallest hash; an empty text scores the intercept; without
 labels every score is 0.5; repeated rows each get their row; other columns pass through score_rows().
 """
 
@@ -30,14 +30,16 @@ FOLDS = 5
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_ROWS) -> DataFrame:
-    """At most limit labelled rows outside the held-out fold: doc_id, y, text."""
+    """At most limit labelled rows outside the held-out fold, one an id: doc_id, y, text. An id labelled both ways counts as 0."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
+        .groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most limit rows of 16 bytes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    met = texts.join(F.broadcast(chosen), "doc_id")  # at most limit rows of 16 bytes
+    # copies of an id meet before the shuffle, so that at most limit texts go on
+    return met.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Cost and rejection rate of every rule are measured on a bounded sample, and rules then run in order of
+Cost and rejection rate of every rule are measured on a bounded sample, texts of any length among it, where the texts lie; rules then run in order of
 rejection per cost until one rejects. The order changes the time only: a document is kept if no rule rejects it.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows each get their row.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from .base import trim
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-#: Rows on which cost and rejection are measured; bounds what reaches the driver.
-SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 20_000_000
+#: Cost and rejection are measured on the rows of so many runs of so many ids.
+SAMPLE_RUNS, RUN_LENGTH = 32, 32
 
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -91,17 +90,39 @@ RULES: dict[str, Callable[[dict], bool]] = {
 }
 
 
-def plan_order(texts: list[str | None], rules: dict[str, Callable[[dict], bool]] = RULES) -> list[str]:
+def measured(texts: Iterable[str | None], rules: dict[str, Callable[[dict], bool]] = RULES) -> dict[str, tuple[float, int]]:
+    """Seconds and rejections of every rule over the texts that pass the base."""
+    cost, hits = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+    for text in texts:
+        m = measures(text)
+        if not base_failed(m):
+            for name, rule in rules.items():
+                began = time.perf_counter()
+                hits[name] += rule(m)
+                cost[name] += time.perf_counter() - began
+    return {k: (cost[k], hits[k]) for k in rules}
+
+
+def plan_order(found: dict[str, tuple[float, int]], rules: dict[str, Callable[[dict], bool]] = RULES) -> list[str]:
     """Rule names by rejections per second over a sample, best first; ties and an empty sample keep the given order."""
-    sample = [m for m in map(measures, texts) if not base_failed(m)]
-    rate = {}
-    for name, rule in rules.items():
-        began = time.perf_counter()
-        hits = sum(map(rule, sample))
-        rate[name] = hits / max(time.perf_counter() - began, 1e-9)
+    rate = {k: found[k][1] / max(found[k][0], 1e-9) if k in found else 0.0 for k in rules}
     return sorted(rules, key=lambda k: -rate[k])
 
 
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = measured(t.as_py() for batch in batches for t in batch.column("text"))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([c for c, _ in found.values()]), pa.array([h for _, h in found.values()], pa.int64())], names=["rule", "cost", "hits"])
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """The rows of SAMPLE_RUNS runs of ids, a run after each of the ids with the smallest hashes. Ids are read alone; the runs are ranges, which a scan of sorted files skips to."""
+    first = [r.doc_id for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_RUNS).collect()]
+    within = F.lit(False)
+    for i in first:
+        within = within | F.col("doc_id").between(i, i + RUN_LENGTH - 1)
+    return docs.where(within).limit(SAMPLE_RUNS * RUN_LENGTH)
+
+
 def _runner(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -126,9 +147,6 @@ def _runner(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with its measures and the cascade's verdict. No shuffle of texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the sample's hashes first, then its texts: no task sends texts that aren't of the sample
-    short = docs.select(F.xxhash64("doc_id").alias("h"), "text").where(F.length("text") <= SAMPLE_CHARS // SAMPLE_ROWS)
-    cut = short.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h").alias("h")).first().h
-    sampled = short.where(F.col("h") <= cut).limit(SAMPLE_ROWS).collect() if cut is not None else []
-    order = plan_order([r.text for r in sampled])
+    found = sampled(docs).mapInArrow(_sample, "rule string, cost double, hits long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits"))
+    order = plan_order({r.rule: (r.cost, r.hits) for r in found.collect()})  # a row a rule
     return docs.mapInArrow(_runner(order), SCHEMA)

@@ -1,17 +1,18 @@
 """Toxicity by weak supervision.
 
-Many voters (a fixed lexicon, and word and word-stem patterns mined from labelled training rows) vote on a
-bounded sample; a generative label model estimates their accuracies and pairwise correlations by
-expectation maximisation without looking at labels, and a linear classifier over hashed words and
-stems is trained on the posterior labels. Training reads all features of at most TRAIN_ROWS rows, fewer if
-their features come to over quality.TRAIN_FEATURES. Scoring reads every whole text.
+Voters for both classes vote on a bounded sample of labelled rows: a fixed lexicon and patterns of address and shouting for class 1, patterns of
+courtesy and reference for class 0 (no label is read for any of these), and word and word-stem patterns mined from labels. A generative label model estimates by expectation maximisation, without looking at labels, how often each voter fires in each class and how
+voters are correlated; correlated voters share their weight. A linear classifier over hashed words and stems is trained on the posterior labels. Training reads all features of
+at most TRAIN_ROWS rows, fewer if their features come to over quality.TRAIN_FEATURES. MAX_VOTERS is a parameter of the model: so many mined patterns vote, the
+strongest first. Scoring reads every whole text.
 
-Defined cases: null ids or labels train nothing; an empty text scores the intercept; without labelled
+Defined cases: null ids or labels train nothing; of rows that repeat an id one text trains; an empty text scores the intercept; without labelled
 rows every score is 0.5; repeated rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, trim
+from .base import drop, fold, keep, trim
 from .linear import _TOKEN, WIDTH, Ftrl, Hasher, presence_features, sigmoid
 from .quality import FOLDS, gathered, training_rows
 
@@ -27,10 +28,12 @@ TRAIN_ROWS = 8000
 THRESHOLD = 0.5
 MAX_VOTERS = 96
 EPOCHS = 3
-CORRELATED = 0.3  # residual correlation from which voters are one group
 
 # Insults that vote toxic wherever they stand.
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "disgusting", "worthless", "clown", "dumb", "imbecile", "vermin", "filth")
+# Patterns of whole texts that vote for class 1 and for class 0.
+HOSTILE = (rf"(?i)\b(?:you|they|he|she)(?:'re| are| is)? (?:an? |such |all )?(?:{'|'.join(LEXICON)})", r"(?i)\b(?:shut up|get lost|go away|hate you|hate them)\b", r"(?:\b[A-Z]{3,}\b[ ,]*){4,}[!?]", r"!{3,}")
+CALM = (r"(?i)\b(?:please|thanks|thank you|kind regards|sincerely|welcome)\b", r"(?i)\b(?:licen[sc]e|copyright|permission|warranty)\b", r"https?://", r"(?m)^#{1,6} ", r"\b[0-9]{4}\b")
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -59,33 +62,31 @@ def mine_patterns(rows: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
     return [r.term for r in totals.collect()]
 
 
-def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row of a 0/1 vote matrix, and what the model estimated.
+def label_model(votes: np.ndarray, calm: int = 0, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row of a 0/1 vote matrix, and what the model estimated. The last calm voters speak for class 0.
 
-    A voter that doesn't fire abstains; a row on which none fires has the one vote of silence for class 0. Voters are conditionally independent but for correlated groups, found from the residuals' correlations: a group speaks once, by
-    its strongest voter that fires, so that near copies of a voter do not vote twice.
+    A voter that doesn't fire abstains; a row on which no voter for class 1 fires has the one vote of silence for class 0. Every round estimates
+    the rates at which voters fire in each class and the correlations of what these rates leave unexplained; in a row, a voter weighs one over the sum of its positive
+    correlations with the voters that fire there, itself included, so that copies of a voter vote as one.
     """
     n, m = votes.shape
-    hits = votes.sum(1)
+    hits = votes[:, : m - calm].sum(1)
     if not n or not hits.any():
         return np.zeros(n), {"accuracy": np.full(m, 0.5), "correlation": np.eye(m)}
     post = np.where(hits > 0, 0.9, 0.02)
-    group = np.arange(m)
-    correlation = np.eye(m)
-    for step in range(rounds):
+    silent = hits == 0
+    noise = 4 / np.sqrt(n)  # correlations below are chance
+    for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         on = np.clip((votes.T @ post + 0.5) / (post.sum() + 1), 1e-4, 1 - 1e-4)
         off = np.clip((votes.T @ (1 - post) + 0.01) / ((1 - post).sum() + 1), 1e-5, 1 - 1e-4)
-        if step == 3:
-            residual = votes - (post[:, None] * on + (1 - post)[:, None] * off)
-            scale = np.sqrt(np.maximum((residual**2).mean(0), 1e-9))
-            correlation = (residual.T @ residual) / n / np.outer(scale, scale)
-            for j in range(m):
-                for k in np.flatnonzero(correlation[j, :j] > CORRELATED):
-                    group[group == group[j]] = group[k]
-        silent = hits == 0
+        residual = votes - (post[:, None] * on + (1 - post)[:, None] * off)
+        scale = np.sqrt(np.maximum((residual**2).mean(0), 1e-9))
+        correlation = (residual.T @ residual) / n / np.outer(scale, scale)
+        shared = np.where(correlation > noise, np.minimum(correlation, 1), 0)
+        np.fill_diagonal(shared, 1)
         quiet = np.log(((silent * post).sum() + 0.5) / (post.sum() + 1)) - np.log(((silent * (1 - post)).sum() + 0.5) / ((1 - post).sum() + 1))
-        odds = np.log(prior / (1 - prior)) + sum((votes[:, group == g] * np.log(on / off)[group == g]).max(1) for g in np.unique(group)) + silent * quiet
+        odds = np.log(prior / (1 - prior)) + (votes * np.log(on / off) / np.maximum(votes @ shared, 1)).sum(1) + silent * quiet
         post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
         # the intended class is the one that voters speak for
         if (post * hits).sum() / max(post.sum(), 1e-9) < ((1 - post) * hits).sum() / max((1 - post).sum(), 1e-9):
@@ -95,25 +96,28 @@ def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights of WIDTH slots and the intercept, from posterior labels of at most TRAIN_ROWS rows."""
-    rows = training_rows(docs, labels, "toxic", TRAIN_ROWS)
+    rows = keep(training_rows(docs, labels, "toxic", TRAIN_ROWS), "rows")
     voters = list(dict.fromkeys([*LEXICON, *(f"{w[:6]}~" for w in LEXICON if len(w) > 6), *mine_patterns(rows)]))
+    m = len(voters) + len(HOSTILE) + len(CALM)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        patterns = [re.compile(p) for p in (*HOSTILE, *CALM)]
         for batch in batches:
             slots, votes = [], []
             for text in batch.column("text").to_pylist():
                 own = terms_of(text)
-                votes.append(np.fromiter((v in own for v in voters), np.uint8, len(voters)).tobytes())
-                u = presence_features(text, hasher)
-                slots.append(u.astype(np.int32).tobytes())
+                said = [v in own for v in voters] + [p.search(text or "") is not None for p in patterns]
+                votes.append(np.array(said, np.uint8).tobytes())
+                slots.append(presence_features(text, hasher).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.binary()), pa.array(slots, pa.binary())], names=["doc_id", "votes", "slots"])
 
     got = gathered(rows.mapInArrow(featurise, "doc_id long, votes binary, slots binary"))
+    drop(rows)
     got = got.iloc[np.lexsort((got.slots.map(len), got.doc_id, (got.doc_id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)))]
     model = Ftrl(alpha=1.0, l1=2.0, l2=0.001)
     if len(got):
-        posterior, _ = label_model(np.frombuffer(b"".join(got.votes), np.uint8).reshape(len(got), len(voters)).astype(float))
+        posterior, _ = label_model(np.frombuffer(b"".join(got.votes), np.uint8).reshape(len(got), m).astype(float), len(CALM))
         rows_slots = [np.frombuffer(s, np.int32) for s in got.slots]
         for _ in range(EPOCHS):
             for u, p in zip(rows_slots, posterior, strict=True):
