@@ -24,44 +24,43 @@ CELLS = frozenset("td th".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
+class _Markup(HTMLParser):
+    """A page as flat tokens: (opened or closed, element) and (data, text)."""
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skipping = 0
-        self.gap = ""
-
-    def boundary(self, tag: str) -> None:
-        if tag in BREAKING:
-            self.gap = "\n"
-        elif tag in CELLS:
-            self.gap = self.gap or "\t"
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in SKIPPED:
-            self.skipping += 1
-        self.boundary(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skipping = max(0, self.skipping - 1)
-        elif tag not in VOID:
-            self.boundary(tag)
-
-    def handle_data(self, data: str) -> None:
-        if self.skipping or (self.gap and not data.strip()):
-            return
-        if self.gap and self.out:
-            self.out.append(self.gap)
-        self.gap = ""
-        self.out.append(data)
+        self.tokens: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.tokens.append(("opened", tag))
+        self.handle_endtag = lambda tag: self.tokens.append(("closed", tag))
+        self.handle_data = lambda text: self.tokens.append(("data", text))
+        self.feed(html)
+        self.close()
+
+
+def _shown(tokens: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """Tokens outside of the elements whose content is skipped."""
+    depth = 0
+    for kind, what in tokens:
+        if what in SKIPPED and kind != "data":
+            depth = depth + 1 if kind == "opened" else max(0, depth - 1)
+        elif not depth or kind != "data":
+            yield kind, what
 
 
 def html_text(html: str | None) -> str:
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    return "".join(parser.out)
+    """Texts of a page in order. Those that blocks part get a line break between them, those that only cells part a tab; blank texts among such marks go."""
+    texts: list[str] = []
+    marks: list[set[str]] = [set()]  # elements before each text
+    for kind, what in _shown(_Markup(html or "").tokens):
+        if kind == "data":
+            if what.strip() or not marks[-1]:
+                texts.append(what)
+                marks.append(set())
+        elif what in BREAKING or what in CELLS:
+            if kind == "opened" or what not in VOID:
+                marks[-1].add(what)
+    parts = ["\n" if m & BREAKING else "\t" if m else "" for m in marks[1:-1]]
+    return "".join(x for pair in zip(["", *parts], texts) for x in pair)
 
 
 def decoded(data: bytes) -> str:
@@ -117,7 +116,10 @@ def epub_text(data: bytes) -> str:
 
 
 _RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
-_RTF_HIDDEN = frozenset("fonttbl colortbl stylesheet info pict header footer generator object themedata".split())
+# Groups of RTF without text of the document, and page furniture.
+_RTF_HIDDEN = frozenset(
+    "fonttbl colortbl stylesheet info listtable listoverridetable revtbl rsidtbl latentstyles datastore themedata colorschememapping filetbl xmlnstbl pgptbl protusertbl userprops docvar pict objdata bkmkstart bkmkend".split()
+) | frozenset("header footer generator object".split())
 _RTF_TEXT = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 
 

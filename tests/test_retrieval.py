@@ -15,37 +15,37 @@ def one(spark, expr):
 
 
 def test_tokens(spark):
-    assert one(spark, X.tokens(F.lit("The Quick brown-fox! jumps OVER 42"), False)) == ["the", "quick", "brown", "fox", "jumps", "over", "42"]
-    assert one(spark, X.tokens(F.lit("the cat and dog"))) == ["cat", "dog"]
+    assert one(spark, X.tokens(F.lit("Seven GREY-geese; crossed at 19"), False)) == ["seven", "grey", "geese", "crossed", "at", "19"]
+    assert one(spark, X.tokens(F.lit("the harbour and a lantern"))) == ["harbour", "lantern"]
     assert one(spark, X.tokens(F.lit(None).cast("string"))) == []
 
 
 def test_expansion_and_rewriting(spark):
-    assert one(spark, X.expand_query(F.lit("auth and deploy"))) == ["auth and deploy", "auth", "deploy"]
-    assert one(spark, X.expand_query(F.lit("pdf or docx"))) == ["pdf or docx", "pdf", "docx"]
-    assert one(spark, X.rewrite_query(F.lit("hello world"))) == "hello world"
+    assert one(spark, X.expand_query(F.lit("tides and lanterns"))) == ["tides and lanterns", "tides", "lanterns"]
+    assert one(spark, X.expand_query(F.lit("ferries or bridges"))) == ["ferries or bridges", "ferries", "bridges"]
+    assert one(spark, X.rewrite_query(F.lit("quiet harbour"))) == "quiet harbour"
     assert "endpoint" in one(spark, X.rewrite_query(F.lit("api")))
 
 
 def test_token_estimates(spark):
     assert one(spark, X.budget_tokens(F.lit("a" * 16))) == 4
     assert one(spark, X.budget_tokens(F.lit("a" * 17))) == 5
-    assert one(spark, X.budget_tokens(F.lit("hello 你好 world"))) == 4
+    assert one(spark, X.budget_tokens(F.lit("ships 海港 winds"))) == 4
     assert one(spark, X.sanitize(F.lit("a​b\U000e0041c"))) == "abc"
 
 
 def test_bm25_prefers_short_and_frequent(spark):
-    docs = spark.createDataFrame([("a", "apple apple apple juice"), ("b", "apple " + "filler words " * 20), ("c", None), (None, "apple")], "id string, text string")
+    docs = spark.createDataFrame([("a", "lantern lantern lantern oil"), ("b", "lantern " + "slow tides " * 20), ("c", None), (None, "lantern")], "id string, text string")
     index = search.build_index(docs)
-    got = search.bm25(spark.createDataFrame([(1, "apple")], "qid long, query string"), index).orderBy("rank").collect()
+    got = search.bm25(spark.createDataFrame([(1, "lantern")], "qid long, query string"), index).orderBy("rank").collect()
     assert [r.id for r in got] == ["a", "b"] and index.n == 3
 
 
 def test_snapshot(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "apple pie"), ("b", "pear")], "id string, text string")
+    docs = spark.createDataFrame([("a", "ferry dock"), ("b", "bridge")], "id string, text string")
     search.build_index(docs).save(str(tmp_path / "i"))
     again = search.Index.load(spark, str(tmp_path / "i"))
-    assert search.bm25(spark.createDataFrame([(1, "pear")], "qid long, query string"), again).first().id == "b"
+    assert search.bm25(spark.createDataFrame([(1, "bridge")], "qid long, query string"), again).first().id == "b"
     assert search.Index.load(spark, str(tmp_path / "none")) is None
 
 
@@ -182,9 +182,9 @@ def test_queries_match_sql(spark):
         got, want = known[name](spark, root).toPandas(), db.sql(sql).df()
         assert len(got) == len(want), name
         columns = sorted(want.columns)
+        assert set(columns) <= set(got.columns) if name.startswith("op") else set(columns) == set(got.columns), name
         rows = lambda f: sorted(map(repr, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
-        if set(columns) == set(got.columns):
-            for c in columns:
-                if got[c].dtype.kind == "f":
-                    got[c], want[c] = got[c].round(6), want[c].round(6)
-            assert rows(got) == rows(want), name
+        for c in columns:
+            if got[c].dtype.kind == "f":
+                got[c], want[c] = got[c].round(6), want[c].round(6)
+        assert rows(got) == rows(want), name

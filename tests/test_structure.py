@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 from lodestrata.operators import code, measure, structure
 
 HEADINGS = {
-    "Chapter 5": 5, "  Capítulo 12: El fin": 12, "Chapter XIV. Ahab": 14, "Chapter 6 explores the sea": None, "ch. 3 – Ways": 3, "Chapter 2025. Years": None, "Kapitel 2 Überblick": 2,
-    "I: Loomings": 1, "II. The Carpet-Bag": 2, "IIII. Wrong": None, "vi: the editor": None, "## i. introduction": 1, "## Chapter 4": 4, "== Chapter 7": 7,
-    "第三章 海": 3, "第 12 回": 12, "第十二节": 12, "第二百零五章": 205, "第１２章": 12, "## 一 · 缘起": 1, "## 第一讲": 1, "## 5 Setup": None,
-    "บทที่ 3": 3, "## บทที่ ๑๒": 12, "제1장 총칙": 1, "## 제4장 근로시간과 휴식": 4, "제5장에서 본다": None, "제6장의2 특례": 6,
-    "": None, "An ordinary line.": None, "Chapter 1 " + "A" * 90: None,
+    "Chapter 9": 9, "  Capítulo 31: La orilla": 31, "Capitulo 8 Costas": 8, "Chapter XVI. Harbours": 16, "Chapter 3 tells of winds": None, "Ch. 7 – Tides": 7, "Chapter 1987. Floods": None, "Kapitel 4 Öfen": 4,
+    "CH VI": 6, "Chapter 12a": None, "Chapter dim": None, "IX: Lanterns": 9, "XL. The Ferry": 40, "VIIII. Wrong": None, "xi: the mill": None, "## xi. harvest": 11, "## Chapter 14": 14, "=== Chapter 2": 2,
+    "第七章 山": 7, "第 28 回": 28, "第十九节": 19, "第三百零二章": 302, "第４６章": 46, "## 八 · 归途": 8, "## 第二讲": 2, "## 第五：河": 5, "## 6 Tools": None, "第七": None,
+    "บทที่ 8": 8, "## ตอนที่ ๔๕": 45, "ภาค 2x": None, "제7장 바다": 7, "## 제2장 산과 들": 2, "제3장에서 말한다": None, "제8장의4 보칙": 8, "제8장의4는": None, "제9장": 9, "제9장.": 9,
+    "": None, "Just some words.": None, "Chapter 1 " + "A" * 90: None, "# Chapter 1 " + "A" * 69: 1, "# Chapter 1 " + "A" * 71: None,
 }
 
 
@@ -28,6 +28,7 @@ def test_roman_round_trip():
     [
         (None, 0), ("", 0), ("plain\ntext", 0), ("# Book\n## One\n## Two\n## two\n", 2), ("# Only\n", 1), ("One\n===\ntext\nTwo\n-----\n", 2), ("text\n\n---\nmore", 0),
         ("```\n# a\n# b\n```\n# c\n# d\n", 2), ("```\n# a\n# b\n", 2), ("~~~\n# a\n```\n# b\n", 2), ("## 1. Step\nx\n## 2. Step\ny\n## 3. Step\nz\n", 0),
+        ("```\n~~~\n# a\n~~~\n# b\n", 2), ("A\n==\n==\nB\n--\n", 2), ("# ###\n# x #\n# y##\n", 2), ("```\nx\n```\n===\n", 0),
         ("".join(f"## {i}. Part\n{'word ' * 60}\n" for i in range(1, 5)), 4), ("=====\n", 0), ("A long title\n==\n", 0),
     ],
 )
