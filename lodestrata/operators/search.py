@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 50
-#: A set of queries of at most so many rows may be broadcast; more are joined by a shuffle.
-SMALL_QUERIES = 100_000
+#: Queries of at most so many characters (in dense search: components) together are broadcast; more are joined by a shuffle.
+SMALL_QUERIES = 16_000_000
 
 
 @dataclass
@@ -26,6 +26,10 @@ class Index:
     n: int
     avgdl: float
 
+    def release(self) -> None:
+        """Give up the kept postings, once nothing reads the index any more."""
+        self.postings.unpersist()
+
     def save(self, path: str) -> None:
         """Snapshot: postings sorted by term within files, so a term's row groups are found by their statistics."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -43,11 +47,17 @@ class Index:
 
 
 def build_index(docs: DataFrame, stopwords: bool = True) -> Index:
-    """docs: (id, text). Null ids are skipped, null texts are empty; empty documents count in n and the mean length."""
-    spread = docs.where(F.col("id").isNotNull()).select("id", X.tokens(F.col("text"), stopwords).alias("ts"))
-    stats = spread.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts").cast("double")).alias("avgdl")).first()
-    postings = spread.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.n, stats.avgdl or 1.0)
+    """docs: (id, text). Null ids are skipped, null texts are empty; empty documents count in n and the mean length.
+
+    Texts are read once: the postings stay in the executors' memory and disks until release(), and lost parts are computed anew.
+    Texts are what is shuffled, by id: they are smaller than their postings, which then need no exchange, and a table of few
+    row groups still feeds every core.
+    """
+    known = docs.where(F.col("id").isNotNull())
+    spread = known.select("id", "text").repartition("id").select("id", X.tokens(F.col("text"), stopwords).alias("ts"))
+    postings = spread.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
+    n, total = known.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, total / n if n else 1.0)
 
 
 def top(scored: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
@@ -60,9 +70,16 @@ def query_terms(queries: DataFrame, stopwords: bool = True) -> DataFrame:
     return queries.select("qid", F.explode(X.tokens(F.col("query"), stopwords)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(queries: DataFrame, index: Index, limit: int = 10, stopwords: bool = True, small: bool = False) -> DataFrame:
-    """queries: (qid, query). Returns qid, id, score, rank. small: the caller has checked that queries are few, and their terms may be broadcast."""
-    q = query_terms(queries, stopwords).join(index.terms, "term")
+def few(rows: DataFrame, size: Column) -> bool:
+    """Whether rows are small enough to broadcast."""
+    return (rows.agg(F.sum(size)).first()[0] or 0) <= SMALL_QUERIES
+
+
+def bm25(queries: DataFrame, index: Index, limit: int = 10, stopwords: bool = True) -> DataFrame:
+    """queries: (qid, query). Returns qid, id, score, rank. Few queries go to where the postings lie; many meet them by term."""
+    small = few(queries, F.length("query"))
+    q = query_terms(queries, stopwords)
+    q = index.terms.join(F.broadcast(q) if small else q, "term")
     idf = F.ln(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     q = q.select("qid", "term", (F.col("qtf") * idf).alias("w"))
     sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.avgdl or 1.0))))
@@ -72,23 +89,37 @@ def bm25(queries: DataFrame, index: Index, limit: int = 10, stopwords: bool = Tr
     return top(scored, ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id")) if limit else scored
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, t: s + t)
+
+
+def _similarity(a: Column, b: Column, norm: Column) -> Column:
+    return F.when((F.size(a) == F.size(b)) & (norm > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(a, b) / norm))).otherwise(0.0)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity clamped to [0, 1]; 0 for empty, unequal or zero vectors."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(0.0)
+    return _similarity(a, b, F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
 def dense(queries: DataFrame, vectors: DataFrame, limit: int = CANDIDATES, same: list[str] | None = None, block: int = 1024) -> DataFrame:
     """queries: (qid, qv), vectors: (id, v), with the columns in same equal on both sides.
 
-    Queries meet vectors in blocks: every vector goes to each block of at most some block queries, and each block
-    keeps its best before blocks are merged.
+    Few queries go to where the vectors lie; of many, every vector goes to each block of at most some block queries, in
+    parts, so that no block is one task. Each part keeps its best before parts are merged. Norms are taken once a vector.
     """
-    many = max(1, -(-queries.count() // block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(many)).cast("int"))
-    v = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    scored = v.join(q, ["qb", *(same or [])]).select("qid", "id", cosine(F.col("qv"), F.col("v")).alias("score"))
+    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+    q = queries.withColumn("qn", length(F.col("qv")))
+    v = vectors.withColumn("vn", length(F.col("v")))
+    if few(queries, F.greatest(F.size("qv"), F.lit(0))):
+        # a constant key, so that the join is one by hash table even without other keys
+        pairs = v.withColumn("qb", F.lit(0)).join(F.broadcast(q.withColumn("qb", F.lit(0))), ["qb", *(same or [])])
+    else:
+        many, parts = max(1, -(-queries.count() // block)), 16
+        q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(many)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        pairs = v.join(q, ["qb", "vb", *(same or [])])
+    scored = pairs.select("qid", "id", _similarity(F.col("qv"), F.col("v"), F.col("qn") * F.col("vn")).alias("score"))
     return top(scored, ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id"))
 
 
