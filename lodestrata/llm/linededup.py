@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .base import SPACE_CHARS, drop, keep
 
 MIN_KEY = 10
-FANOUT = 4
-#: Batches that a whole table is fed in: under FANOUT, so the query itself compacts nothing; a feed of arriving data has its own.
-BATCHES = 3
+FANOUT = 2
+#: Batches that a whole table is fed in: over FANOUT, so the last one meets a compacted run.
+BATCHES = FANOUT + 1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,8 +34,8 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Levelled sorted runs. levels[i] lists runs of level i."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int | None = None) -> None:
+        self.spark, self.fanout = spark, fanout or FANOUT
         self.levels: list[list[DataFrame]] = []
 
     def all(self) -> DataFrame | None:

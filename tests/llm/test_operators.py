@@ -84,13 +84,15 @@ def brute_lines(rows):
 
 
 def test_line_dedup_and_compaction(spark, odd, monkeypatch):
-    monkeypatch.setattr(linededup, "FANOUT", 2)
+    seen, close = [], linededup.LineRuns.close
+    monkeypatch.setattr(linededup.LineRuns, "close", lambda store: (seen.append([len(x) for x in store.levels]), close(store)))
     r = random.Random(2)
     pool = [f"Shared line number {i}" for i in range(30)] + ["short", "", "  Shared LINE number 3 "]
     texts = ["\n".join(r.choice(pool) for _ in range(r.randint(0, 8))) for _ in range(60)]
     for d in (docs_of(spark, texts), odd):
         want = brute_lines([(x.doc_id, x.text) for x in d.collect()])
         assert sorted((tuple(x) for x in linededup.dedup_lines(d).collect()), key=repr) == want
+    assert seen[0] == [1, 1]  # the query itself compacts: two runs became one of level 1, and the last batch met it
 
 
 def test_line_runs_hold_keys_once(spark):
