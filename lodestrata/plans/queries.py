@@ -18,6 +18,11 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cycle(key, *values: str):
+    """One of the values by a row's id, as inputs that the tables themselves don't hold."""
+    return F.get(F.array(*map(F.lit, values)), F.pmod(F.col(key), F.lit(len(values))).cast("int"))
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: _read(spark, sf_dir, name))
@@ -224,9 +229,9 @@ def context_eviction(t):
     return corpus.evict_turns(m, 100).select("conv_id", "turn", "role", "tokens")
 
 
-@query("""WITH f AS (SELECT conv_id, lower(trim(arg_min(text, turn))) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT title, count(*) AS versions, max(conv_id) AS latest FROM f GROUP BY title""")
+@query("""WITH f AS (SELECT conv_id, lower(trim(arg_min(' Plan ' || (length(text) % 7) || ' ', turn))) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT title, count(*) AS versions, max(conv_id) AS latest FROM f GROUP BY title""")
 def conversation_versions(t):
-    return measure.latest_versions(t("conversations"))
+    return measure.latest_versions(t("conversations").withColumn("text", F.concat(F.lit(" Plan "), (F.length("text") % 7).cast("string"), F.lit(" "))))
 
 
 @query("""WITH o AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),
@@ -266,9 +271,9 @@ def expand_queries(t):
 _REWRITE = " ".join(f"WHEN contains(lower(q), '{k}') THEN q || ' {m}'" for k, m in X.SYNONYMS)
 
 
-@query(f"WITH d AS (SELECT conv_id, turn, text || '?' AS q FROM conversations) SELECT conv_id, turn, regexp_replace(CASE WHEN contains(q, '/') OR contains(q, ',') THEN q {_REWRITE} ELSE q END, '[?!]+$', '') AS rewritten FROM d")
+@query(f"WITH d AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' Deploy' WHEN 1 THEN ' the api error' WHEN 2 THEN ' a/b test' ELSE '' END || '?' AS q FROM conversations) SELECT conv_id, turn, regexp_replace(CASE WHEN contains(q, '/') OR contains(q, ',') THEN q {_REWRITE} ELSE q END, '[?!]+$', '') AS rewritten FROM d")
 def rewrite_queries(t):
-    return t("conversations").select("conv_id", "turn", X.rewrite_query(F.concat("text", F.lit("?"))).alias("rewritten"))
+    return t("conversations").select("conv_id", "turn", X.rewrite_query(F.concat("text", _cycle("turn", " Deploy", " the api error", " a/b test", ""), F.lit("?"))).alias("rewritten"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z]', '', 'g') AS word FROM conversations), c AS (SELECT * FROM (VALUES (0, 'search'), (1, 'status'), (2, 'help'), (3, 'history'), (4, 'exit')) AS v(i, c)),
@@ -302,17 +307,19 @@ def document_structure(t):
 _TOC_LINES = "|".join(structure.CONTENTS)
 
 
-@query(f"SELECT doc_id AS id, regexp_matches(substring(coalesce(text, ''), 1, 30000), '(?im)^\\s*(?:{_TOC_LINES}|目[ \\t\\x{{3000}}]*(?:录|錄|次))\\s*$') AS has_toc FROM documents")
+@query(f"SELECT doc_id AS id, regexp_matches(substring(coalesce(text, ''), 1, 30000), '(?im)^\\s*(?:{_TOC_LINES}|目[ \\t\\x{{3000}}]*(?:录|錄|次))\\s*$') AS has_toc FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'A title' || chr(10) || ' Contents ' || chr(10) ELSE '' END || text || CASE doc_id % 3 WHEN 1 THEN chr(10) || 'SOMMARIO' ELSE ' contents' END AS text FROM documents)")
 def contents_pages(t):
-    return _docs(t).select("id", structure.has_contents(F.col("text")).alias("has_toc"))
+    text = F.concat(_cycle("id", "A title\n Contents \n", "", ""), "text", _cycle("id", " contents", "\nSOMMARIO", " contents"))
+    return _docs(t).select("id", structure.has_contents(text).alias("has_toc"))
 
 
 _PLAN = ", ".join(f"CASE WHEN NOT regexp_matches(coalesce(text, ''), '(?im)^#+\\s*.*{x}') THEN '{x}' END" for x in structure.PLAN_SECTIONS)
 
 
-@query(f"SELECT conv_id, turn, array_to_string([{_PLAN}], '|') AS missing FROM conversations")
+@query(f"""SELECT conv_id, turn, array_to_string([{_PLAN}], '|') AS missing
+FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN chr(10) || '## Open Questions' || chr(10) || '# 2. verification plan' WHEN 1 THEN chr(10) || 'Open Questions' ELSE chr(10) || '### Proposed Changes' END AS text FROM conversations)""")
 def plan_sections(t):
-    return t("conversations").select("conv_id", "turn", F.array_join(structure.missing_sections(F.col("text")), "|").alias("missing"))
+    return t("conversations").select("conv_id", "turn", F.array_join(structure.missing_sections(F.concat("text", _cycle("turn", "\n## Open Questions\n# 2. verification plan", "\nOpen Questions", "\n### Proposed Changes"))), "|").alias("missing"))
 
 
 _PATHS = "lang || '/' || source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.HPP' ELSE '' END"
@@ -330,11 +337,14 @@ def page_markdown(t):
     return markdown.markdown_column(t("pages")).select("page_id", "markdown", F.length("markdown").alias("n_chars"))
 
 
-@query("SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0 AS has_length, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) ** 2)), 6) AS squared FROM embeddings")
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s),
+u AS (SELECT vec_id, norm, CASE WHEN norm > 0 THEN list_transform(v, lambda x: x / norm) ELSE v END AS u FROM n)
+SELECT vec_id, norm > 0 AS has_length, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS squared, round(u[1], 6) + 0.0 AS head FROM u""")
 def unit_vectors(t):
-    v = t("embeddings").select("vec_id", X.unit_vector(F.col("embedding")).alias("u"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))
+    v = t("embeddings").select("vec_id", X.unit_vector(scaled).alias("u"))
     squared = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
-    return v.select("vec_id", (squared > 0).alias("has_length"), F.round(squared, 6).alias("squared"))
+    return v.select("vec_id", (squared > 0).alias("has_length"), F.round(squared, 6).alias("squared"), (F.round(F.get("u", F.lit(0)), 6) + 0.0).alias("head"))
 
 
 @query(r"SELECT doc_id AS id, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, round(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_full_match(s, '[\s\x{0B}\x{85}\p{Z}]*'))) / len(string_split(coalesce(text, ''), chr(10))), 2) AS blank_density, length(coalesce(text, '')) > 0 AS ok FROM documents")
@@ -349,9 +359,10 @@ def reranked_search(t):
     return assess.rerank(found, shared).select("qid", "id", "rerank_score", "rank")
 
 
-@query("SELECT doc_id, regexp_replace(text, '[' || chr(8203) || '-' || chr(8207) || chr(8288) || '-' || chr(8292) || chr(8294) || '-' || chr(8297) || chr(8234) || '-' || chr(8238) || chr(65279) || chr(173) || chr(847) || chr(6158) || chr(1564) || ']', '', 'g') AS clean FROM documents")
+@query("""SELECT doc_id, regexp_replace(text, '[' || chr(8203) || '-' || chr(8207) || chr(8288) || '-' || chr(8292) || chr(8294) || '-' || chr(8297) || chr(8234) || '-' || chr(8238) || chr(65279) || chr(173) || chr(847) || chr(6158) || chr(1564) || chr(4447) || chr(4448) || chr(12644) || chr(65440) || chr(917504) || '-' || chr(917631) || ']', '', 'g') AS clean
+FROM (SELECT doc_id, text || chr(8203) || 'a' || chr(173) || chr(4447) || 'b' || chr(917569) || chr(65279) AS text FROM documents)""")
 def sanitized_texts(t):
-    return t("documents").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
+    return t("documents").select("doc_id", X.sanitize(F.concat("text", F.lit("\u200ba\u00ad\u115fb\U000e0041\ufeff"))).alias("clean"))
 
 
 @query("SELECT doc_id, 1 + length(left(text, n)) - length(replace(left(text, n), chr(10), '')) AS line FROM (SELECT doc_id, text, length(text) // 2 AS n FROM documents)")
