@@ -151,3 +151,21 @@ def saved_title(file: Column) -> Column:
 def table_cells(line: Column) -> Column:
     """Trimmed cells of a Markdown table row, without those outside its outer bars."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+
+
+def file_name(raw: Column, longest: int = 50) -> Column:
+    """A title as the name of a file: characters that file systems refuse become hyphens, runs collapse, edges and length are cut."""
+    c = F.regexp_replace(F.coalesce(raw, F.lit("")), r'[<>:"/\\|?*]', "-")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "-+", "-")
+    c = F.regexp_replace(c, r"(?U)^[.\s-]+|[.\s-]+$", "")
+    return F.when(F.length(c) > longest, F.regexp_replace(F.substring(c, 1, longest), r"(?U)[.\s-]+$", "")).otherwise(c)
+
+
+def short_title(text: Column) -> Column:
+    """A conversation's title: 57 characters and three dots of texts over 60, a stand-in without text."""
+    return F.when(text.isNull(), "Untitled Conversation").when(F.length(text) > 60, F.concat(F.substring(text, 1, 57), F.lit("..."))).otherwise(text)
+
+
+def changed_only(modified: Column, created: Column) -> Column:
+    """Modified files that weren't created too, sorted."""
+    return F.array_sort(F.array_except(modified, created))

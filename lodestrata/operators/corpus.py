@@ -70,6 +70,31 @@ def grep(docs: DataFrame, pattern: str, regex: bool = False, context: int = 2, l
     return got.orderBy("id", "line_number").limit(limit) if limit else got
 
 
+def searchable(files: DataFrame, glob: str = "**/*", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files (id, path, text) that a glob selects, with skipped: true where they are too large, or binary by a NUL in their first 512 characters."""
+    text = F.coalesce("text", F.lit(""))
+    return files.where(F.col("path").rlike(glob_regex(glob))).withColumn("skipped", (F.octet_length(text) > max_bytes) | F.contains(F.substring(text, 1, 512), F.lit("\x00")))
+
+
+def grep_files(files: DataFrame, pattern: str, glob: str = "**/*", regex: bool = False, context: int = 2, limit: int = 50, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The hits of grep in files that aren't skipped, and one row of totals: matches, searched, skipped, truncated (whether the limit left hits out)."""
+    chosen = searchable(files, glob, max_bytes)
+    hit = (lambda c: c.rlike(pattern)) if regex else (lambda c: F.contains(c, F.lit(pattern)))
+    lines_of = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    n = F.when(~F.col("skipped"), F.size(F.filter(lines_of, hit))).otherwise(0)
+    totals = chosen.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("matches"), F.count_if(~F.col("skipped")).alias("searched"), F.count_if("skipped").alias("skipped"))
+    return grep(chosen.where("NOT skipped").select("id", "text"), pattern, regex, context, limit), totals.withColumn("truncated", (F.col("matches") > limit) if limit else F.lit(False))
+
+
+def grep_context(docs: DataFrame, pattern: str, regex: bool = False, context: int = 2) -> DataFrame:
+    """(id, hit, line_number, line, is_match): every line around each hit, is_match on the hit itself."""
+    found = grep(docs, pattern, regex, context, 0)
+    low = F.greatest(F.lit(1), F.col("line_number") - context)
+    return found.select("id", F.col("line_number").alias("hit"), low.alias("low"), F.posexplode(F.split("context", "\n", -1)).alias("pos", "line")).select(
+        "id", "hit", (F.col("low") + F.col("pos")).alias("line_number"), "line", (F.col("low") + F.col("pos") == F.col("hit")).alias("is_match")
+    )
+
+
 def line_range(docs: DataFrame, start: int, end: int) -> DataFrame:
     """Lines start to end of every document, clamped, as numbered text."""
     return lines(docs).where(F.col("line_number").between(max(start, 1), end)).select("id", "line_number", F.format_string("%6d|%s", "line_number", "line").alias("shown"))
@@ -82,6 +107,40 @@ def tree(paths: DataFrame, depth: int = 10) -> DataFrame:
     return nodes.where(F.col("depth") <= depth).distinct().withColumn("name", F.element_at(F.split("node", "/"), -1)).withColumn("parent", F.regexp_extract("node", "^(.*)/[^/]+$", 1))
 
 
+def tree_order(nodes: DataFrame) -> DataFrame:
+    """Nodes of tree() with their place among those of the same parent: folders first, then names without case."""
+    return nodes.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("folder"), F.lower("name"), "name")))
+
+
+def without_namespace(store: DataFrame, prefix: str) -> DataFrame:
+    """A chunk store less every namespace that starts with a prefix, taken literally; chunks without a namespace stay."""
+    return store.where(~F.coalesce(F.startswith("namespace", F.lit(prefix)), F.lit(False)))
+
+
+def page_of_limit(pages: DataFrame, max_chars: int) -> DataFrame:
+    """(id, total_chars, truncated_at): the first page past max_chars when pages (id, page, text) are joined by blank lines, null if none is."""
+    upto = Window.partitionBy("id").orderBy("page")
+    grown = pages.withColumn("upto", F.sum(F.length(F.coalesce("text", F.lit("")))).over(upto) + 2 * (F.row_number().over(upto) - 1))
+    return grown.groupBy("id").agg(F.max("upto").alias("total_chars"), F.min(F.when(F.col("upto") > max_chars, F.col("page"))).alias("truncated_at"))
+
+
+def page_of_rows(rows: DataFrame, page: int, *order: Column | str, size: int = 5) -> DataFrame:
+    """One page (from 1) of ordered rows."""
+    return rows.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
+
+
+def corpus_sums(sources: DataFrame) -> DataFrame:
+    """One row over extracted sources (text, pages, size_mb, has_toc): sums, and whether any has a contents page."""
+    from ..functions import text as X
+
+    t = F.coalesce("text", F.lit(""))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return sources.agg(
+        F.count(F.lit(1)).alias("sources"), total(F.col("pages")).alias("pages"), F.round(F.coalesce(F.sum("size_mb"), F.lit(0.0)), 2).alias("size_mb"), total(F.length(t)).alias("chars"),
+        total(X.word_count(t)).alias("words"), total(X.budget_tokens(t)).alias("tokens"), F.coalesce(F.bool_or("has_toc"), F.lit(False)).alias("has_toc"),
+    )
+
+
 def changed_files(live: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (layer, path, file_hash) that are new or changed, and known ones that are gone."""
     old = known.withColumnRenamed("file_hash", "old_hash")

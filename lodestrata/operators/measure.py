@@ -21,6 +21,36 @@ def conversation_cost(messages: DataFrame, rate_in: float, rate_out: float, mult
     return sums.withColumn("cost", (F.col("tokens_in") * rate_in + F.col("tokens_out") * rate_out) / 1e6)
 
 
+def audit(messages: DataFrame, multiplier: float = 1.6, overhead: float = 12) -> DataFrame:
+    """(conv_id, tokens_in, tokens_out), each rounded down.
+
+    What the assistant says and what its calls hold counts both ways, condensed messages as input alone, an answer's id and name as input too.
+    messages: (conv_id, role, text, condensed, call_id, name, tool_calls array<struct<id, name, arguments>>).
+    """
+    m = lambda c: X.message_tokens(c, multiplier)
+    plain = ~F.coalesce("condensed", F.lit(False))
+    said = m(F.col("text"))
+    call = lambda c: m(c["id"]) + m(c["name"]) + F.length(F.coalesce(c["arguments"], F.lit(""))) / 4 * multiplier + overhead
+    calls = F.when(plain, F.coalesce(F.aggregate("tool_calls", F.lit(0.0), lambda s, c: s + call(c)), F.lit(0.0))).otherwise(0.0)
+    named = F.when(plain & (F.col("role") == "tool"), m(F.col("call_id")) + m(F.col("name"))).otherwise(0.0)
+    out = F.when(plain & (F.col("role") == "assistant"), said).otherwise(0.0) + calls
+    return messages.groupBy("conv_id").agg(F.floor(F.round(F.sum(said + named + calls), 6)).alias("tokens_in"), F.floor(F.round(F.sum(out), 6)).alias("tokens_out"))
+
+
+def audit_cost(usage: DataFrame, prices: DataFrame, default: tuple[float, float, float]) -> DataFrame:
+    """Costs of usage (model, tokens_in, tokens_out, tokens_missed) by a table of prices (model, rate_in, rate_out, rate_missed) for a million tokens; unlisted models pay the default."""
+    rates = ("rate_in", "rate_out", "rate_missed")
+    got = usage.join(prices, "model", "left")
+    for name, rate in zip(rates, default, strict=True):
+        got = got.withColumn(name, F.coalesce(name, F.lit(float(rate))))
+    return got.withColumn("cost", (F.col("tokens_in") * F.col("rate_in") + F.col("tokens_out") * F.col("rate_out") + F.col("tokens_missed") * F.col("rate_missed")) / 1e6).drop(*rates)
+
+
+def answered_calls(calls: DataFrame, answers: DataFrame) -> DataFrame:
+    """Calls (conv_id, call_id, tool) with what answered them (conv_id, call_id, text), if anything did."""
+    return calls.join(answers, ["conv_id", "call_id"], "left")
+
+
 def history_search(messages: DataFrame, word: str) -> DataFrame:
     """Conversations in which a user or the assistant uses a word, whole and in any case, with their number of hits; latest first by id."""
     hit = F.col("text").rlike(r"(?i)\b\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E\b") & F.col("role").isin("user", "assistant")

@@ -160,6 +160,42 @@ def merged_subqueries(queries: DataFrame, search, limit: int = CANDIDATES) -> Da
     return top(best, ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id"))
 
 
+def search(
+    queries: DataFrame, mode: str = "hybrid", *, index: Index | None = None, vectors: DataFrame | None = None, about: DataFrame | None = None, layer: str | None = None,
+    namespace: str | None = None, top_k: int = 5, min_score: float | None = None, max_tokens: int | None = None, expand: bool = False,
+) -> DataFrame:
+    """Keyword, dense or hybrid search with filters, a score floor and a token budget.
+
+    queries: (qid, query) and for dense and hybrid qv; vectors: (id, v); about: (id, layer, namespace, tokens), needed for filters and budgets.
+    A layer or namespace chooses vectors before they are ranked, and keyword candidates after. Returns what hybrid() does, ranked anew, with
+    truncated: how many results of a query the budget left out.
+    """
+    if mode not in ("keyword", "dense", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
+    again = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    wanted = None
+    if layer is not None or namespace is not None:
+        wanted = about.where(F.lit(True) if layer is None else F.col("layer") == layer).where(F.lit(True) if namespace is None else F.col("namespace") == namespace).select("id")
+    sparse = found = None
+    if mode != "dense":
+        asked = queries.select("qid", "query")
+        sparse = merged_subqueries(asked, lambda q: bm25(q, index, CANDIDATES)) if expand else bm25(asked, index, CANDIDATES)
+        if wanted is not None:
+            sparse = again(sparse.join(wanted, "id", "left_semi"))
+    if mode != "keyword":
+        found = dense(queries.select("qid", "qv"), vectors if wanted is None else vectors.join(wanted, "id", "left_semi"))
+    got = hybrid(sparse, found)
+    if min_score is not None:
+        got = again(got.where(F.col("score") >= min_score))
+    got = got.where(F.col("rank") <= top_k)
+    if max_tokens is None:
+        return got.withColumn("truncated", F.lit(0).cast("long"))
+    sized = got.join(about.select("id", "tokens"), "id")
+    kept = within_budget(sized, max_tokens).drop("tokens")
+    counts = got.groupBy("qid").agg(F.count(F.lit(1)).alias("all"))
+    return again(kept.join(counts, "qid").withColumn("truncated", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("qid"))).drop("all"))
+
+
 def within_budget(results: DataFrame, max_tokens: int, keep_ratio: float = 0.9) -> DataFrame:
     """Greedy by rank: a result that doesn't fit is skipped and later ones may still fit; a first result too large alone is kept.
 

@@ -148,13 +148,13 @@ def keyword_search_layer(t):
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).select("qid", "id", "rank", F.round("s", 6).alias("score"))
 
 
-@query(f"""WITH {_BM25}, r AS (SELECT qid, rank, score, contains(d.text, substring(b.text, 1, 60)) AS good FROM rk JOIN documents d ON d.doc_id = rk.id JOIN benchmark b ON b.item_id = qid WHERE rank <= 10),
+@query(f"""WITH {_BM25}, r AS (SELECT qid, rank, score, contains(d.text, b.text) AS good FROM rk JOIN documents d ON d.doc_id = rk.id JOIN benchmark b ON b.item_id = qid WHERE rank <= 10),
 b AS (SELECT qid, min(rank) FILTER (WHERE good) AS first, sum((good AND rank <= 3)::INT) AS good3, arg_min(score, rank) AS top FROM r GROUP BY qid),
 a AS (SELECT * FROM (SELECT item_id AS qid FROM benchmark) LEFT JOIN b USING (qid))
 SELECT count(*) AS n, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(coalesce(good3, 0) / 3.0), 6) AS p3,
        round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, round(avg(coalesce(top, 0.0)), 6) AS avg_top_score FROM a""")
 def retrieval_quality(t):
-    got = _sparse(t, 10).join(_docs(t), "id").join(_items(t), "qid").withColumn("relevant", F.contains(F.col("text"), F.substring("query", 1, 60)))
+    got = _sparse(t, 10).join(_docs(t), "id").join(_items(t), "qid").withColumn("relevant", F.contains(F.col("text"), F.col("query")))
     m = measure.retrieval_metrics(got, _items(t))
     return m.select("n", *(F.round(c, 6).alias(c) for c in m.columns if c != "n"))
 
