@@ -168,7 +168,7 @@ def search(
 
     queries: (qid, query) and for dense and hybrid qv; vectors: (id, v); about: (id, layer, namespace, tokens), needed for filters and budgets.
     A layer or namespace chooses vectors before they are ranked, and keyword candidates after. Returns what hybrid() does, ranked anew, with
-    truncated: how many results of a query the budget left out.
+    truncated: how many results of a query the budget left out. A result of unknown size costs no tokens.
     """
     if mode not in ("keyword", "dense", "hybrid"):
         raise ValueError(f"no such mode: {mode}")
@@ -190,7 +190,7 @@ def search(
     got = got.where(F.col("rank") <= top_k)
     if max_tokens is None:
         return got.withColumn("truncated", F.lit(0).cast("long"))
-    sized = got.join(about.select("id", "tokens"), "id")
+    sized = got.join(about.select("id", "tokens"), "id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     kept = within_budget(sized, max_tokens).drop("tokens")
     counts = got.groupBy("qid").agg(F.count(F.lit(1)).alias("all"))
     return again(kept.join(counts, "qid").withColumn("truncated", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("qid"))).drop("all"))

@@ -38,7 +38,7 @@ def search_dense(t):
 
 
 @query(f"""WITH RECURSIVE {_HYBRID}, g AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM h WHERE score >= 0.2),
-m AS (SELECT g.*, CAST(ceil(length(d.text) / 4.0) AS BIGINT) AS tokens FROM g JOIN documents d ON d.doc_id = g.id WHERE r <= 5),
+m AS (SELECT g.*, coalesce(CAST(ceil(length(d.text) / 4.0) AS BIGINT), 0) AS tokens FROM g LEFT JOIN documents d ON d.doc_id = g.id WHERE r <= 5),
 w AS (SELECT qid, id, score, r, tokens, true AS kept, tokens AS used FROM m WHERE r = 1
       UNION ALL SELECT m.qid, m.id, m.score, m.r, m.tokens, w.used + m.tokens <= 900, CASE WHEN w.used + m.tokens <= 900 THEN w.used + m.tokens ELSE w.used END FROM w JOIN m ON m.qid = w.qid AND m.r = w.r + 1),
 c AS (SELECT qid, count(*) AS n FROM m GROUP BY qid)
