@@ -1,8 +1,8 @@
-"""Incremental maintenance from file events: debounce, change detection, replace and delete."""
+"""Incremental maintenance from file events: debounce, change detection, an append-only chunk store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,24 +15,58 @@ def debounce(events: DataFrame, gap: str, key: str = "path", ts: str = "ts", kin
     )
 
 
+def _folders(path: Column) -> Column:
+    """Every folder above a path: a/b/c lies in a and a/b."""
+    parts = F.split(path, "/")
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def apply_events(store: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
     """The chunk store after debounced events: chunks of changed and removed paths go, fresh chunks of added and changed ones come."""
-    gone = events.select("path").distinct()
-    folders = events.where("last_kind = 'unlinkDir'").select(F.concat("path", F.lit("/")).alias("prefix"))
-    kept = store.join(gone, store.file_path == gone.path, "left_anti")
-    kept = kept.join(folders, F.startswith(kept.file_path, folders.prefix), "left_anti")
+    gone = events.select(F.col("path").alias("file_path"))
+    removed = events.where("last_kind = 'unlinkDir'").select("path")
+    # a path is compared with removed folders by its own folders, so that the join is by key
+    inside = store.select("file_path").distinct().select("file_path", F.explode(_folders(F.col("file_path"))).alias("path")).join(removed, "path", "left_semi").select("file_path")
+    kept = store.join(gone.unionByName(inside).distinct(), "file_path", "left_anti").select(store.columns)
     live = events.where("last_kind IN ('add', 'change')").select(F.col("path").alias("file_path"))
     return kept.unionByName(fresh.join(live, "file_path", "left_semi").select(store.columns))
 
 
-def maintain(stream: DataFrame, root: str, chunks_of, checkpoint: str, gap: str = "700 milliseconds", late: str = "10 seconds"):
-    """Start a query that keeps a versioned chunk store under root up to date. chunks_of(paths) returns their chunks."""
-    spark = stream.sparkSession
+CHUNKS, GONE = "chunks", "gone"
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that are alive in a store that maintain() keeps: those of a path's last epoch, unless a folder above it was removed since."""
+    chunks, gone = (spark.read.parquet(f"{root}/{name}") for name in (CHUNKS, GONE))
+    last = gone.where("NOT folder").groupBy(F.col("path").alias("file_path")).agg(F.max("epoch").alias("ended"))
+    folders = gone.where("folder").groupBy("path").agg(F.max("epoch").alias("ended"))
+    under = chunks.select("file_path").distinct().select("file_path", F.explode(_folders(F.col("file_path"))).alias("path")).join(folders, "path").select("file_path", "ended")
+    ends = last.unionByName(under).groupBy("file_path").agg(F.max("ended").alias("ended"))
+    return chunks.join(ends, "file_path", "left").where(F.col("ended").isNull() | (F.col("epoch") >= F.col("ended"))).select([c for c in chunks.columns if c != "epoch"])
+
+
+def write_epoch(root: str, epoch: int, batch: DataFrame, fresh: DataFrame) -> None:
+    """Append one batch of debounced events (path, last_kind) and the chunks of its added and changed paths; no earlier file is touched, a repeated epoch replaces itself."""
+    live = batch.where("last_kind IN ('add', 'change')").select(F.col("path").alias("file_path")).distinct()
+    fresh.join(live, "file_path", "left_semi").select(fresh.columns).write.mode("overwrite").parquet(f"{root}/{CHUNKS}/epoch={epoch}")
+    batch.select("path", (F.col("last_kind") == "unlinkDir").alias("folder")).distinct().write.mode("overwrite").parquet(f"{root}/{GONE}/epoch={epoch}")
+
+
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """Write what is alive as a store of one epoch elsewhere; readers change over by its name."""
+    read_store(spark, root).write.mode("overwrite").parquet(f"{target}/{CHUNKS}/epoch=0")
+    spark.createDataFrame([], "path string, folder boolean").write.mode("overwrite").parquet(f"{target}/{GONE}/epoch=0")
+
+
+def maintain(stream: DataFrame, root: str, chunks_of, checkpoint: str, gap: str = "700 milliseconds", late: str = "10 seconds", available_now: bool = False):
+    """Start a query that keeps the chunk store under root up to date; read_store() reads it at any time. chunks_of(paths) returns their chunks (file_path, ...)."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        latest = f"{root}/v{epoch - 1}" if epoch else None
-        fresh = chunks_of(batch.where("last_kind IN ('add', 'change')").select("path"))
-        store = spark.read.parquet(latest) if latest else spark.createDataFrame([], fresh.schema)
-        apply_events(store, batch, fresh).write.mode("overwrite").parquet(f"{root}/v{epoch}")  # a repeated epoch writes the same version again
+        batch = batch.persist()
+        try:
+            write_epoch(root, epoch, batch, chunks_of(batch.where("last_kind IN ('add', 'change')").select("path").distinct()))
+        finally:
+            batch.unpersist()
 
-    return debounce(stream.withWatermark("ts", late), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step).start()
+    query = debounce(stream.withWatermark("ts", late), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step)
+    return (query.trigger(availableNow=True) if available_now else query).start()

@@ -163,6 +163,53 @@ def test_apply_events(spark):
     assert {tuple(r) for r in got} == {("a", "new"), ("b", "stay")}
 
 
+def test_store_of_epochs(spark, tmp_path):
+    kinds, s = "path string, last_kind string", "file_path string, text string"
+    root = str(tmp_path / "store")
+    step = lambda epoch, events, chunks: maintain.write_epoch(root, epoch, spark.createDataFrame(events, kinds), spark.createDataFrame(chunks, s))
+    alive = lambda where=root: {tuple(r) for r in maintain.read_store(spark, where).collect()}
+    step(0, [("a", "add"), ("d/x", "add"), ("d/e/y", "add"), ("dd/z", "add")], [("a", "1"), ("a", "2"), ("d/x", "3"), ("d/e/y", "4"), ("dd/z", "5"), ("other", "no")])
+    assert len(alive()) == 5
+    step(1, [("a", "change"), ("d", "unlinkDir")], [("a", "6")])
+    assert alive() == {("a", "6"), ("dd/z", "5")}
+    step(2, [("d/x", "add"), ("a", "unlink")], [("d/x", "7")])
+    assert alive() == {("d/x", "7"), ("dd/z", "5")}
+    step(2, [("d/x", "add"), ("a", "unlink")], [("d/x", "7")])
+    assert alive() == {("d/x", "7"), ("dd/z", "5")}
+    maintain.compact(spark, root, str(tmp_path / "small"))
+    assert alive(str(tmp_path / "small")) == alive()
+
+
+def test_maintain_streams_into_the_store(spark, tmp_path):
+    s = "path string, ts timestamp, kind string"
+    rows = [("a", "2024-01-01 00:00:00", "add"), ("b/c", "2024-01-01 00:00:01", "add"), ("b", "2024-01-01 00:01:00", "unlinkDir"), ("z", "2024-01-01 01:00:00", "add")]
+    events, root = str(tmp_path / "events"), str(tmp_path / "store")
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "path string, ts string, kind string").selectExpr("path", "CAST(ts AS TIMESTAMP) AS ts", "kind").write.parquet(f"{events}/{i}")
+    stream = spark.readStream.schema(s).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(events)
+    chunks = lambda paths: paths.selectExpr("path AS file_path", "concat('text of ', path) AS text")
+    q = maintain.maintain(stream, root, chunks, str(tmp_path / "c"), available_now=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {tuple(r) for r in maintain.read_store(spark, root).collect()} == {("a", "text of a")}
+
+
+def test_search_arguments(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red fox red"), (3, "blue whale")], "id long, text string")
+    about = spark.createDataFrame([(1, "l", "n", 5), (2, "m", "n", 90), (3, "l", "o", 5)], "id long, layer string, namespace string, tokens long")
+    q = spark.createDataFrame([(7, "red fox", [1.0, 0.0])], "qid long, query string, qv array<double>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "id long, v array<double>")
+    index = search.build_index(docs)
+    ids = lambda **k: [(r.id, r.rank, r.truncated) for r in search.search(q, index=index, vectors=vectors, about=about, **k).orderBy("rank").collect()]
+    assert ids(mode="keyword", layer="m") == [(2, 1, 0)]
+    assert ids(mode="dense", min_score=0.5) == [(1, 1, 0), (2, 2, 0)]
+    assert [i for i, _, _ in ids(namespace="n")] == [1, 2]
+    assert ids(mode="dense", max_tokens=50) == [(1, 1, 1), (3, 2, 1)]
+    assert [i for i, _, _ in ids(mode="keyword", expand=True, top_k=1)] == [i for i, _, _ in ids(mode="keyword", top_k=1)]
+    with pytest.raises(ValueError, match="mode"):
+        search.search(q, "other")
+
+
 def test_history_word_is_literal(spark):
     m = spark.createDataFrame([(1, 0, "user", "what is C.x here"), (2, 0, "user", "what is Cyx here"), (3, 0, "system", "C.x")], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in measure.history_search(m, "c.x").collect()] == [1]
