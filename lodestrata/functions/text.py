@@ -169,3 +169,29 @@ def short_title(text: Column) -> Column:
 def changed_only(modified: Column, created: Column) -> Column:
     """Modified files that weren't created too, sorted."""
     return F.array_sort(F.array_except(modified, created))
+
+
+_STRING = r'"(?:\\.|[^"\\])*"'
+
+
+def repaired_json(raw: Column) -> Column:
+    """Cut-off JSON with its open string, braces and brackets closed, braces first; null where that gives no valid JSON."""
+    bare = F.regexp_replace(raw, r'(?s)' + _STRING, "")
+    closed = F.when(F.contains(bare, F.lit('"')), F.concat(raw, F.lit('"'))).otherwise(raw)
+    outside = F.regexp_replace(closed, r'(?s)' + _STRING, "")
+    missing = lambda o, c: F.repeat(F.lit(c), F.greatest(F.lit(0), F.regexp_count(outside, F.lit("\\" + o)) - F.regexp_count(outside, F.lit("\\" + c))))
+    full = F.concat(closed, missing("{", "}"), missing("[", "]"))
+    return F.when(F.try_parse_json(full).isNotNull(), full)
+
+
+def fenced_block(text: Column, kind: str = "json") -> Column:
+    """The inside of the first fence of a kind, or of one without a kind; null if there is none."""
+    found = F.regexp_extract(text, r"(?s)```(?:" + kind + r")?[ \t]*\n(.*?)\n?```", 1)
+    return F.when(found != "", found)
+
+
+def relevant(file_path: Column, text: Column, file: Column, terms: Column, every: bool = False) -> Column:
+    """Whether a result comes from a file (a part of its path; null: any) and holds any or all of the terms, in any case; no terms are always held."""
+    held = lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(t))
+    terms = F.coalesce(terms, F.array().cast("array<string>"))
+    return F.coalesce(F.contains(F.coalesce(file_path, F.lit("")), file), F.lit(True)) & ((F.size(terms) == 0) | (F.forall(terms, held) if every else F.exists(terms, held)))

@@ -65,6 +65,30 @@ def retrieval_metrics(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     return all_.agg(F.count(F.lit(1)).alias("n"), at(1).alias("hit1"), at(3).alias("hit3"), F.avg(F.coalesce(F.col("good3"), F.lit(0)) / 3.0).alias("p3"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce("top", F.lit(0.0))).alias("avg_top_score"))
 
 
+def token_savings(results: DataFrame, sources: DataFrame, overhead: int = 60) -> DataFrame:
+    """(qid, tokens_with, tokens_without, savings): what a query's results (qid, tokens) and the framing of a call cost against its whole sources (qid, tokens), in percent."""
+    cost = results.groupBy("qid").agg(F.sum("tokens").alias("t"))
+    whole = sources.groupBy("qid").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens_without"))
+    got = whole.join(cost, "qid", "left").withColumn("tokens_with", F.coalesce("t", F.lit(0)) + overhead)
+    saved = F.when(F.col("tokens_without") > 0, (1 - F.col("tokens_with") / F.col("tokens_without")) * 100).otherwise(0.0)
+    return got.select("qid", "tokens_with", "tokens_without", saved.alias("savings"))
+
+
+def confidence(found: DataFrame, queries: DataFrame, min_score: float = 0.6) -> DataFrame:
+    """One row: how many queries there are, the share whose best result stays under min_score, and mean tokens of their results (qid, score, tokens)."""
+    each = queries.select("qid").join(found.groupBy("qid").agg(F.max("score").alias("best"), F.sum("tokens").alias("t")), "qid", "left")
+    return each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.coalesce("best", F.lit(0.0)) < min_score, 1.0).otherwise(0.0)).alias("low_confidence"), F.avg(F.coalesce("t", F.lit(0))).alias("mean_tokens"))
+
+
+def plain_answers(results: DataFrame, expected: DataFrame, longest: int = 500) -> DataFrame:
+    """(qid, id, answer): the first of a query's results (qid, id, rank, file_path, text) from its expected source (qid, source), or else its first, as an excerpt; null without results."""
+    told = results.join(expected, "qid").withColumn("other", ~F.coalesce(F.contains(F.coalesce("file_path", F.lit("")), F.col("source")), F.lit(False)))
+    best = told.groupBy("qid").agg(F.min_by(F.struct("id", "text"), F.struct("other", "rank")).alias("b"))
+    text = F.coalesce("b.text", F.lit(""))
+    cut = F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+    return expected.select("qid").join(best.select("qid", F.col("b.id").alias("id"), cut.alias("answer")), "qid", "left")
+
+
 def nearest_rank(values: DataFrame, by: str, column: str) -> DataFrame:
     """Count, extremes, mean and nearest-rank percentiles of each group."""
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")

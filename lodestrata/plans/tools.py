@@ -212,3 +212,55 @@ def changed_files(t):
     live = t("documents").select(F.col("lang").alias("layer"), F.col("doc_id").alias("path"), F.sha2("text", 256).alias("file_hash"))
     known = live.where("path % 7 <> 0").withColumn("file_hash", F.when(F.col("path") % 3 == 0, F.lit("old")).otherwise(F.col("file_hash")))
     return corpus.changed_files(live, known)[0].select(F.col("path").alias("doc_id"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"a": "' || w WHEN 1 THEN '{"a": {"b": [1, 2' || ']' WHEN 2 THEN '{"a": "x\"{' || w || '", "b": {"c": 1' WHEN 3 THEN '["' || w ELSE '{"a": ' END AS raw FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)),
+c AS (SELECT doc_id, raw || CASE WHEN contains(regexp_replace(raw, '(?s)"(?:\\.|[^"\\])*"', '', 'g'), '"') THEN '"' ELSE '' END AS closed FROM r), o AS (SELECT *, regexp_replace(closed, '(?s)"(?:\\.|[^"\\])*"', '', 'g') AS outside FROM c),
+f AS (SELECT doc_id, closed || repeat('}', greatest(0, len(string_split(outside, '{')) - len(string_split(outside, '}')))) || repeat(']', greatest(0, len(string_split(outside, '[')) - len(string_split(outside, ']')))) AS full FROM o)
+SELECT doc_id, CASE WHEN json_valid("full") THEN "full" END AS json FROM f""")
+def repaired_json(t):
+    w = F.regexp_extract("text", "[A-Za-z]+", 0)
+    n = F.col("doc_id") % 5
+    raw = F.when(n == 0, F.concat(F.lit('{"a": "'), w)).when(n == 1, '{"a": {"b": [1, 2]').when(n == 2, F.concat(F.lit('{"a": "x\\"{'), w, F.lit('", "b": {"c": 1'))).when(n == 3, F.concat(F.lit('["'), w)).otherwise('{"a": ')
+    return t("documents").select("doc_id", X.repaired_json(raw).alias("json"))
+
+
+@query(r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN left(replace(text, '`', ''), 40) WHEN 1 THEN regexp_replace(left(replace(text, '`', ''), 20), '\n$', '') END AS block FROM documents WHERE text <> ''")
+def fenced_blocks(t):
+    head = lambda n: F.substring(F.replace("text", F.lit("`"), F.lit("")), 1, n)
+    n = F.col("doc_id") % 3
+    text = F.when(n == 0, F.concat(F.lit("Here:\n```json\n"), head(40), F.lit("\n```\nand ```json\n2\n```"))).when(n == 1, F.concat(F.lit("```\n"), head(20), F.lit("```"))).otherwise(F.concat(F.lit("```json"), head(20)))
+    return t("documents").where("text <> ''").select("doc_id", X.fenced_block(text).alias("block"))
+
+
+@query("SELECT doc_id, starts_with(source, 'src1') AND (contains(lower(text), 'tion') OR contains(lower(text), 'than')) AS some, contains(lower(text), 'tion') AND contains(lower(text), 'than') AS every FROM documents")
+def relevant_results(t):
+    terms = F.array(F.lit("TION"), F.lit("Than"))
+    path = F.concat(F.lit("books/"), F.col("source"), F.lit(".md"))
+    return t("documents").select("doc_id", X.relevant(path, F.col("text"), F.lit("/src1"), terms).alias("some"), X.relevant(path, F.col("text"), F.lit(None).cast("string"), terms, True).alias("every"))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT qid, CAST(sum(ceil(length(d.text) / 4.0)) AS BIGINT) AS t FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5 GROUP BY qid), s AS (SELECT CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS whole FROM documents WHERE source = 'src1')
+SELECT item_id AS qid, coalesce(t, 0) + 60 AS tokens_with, whole AS tokens_without, round((1 - (coalesce(t, 0) + 60) / whole::DOUBLE) * 100, 6) AS savings FROM benchmark LEFT JOIN r ON r.qid = item_id CROSS JOIN s""")
+def token_savings(t):
+    sizes = _about(t)
+    whole = sizes.where("namespace = 'src1'").agg(F.sum("tokens").alias("tokens")).withColumn("one", F.lit(1))
+    sources = _items(t).select("qid", F.lit(1).alias("one")).join(whole, "one").select("qid", "tokens")
+    got = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(sizes.select("id", "tokens"), "id")
+    return measure.token_savings(got, sources).withColumn("savings", F.round("savings", 6))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT qid, max(1 - 1 / (1 + score)) AS best, sum(ceil(length(d.text) / 4.0)) AS t FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5 GROUP BY qid)
+SELECT count(*) AS n, round(avg(CASE WHEN coalesce(best, 0) < 0.98 THEN 1.0 ELSE 0.0 END), 6) AS low_confidence, round(avg(coalesce(t, 0)), 6) AS mean_tokens FROM benchmark LEFT JOIN r ON r.qid = item_id""")
+def search_confidence(t):
+    got = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(_about(t).select("id", "tokens"), "id").withColumn("score", X.saturation(F.col("score")))
+    m = measure.confidence(got, _items(t), 0.98)
+    return m.select("n", F.round("low_confidence", 6).alias("low_confidence"), F.round("mean_tokens", 6).alias("mean_tokens"))
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT qid, rk.id, rank, source, text FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source <> 'src' || qid % 4, rank) AS place FROM r)
+SELECT item_id AS qid, id, CASE WHEN length(b.text) > 500 THEN left(b.text, 500) || '...' ELSE b.text END AS answer FROM benchmark LEFT JOIN b ON b.qid = item_id AND place = 1""")
+def plain_answers(t):
+    found = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(t("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/x.md")).alias("file_path"), "text"), "id")
+    expected = _items(t).select("qid", F.concat(F.lit("src"), (F.col("qid") % 4).cast("string"), F.lit("/")).alias("source"))
+    return measure.plain_answers(found, expected)
