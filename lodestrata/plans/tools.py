@@ -233,11 +233,11 @@ def fenced_blocks(t):
     return t("documents").where("text <> ''").select("doc_id", X.fenced_block(text).alias("block"))
 
 
-@query("SELECT doc_id, starts_with(source, 'src1') AND (contains(lower(text), 'tion') OR contains(lower(text), 'than')) AS some, contains(lower(text), 'tion') AND contains(lower(text), 'than') AS every FROM documents")
+@query("SELECT doc_id, starts_with(source, 'src1') AND (contains(lower(text), 'tion') OR contains(lower(text), 'than')) AS any_term, contains(lower(text), 'tion') AND contains(lower(text), 'than') AS all_terms FROM documents")
 def relevant_results(t):
     terms = F.array(F.lit("TION"), F.lit("Than"))
     path = F.concat(F.lit("books/"), F.col("source"), F.lit(".md"))
-    return t("documents").select("doc_id", X.relevant(path, F.col("text"), F.lit("/src1"), terms).alias("some"), X.relevant(path, F.col("text"), F.lit(None).cast("string"), terms, True).alias("every"))
+    return t("documents").select("doc_id", X.relevant(path, F.col("text"), F.lit("/src1"), terms).alias("any_term"), X.relevant(path, F.col("text"), F.lit(None).cast("string"), terms, True).alias("all_terms"))
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT qid, CAST(sum(ceil(length(d.text) / 4.0)) AS BIGINT) AS t FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5 GROUP BY qid), s AS (SELECT CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS whole FROM documents WHERE source = 'src1')
