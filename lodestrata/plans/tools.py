@@ -134,10 +134,10 @@ def namespace_delete(t):
 
 @query("""WITH p AS (SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
 c AS (SELECT id, page, sum(length(text)) OVER (PARTITION BY id ORDER BY page) + 2 * (row_number() OVER (PARTITION BY id ORDER BY page) - 1) AS upto FROM p)
-SELECT id, CAST(max(upto) AS BIGINT) AS total_chars, CAST(min(page) FILTER (WHERE upto > 1500) AS INTEGER) AS truncated_at FROM c GROUP BY id""")
+SELECT id, CAST(max(upto) AS BIGINT) AS total_chars, CAST(coalesce(min(page) FILTER (WHERE upto > 1500), 0) AS INTEGER) AS truncated_at FROM c GROUP BY id""")
 def page_of_limit(t):
     pages = corpus.lines(_docs(t)).select("id", F.col("line_number").alias("page"), F.col("line").alias("text"))
-    return corpus.page_of_limit(pages, 1500)
+    return corpus.page_of_limit(pages, 1500).withColumn("truncated_at", F.coalesce("truncated_at", F.lit(0)))
 
 
 @query(r"SELECT conv_id, count(*) AS n_hits, min(turn) AS first_turn FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '(?i)\bthe\b') GROUP BY conv_id ORDER BY conv_id DESC LIMIT 5 OFFSET 10")
@@ -176,12 +176,12 @@ def audit_cost(t):
 
 
 @query("""WITH c AS (SELECT conv_id, 'c' || turn AS call_id, length(text) AS n FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'user')
-SELECT c.conv_id, c.call_id, n, length(r.text) AS answered FROM c LEFT JOIN r USING (conv_id, call_id)""")
+SELECT c.conv_id, c.call_id, n, coalesce(length(r.text), -1) AS answered FROM c LEFT JOIN r USING (conv_id, call_id)""")
 def answered_calls(t):
     c = t("conversations")
     calls = c.where("role = 'assistant'").select("conv_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), F.length("text").cast("long").alias("n"))
     answers = c.where("role = 'user'").select("conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "text")
-    return measure.answered_calls(calls, answers).select("conv_id", "call_id", "n", F.length("text").cast("long").alias("answered"))
+    return measure.answered_calls(calls, answers).select("conv_id", "call_id", "n", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("answered"))
 
 
 @query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' .a<b>: "c"--' WHEN 1 THEN 'x/y\z|?*  ' ELSE '' END || left(text, 45) || ' -. ' AS raw FROM documents),
@@ -259,8 +259,8 @@ def search_confidence(t):
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT qid, rk.id, rank, source, text FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source <> 'src' || qid % 4, rank) AS place FROM r)
-SELECT item_id AS qid, id, CASE WHEN length(b.text) > 500 THEN left(b.text, 500) || '...' ELSE b.text END AS answer FROM benchmark LEFT JOIN b ON b.qid = item_id AND place = 1""")
+SELECT item_id AS qid, coalesce(id, -1) AS id, CASE WHEN length(b.text) > 500 THEN left(b.text, 500) || '...' ELSE b.text END AS answer FROM benchmark LEFT JOIN b ON b.qid = item_id AND place = 1""")
 def plain_answers(t):
     found = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(t("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/x.md")).alias("file_path"), "text"), "id")
     expected = _items(t).select("qid", F.concat(F.lit("src"), (F.col("qid") % 4).cast("string"), F.lit("/")).alias("source"))
-    return measure.plain_answers(found, expected)
+    return measure.plain_answers(found, expected).withColumn("id", F.coalesce("id", F.lit(-1)))
