@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, lm, mixing, neardup, packing, pii, quality, rules, topk, toxicity
+from . import centroids, ctph, linededup, lm, mixing, neardup, packing, pii, quality, rules, spelling, topk, toxicity
 from .base import table
 
 
@@ -37,6 +37,9 @@ QUERIES = {
     "op8_mixing": _documents(_mixed),
     "op9_packing": _documents(packing.pack),
     "op10_lm": _documents(lm.score_corpus),
+    "op11_spelling": _documents(spelling.group_variants),
+    "op12_fingerprints": _documents(ctph.fingerprints),
+    "op13_centroids": lambda spark, sf_dir: centroids.cluster_vectors(table(spark, sf_dir, "embeddings")),
 }
 
-ORACLES = {"op2_line_dedup": linededup.ORACLE, "op3_topk": topk.ORACLE, "op4_near_dup": neardup.ORACLE}
+ORACLES = {"op2_line_dedup": linededup.ORACLE, "op3_topk": topk.ORACLE, "op4_near_dup": neardup.ORACLE, "op11_spelling": spelling.ORACLE, "op13_centroids": centroids.ORACLE}
