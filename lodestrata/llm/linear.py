@@ -8,6 +8,8 @@ import numpy as np
 
 BITS = 20
 WIDTH = 1 << BITS
+#: Letters of the stems that make words a family, and from how many distinct words on a text's family counts as larger.
+STEMS, FAMILIES = (4, 5, 6, 7), (2, 3)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -39,14 +41,14 @@ class Hasher:
         return got
 
     def with_prefixes(self, token: str) -> tuple[int, ...]:
-        """Hashes of a token and of its prefixes of 3 to 6 letters, marked by a tilde."""
+        """Hashes of a token and of its stems (prefixes of STEMS letters), marked by a tilde."""
         got = self.prefixes.get(token)
         if got is None:
             import xxhash
 
             if len(self.prefixes) >= self.limit:
                 self.prefixes.clear()
-            got = tuple(xxhash.xxh3_64_intdigest(x) for x in (token, *(f"{token[:k]}~" for k in (3, 4, 5, 6) if len(token) > k)))
+            got = tuple(xxhash.xxh3_64_intdigest(x) for x in (token, *(f"{token[:k]}~" for k in STEMS if len(token) > k)))
             self.prefixes[token] = got
         return got
 
@@ -77,13 +79,16 @@ def ngram_features(text: str | None, hasher: Hasher) -> np.ndarray:
 
 
 def presence_features(text: str | None, hasher: Hasher) -> np.ndarray:
-    """Distinct feature slots of a text's lower-cased words and their prefixes of 3 to 6 letters."""
+    """Distinct feature slots of a text's lower-cased words, of their stems, and of stems that FAMILIES distinct words or more share."""
     keys: list[int] = []
     for t in set(_TOKEN.findall((text or "").lower())):
         keys.extend(hasher.with_prefixes(t))
     if not keys:
         return np.empty(0, np.int64)
-    return np.unique((np.array(keys, np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
+    u, c = np.unique(np.array(keys, np.uint64), return_counts=True)
+    with np.errstate(over="ignore"):
+        found = np.concatenate([u, *(u[c >= n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) for n in FAMILIES)])
+        return np.unique((found * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def counted(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

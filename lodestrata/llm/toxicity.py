@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Voters for both classes vote on a bounded sample of labelled rows: a fixed lexicon and patterns of address and shouting for class 1, patterns of
-courtesy and reference for class 0 (no label is read for any of these), and word and word-stem patterns mined from labels. A generative label model estimates by expectation maximisation, without looking at labels, how often each voter fires in each class and how
-voters are correlated; correlated voters share their weight. A linear classifier over hashed words and stems is trained on the posterior labels. Training reads all features of
-at most TRAIN_ROWS rows, fewer if their features come to over quality.TRAIN_FEATURES. MAX_VOTERS is a parameter of the model: so many mined patterns vote, the
-strongest first. Scoring reads every whole text.
+courtesy and reference for class 0 (no label is read for any of these), and all patterns mined from labels that are pure enough: words, stems, and
+families, that is stems that two, three or more distinct words of a text share. A generative label model estimates by expectation
+maximisation, without looking at labels, how often each voter fires in each class and which voters are correlated; correlated voters speak once. A
+linear classifier over hashed words, stems and families is trained on the posterior labels. Training reads all features of at most TRAIN_ROWS rows, fewer
+if their features come to over quality.TRAIN_FEATURES. Scoring reads every whole text.
 
 Defined cases: null ids or labels train nothing; of rows that repeat an id one text trains; an empty text scores the intercept; without labelled
 rows every score is 0.5; repeated rows each get their row; other columns are ignored.
@@ -13,6 +14,7 @@ rows every score is 0.5; repeated rows each get their row; other columns are ign
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import drop, fold, keep, trim
-from .linear import _TOKEN, WIDTH, Ftrl, Hasher, presence_features, sigmoid
+from .linear import _TOKEN, FAMILIES, STEMS, WIDTH, Ftrl, Hasher, presence_features, sigmoid
 from .quality import FOLDS, gathered, training_rows
 
 TRAIN_ROWS = 8000
 THRESHOLD = 0.5
-MAX_VOTERS = 96
+LEAST, PURE = 5, 20  # rows of class 1 that a mined pattern stands in, and so many times those of class 0
 EPOCHS = 3
+CORRELATED = 0.3  # residual correlation from which voters are one group
 
 # Insults that vote toxic wherever they stand.
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "disgusting", "worthless", "clown", "dumb", "imbecile", "vermin", "filth")
@@ -37,13 +40,14 @@ CALM = (r"(?i)\b(?:please|thanks|thank you|kind regards|sincerely|welcome)\b", r
 
 
 def terms_of(text: str | None) -> set[str]:
-    """Lower-cased words, and stems of 4 to 6 letters marked by a tilde."""
+    """Lower-cased words, and stems with how many distinct words they begin: idio~1, idio~2."""
     tokens = set(_TOKEN.findall((text or "").lower()))
-    return tokens | {f"{t[:k]}~" for t in tokens for k in (4, 5, 6) if len(t) > k}
+    families = Counter(t[:k] for t in tokens for k in STEMS if len(t) > k)
+    return tokens | {f"{s}~{n}" for s, c in families.items() for n in (1, *FAMILIES) if c >= n}
 
 
-def mine_patterns(rows: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
-    """The terms that speak most for label 1 in training rows (doc_id, y, text): at most limit, purest and most frequent first."""
+def mine_patterns(rows: DataFrame) -> list[str]:
+    """The terms that speak for label 1 in training rows (doc_id, y, text), all that are pure and frequent enough: a table bounded by the training rows'."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -55,9 +59,7 @@ def mine_patterns(rows: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
 
     totals = (
         rows.select("y", "text").mapInArrow(emit, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where((F.col("n1") >= 3) & (F.col("n1") >= 20 * F.col("n0")))
-        .withColumn("gain", F.col("n1") * F.log((F.col("n1") + 0.5) / (F.col("n0") + 0.5)))
-        .orderBy(F.desc("gain"), "term").limit(limit)
+        .where((F.col("n1") >= LEAST) & (F.col("n1") >= PURE * F.col("n0"))).orderBy(F.desc("n1"), "term")
     )
     return [r.term for r in totals.collect()]
 
@@ -65,9 +67,9 @@ def mine_patterns(rows: DataFrame, limit: int = MAX_VOTERS) -> list[str]:
 def label_model(votes: np.ndarray, calm: int = 0, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior of class 1 for each row of a 0/1 vote matrix, and what the model estimated. The last calm voters speak for class 0.
 
-    A voter that doesn't fire abstains; a row on which no voter for class 1 fires has the one vote of silence for class 0. Every round estimates
-    the rates at which voters fire in each class and the correlations of what these rates leave unexplained; in a row, a voter weighs one over the sum of its positive
-    correlations with the voters that fire there, itself included, so that copies of a voter vote as one.
+    A voter that doesn't fire abstains; a row on which no voter for class 1 fires has the one vote of silence for class 0. Voters are conditionally
+    independent but for groups whose residuals correlate (chains of such pairs are one group): a group speaks once in a row, by its strongest
+    voter that fires, so that copies of a voter don't vote twice.
     """
     n, m = votes.shape
     hits = votes[:, : m - calm].sum(1)
@@ -75,29 +77,35 @@ def label_model(votes: np.ndarray, calm: int = 0, rounds: int = 30) -> tuple[np.
         return np.zeros(n), {"accuracy": np.full(m, 0.5), "correlation": np.eye(m)}
     post = np.where(hits > 0, 0.9, 0.02)
     silent = hits == 0
-    noise = 4 / np.sqrt(n)  # correlations below are chance
-    for _ in range(rounds):
+    group, correlation = np.arange(m), np.eye(m)
+    for step in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         on = np.clip((votes.T @ post + 0.5) / (post.sum() + 1), 1e-4, 1 - 1e-4)
         off = np.clip((votes.T @ (1 - post) + 0.01) / ((1 - post).sum() + 1), 1e-5, 1 - 1e-4)
-        residual = votes - (post[:, None] * on + (1 - post)[:, None] * off)
-        scale = np.sqrt(np.maximum((residual**2).mean(0), 1e-9))
-        correlation = (residual.T @ residual) / n / np.outer(scale, scale)
-        shared = np.where(correlation > noise, np.minimum(correlation, 1), 0)
-        np.fill_diagonal(shared, 1)
+        if step == 3:  # rates have settled enough to tell what they leave unexplained
+            residual = votes - (post[:, None] * on + (1 - post)[:, None] * off)
+            scale = np.sqrt(np.maximum((residual**2).mean(0), 1e-9))
+            correlation = (residual.T @ residual) / n / np.outer(scale, scale)
+            for j in range(m):
+                for k in np.flatnonzero(correlation[j, :j] > CORRELATED):
+                    group[group == group[j]] = group[k]
         quiet = np.log(((silent * post).sum() + 0.5) / (post.sum() + 1)) - np.log(((silent * (1 - post)).sum() + 0.5) / ((1 - post).sum() + 1))
-        odds = np.log(prior / (1 - prior)) + (votes * np.log(on / off) / np.maximum(votes @ shared, 1)).sum(1) + silent * quiet
+        said = votes * np.log(on / off)
+        odds = np.log(prior / (1 - prior)) + silent * quiet
+        for g in np.unique(group):
+            high, low = said[:, group == g].max(1), said[:, group == g].min(1)
+            odds += np.where(high >= -low, high, low)
         post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
         # the intended class is the one that voters speak for
         if (post * hits).sum() / max(post.sum(), 1e-9) < ((1 - post) * hits).sum() / max((1 - post).sum(), 1e-9):
             post = 1 - post
-    return post, {"accuracy": prior * on + (1 - prior) * (1 - off), "correlation": correlation}
+    return post, {"accuracy": prior * on + (1 - prior) * (1 - off), "correlation": correlation, "group": group}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights of WIDTH slots and the intercept, from posterior labels of at most TRAIN_ROWS rows."""
     rows = keep(training_rows(docs, labels, "toxic", TRAIN_ROWS), "rows")
-    voters = list(dict.fromkeys([*LEXICON, *(f"{w[:6]}~" for w in LEXICON if len(w) > 6), *mine_patterns(rows)]))
+    voters = list(dict.fromkeys([*LEXICON, *(f"{w[:6]}~1" for w in LEXICON if len(w) > 6), *mine_patterns(rows)]))
     m = len(voters) + len(HOSTILE) + len(CALM)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -188,6 +188,7 @@ def test_toxicity_held_out(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held, _ = auc_rows(toxicity.classify(docs, labels).toPandas(), labels, "toxic")
     assert (held.predicted == held.toxic).mean() > 0.95 and held.predicted[held.toxic == 0].mean() < 0.01
+    assert held.predicted[held.toxic == 1].mean() >= 0.9
     assert toxicity.classify(odd, labels).count() == 10
 
 
@@ -217,6 +218,55 @@ def test_label_model_finds_classes():
     assert ((post > 0.5) == (y & (votes.sum(1) > 0))).mean() > 0.97 and info["correlation"][10, 0] > 0.9
 
 
+def test_label_model_is_plain_expectation_maximisation():
+    """Against loops over rows and voters that never correlate, and a copy of a voter changes nothing."""
+    rng = np.random.default_rng(9)
+    y = rng.random(400) < 0.2
+    votes = np.stack([np.where(y, rng.random(400) < 0.5, rng.random(400) < 0.01 * (k + 1)) for k in range(4)] + [rng.random(400) < np.where(y, 0.02, 0.3)], axis=1).astype(float)
+    post, info = toxicity.label_model(votes, 1)
+    assert len(set(info["group"])) == 5
+    n, m = votes.shape
+    hits = [sum(votes[i, :4]) for i in range(n)]
+    p = [0.9 if h else 0.02 for h in hits]
+    for _ in range(30):
+        total = sum(p)
+        prior = total / n
+        on = [(sum(p[i] for i in range(n) if votes[i, j]) + 0.5) / (total + 1) for j in range(m)]
+        off = [max(1e-5, (sum(1 - p[i] for i in range(n) if votes[i, j]) + 0.01) / (n - total + 1)) for j in range(m)]
+        quiet = math.log((sum(p[i] for i in range(n) if not hits[i]) + 0.5) / (total + 1) / ((sum(1 - p[i] for i in range(n) if not hits[i]) + 0.5) / (n - total + 1)))
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(on[j] / off[j]) for j in range(m) if votes[i, j]) + (0 if hits[i] else quiet) for i in range(n)]
+        p = [1 / (1 + math.exp(-x)) for x in odds]
+    assert np.allclose(post, p, atol=1e-6)
+    copied = toxicity.label_model(np.concatenate([votes[:, :1], votes], axis=1), 1)[0]
+    assert np.abs(copied - post).max() < 0.02
+
+
+def test_ftrl_is_the_plain_update():
+    from lodestrata.llm.linear import WIDTH, Ftrl
+
+    r, model = random.Random(3), Ftrl(alpha=0.3, beta=1.0, l1=0.3, l2=1.0)
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(200):
+        slots = sorted(r.sample(range(12), 4))
+        x = {**{s: r.random() for s in slots}, WIDTH: 1.0}
+        y = float(r.random() < 0.4)
+        w = {i: 0.0 if abs(z[i]) <= 0.3 else -(z[i] - math.copysign(0.3, z[i])) / ((1 + math.sqrt(n[i])) / 0.3 + 1) for i in x}
+        g = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - y
+        for i in x:
+            gi = g * x[i]
+            z[i] += gi - (math.sqrt(n[i] + gi * gi) - math.sqrt(n[i])) / 0.3 * w[i]
+            n[i] += gi * gi
+        model.update(np.array(slots), np.array([x[s] for s in slots]), y)
+    assert all(model.z[i] == pytest.approx(z[i]) and model.n[i] == pytest.approx(n[i]) for i in n)
+
+
+def test_families_are_counted():
+    own = toxicity.terms_of("Prefixone prefixtwo PREFIXONE alone")
+    assert {"prefixone", "prefix~1", "prefix~2", "alon~1"} <= own and "prefix~3" not in own and "alon~2" not in own
+    one, two = (set(toxicity.presence_features(t, toxicity.Hasher())) for t in ("prefixone", "prefixone prefixtwo"))
+    assert one < two and (len(one), len(two)) == (5, 10)  # a word and four stems; two words, three shared stems, two of seven letters, three families
+
+
 def test_rules(spark, odd):
     r = random.Random(4)
     clean = " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(r.randint(0, 99)) for _ in range(200))
