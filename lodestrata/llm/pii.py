@@ -75,19 +75,36 @@ def _iban_ok(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def _house(text: str, least: int, at: int) -> int:
-    """Where the house number before a cue at this place stands, over words of a street's name, token by token to the left; -1 if none does."""
-    end, names = at - 1, 0
-    while end > least:
-        start = max(text.rfind(" ", least, end), text.rfind("\n", least, end)) + 1
-        start = max(start, least)
-        token = text[start:end]
-        if names and _HOUSE.fullmatch(token):
-            return start
-        if not _STREET.fullmatch(token) or text[start - 1 : start] == "\n":
-            return -1
-        names, end = names + 1, start - 1
-    return -1
+class _Houses:
+    """Where the house number before a cue stands, over words of a street's name, token by token to the left.
+
+    All tokens that a scan passes share its outcome, so a later scan that comes to one of them ends there: every token of a text is read once.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.low, self.high, self.known = 0, -1, -1
+
+    def before(self, at: int, least: int) -> int:
+        """The start of the address whose cue stands at this place, not before least; -1 if there is none."""
+        text, start, first, found = self.text, at, -1, -1
+        while (end := start - 1) > least:
+            if self.low <= start <= self.high and first >= 0:
+                found = self.known
+                break
+            left = text.rfind(" ", least, end) + 1 or least
+            left = max(left, text.rfind("\n", left, end) + 1)
+            token = text[left:end]
+            if first >= 0 and _HOUSE.fullmatch(token):
+                found = left
+                break
+            if not _STREET.fullmatch(token) or text[left - 1 : left] == "\n":
+                break
+            first = first if first >= 0 else left
+            start = left
+        if first >= 0:
+            self.low, self.high, self.known = start, first, found
+        return found
 
 
 def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
@@ -96,6 +113,7 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
+    houses = _Houses(text)
 
     def add(kind: str, start: int, end: int) -> None:
         found[kind].append((start, end))
@@ -136,7 +154,7 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
             if at >= done["url"] and (m := _URL.match(text, at)):
                 add("url", at, m.end())
         elif what == "address":
-            if text[at - 1 : at] == " " and not text[last + 1 : last + 2].isalnum() and (start := _house(text, done["address"], at)) >= 0:
+            if text[at - 1 : at] == " " and not text[last + 1 : last + 2].isalnum() and (start := houses.before(at, done["address"])) >= 0:
                 add("address", start, last + 1)
         else:
             # a cue inside a span of its kind opens none, and its run isn't read again
