@@ -8,7 +8,7 @@ the missing partial scores of those candidates are resolved, giving exact sums;
 
 Queries and candidates meet in blocks of bounded size, so no side is broadcast and no pairs are emitted.
 
-Defined cases: vectors null, empty, or with null or non-finite components take no part; vectors of different lengths score over
+Defined cases: components beyond +-2^53 after scaling count as +-2^53, and scores beyond +-(2^63 - 1) as that; vectors null, empty, or with null or non-finite components take no part; vectors of different lengths score over
 none (they are compared within their length only); rows that repeat a vec_id are candidates each, none of them for
 its own id; as a query such an id is asked once, by its least vector.
 """
@@ -27,6 +27,8 @@ QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 8192
 MIN_BLOCKS = 16
 _STEP = 256  # queries at a time within a block
+#: What components and scores are held to.
+LARGEST, MOST_SCORE = 1 << 53, (1 << 63) - 1
 
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -43,6 +45,16 @@ def _exact(q: np.ndarray, c: np.ndarray):
     return q.astype(kind), c.astype(kind)
 
 
+def _whole(sums: np.ndarray) -> np.ndarray:
+    """Exact sums as 64-bit integers, held to +-MOST_SCORE."""
+    return np.clip(sums, -MOST_SCORE, MOST_SCORE).astype(np.int64) if sums.dtype == object else sums.astype(np.int64)
+
+
+def _less(x: np.ndarray) -> np.ndarray:
+    """Doubles lowered by more than the rounding of integers of their size."""
+    return np.where(np.isfinite(x), x - np.abs(x) * 2.0**-50, x)
+
+
 def _segments(width: int) -> list[slice]:
     m = min(SEGMENTS, width)
     at = [i * width // m for i in range(m + 1)]
@@ -84,7 +96,7 @@ def _lower(k: int):
                 for i in range(len(heads)):
                     h = np.unique(heads[i])
                     h = h[ids[h] != qids[s + i]]
-                    sums = (b[h] @ a[s + i]).astype(np.int64)
+                    sums = _whole(b[h] @ a[s + i])
                     top = np.sort(sums)[::-1][:k]
                     out.append(pd.DataFrame({"query_id": np.full(len(top), qids[s + i]), "vec_id": np.zeros(len(top), np.int64), "score": top}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
@@ -98,18 +110,18 @@ def _resolve(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q, c in _by_width(left, right):
-            ids, qids, cut = c.vec_id.to_numpy(), q.vec_id.to_numpy(), q.cutoff.to_numpy(float)
+            ids, qids, cut = c.vec_id.to_numpy(), q.vec_id.to_numpy(), _less(q.cutoff.to_numpy(float))
             a, b = _exact(_matrix(q.v), _matrix(c.v))
             segs = _segments(a.shape[1])
             for s in range(0, len(qids), _STEP):
-                share = np.floor(cut[s : s + _STEP] / len(segs))[:, None]
+                share = _less(np.floor(cut[s : s + _STEP] / len(segs)))[:, None]
                 enough = np.zeros((len(share), len(ids)), bool)
                 for seg in segs:
                     enough |= (a[s : s + _STEP, seg] @ b[:, seg].T).astype(float) >= share
                 for i in range(len(share)):
                     h = np.flatnonzero(enough[i])
                     h = h[ids[h] != qids[s + i]]
-                    sums = (b[h] @ a[s + i]).astype(np.int64)
+                    sums = _whole(b[h] @ a[s + i])
                     ok = sums >= cut[s + i]
                     h, sums = h[ok], sums[ok]
                     top = _best(ids[h], sums, k)
@@ -146,7 +158,7 @@ def scaled(embeddings: DataFrame) -> DataFrame:
     return (
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: c.cast("double")).alias("e"))
         .where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & fine)
-        .select("vec_id", F.transform("e", lambda c: F.floor(F.lit(256.0) * c)).alias("v"))
+        .select("vec_id", F.transform("e", lambda c: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(F.lit(256.0) * c)))).alias("v"))
     )
 
 
@@ -156,10 +168,10 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
 
 
-ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ORACLE = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-{LARGEST}, least({LARGEST}, floor(256 * CAST(x AS DOUBLE)))) AS HUGEINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(greatest(-{MOST_SCORE}, least({MOST_SCORE}, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])))) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5

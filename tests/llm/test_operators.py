@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -57,6 +58,42 @@ def test_pii_base_equals_regular_expressions():
         assert [s for s in pii.find_spans(t, anchors) if s[0] in pii.BASE_KINDS] == brute_spans(t), t
 
 
+def plain_house(text, least, at):
+    """The address parser without a memory: from each cue the whole name is read again."""
+    end, names = at - 1, 0
+    while end > least:
+        start = max(max(text.rfind(" ", least, end), text.rfind("\n", least, end)) + 1, least)
+        token = text[start:end]
+        if names and pii._HOUSE.fullmatch(token):
+            return start
+        if not pii._STREET.fullmatch(token) or text[start - 1 : start] == "\n":
+            return -1
+        names, end = names + 1, start - 1
+    return -1
+
+
+def test_pii_addresses_are_those_of_the_plain_parser(monkeypatch):
+    r, anchors = random.Random(5), pii.automaton()
+    parts = ["12", "12B", "5th", "Main", "Street", "street", " ", "\n", "St.", "of", "King", "Road", "lane", " 7,", "x", "Avenue", " 99999 "]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 14))) for _ in range(5000)]
+    got = [pii.find_spans(t, anchors) for t in texts]
+    monkeypatch.setattr(pii._Houses, "before", lambda self, at, least: plain_house(self.text, least, at))
+    assert got == [pii.find_spans(t, anchors) for t in texts] and sum(any(s[0] == "address" for s in g) for g in got) > 200
+
+
+@pytest.mark.parametrize("unit", [c.capitalize() + " " for cues in pii.CUES.values() for c in cues] + ["12 Street ", "12 Main Street ", "password=", "a@", "@", "+1", "1 ", "1.", "Xyz ", "A"])
+def test_pii_takes_time_in_proportion(unit):
+    anchors, times = pii.automaton(), []
+    for n in (10_000, 80_000):
+        text, best = unit * n, 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.find_spans(text, anchors)
+            best = min(best, time.perf_counter() - began)
+        times.append(best)
+    assert times[1] < 24 * times[0] + 0.2  # eight times the text; squared, it would be 64
+
+
 def test_pii_more_kinds():
     t = "iban DE89 3704 0044 0532 0130 00, password=hunter2hunter, at 12 Main Street"
     kinds = {k: t[s:e] for k, s, e in pii.find_spans(t, pii.automaton())}
@@ -117,6 +154,17 @@ def test_top_k_brute_force(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rng = np.random.default_rng(4)
+    for scale in (1e8, 1e13, 1e300):
+        rows = [(i, [float(x) for x in rng.normal(size=9) * scale]) for i in range(120)]
+        got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        v = {i: [max(-(2**53), min(2**53, math.floor(256 * x))) for x in e] for i, e in rows}
+        held = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+        want = {(q, k + 1, c, -s) for q in v if q % 50 == 0 for k, (s, c) in enumerate(sorted((-held(sum(a * b for a, b in zip(v[q], v[c], strict=True))), c) for c in v if c != q)[:5])}
+        assert {tuple(r) for r in got} == want
+
+
 def brute_components(rows, size, percent=80):
     sets = {}
     for i, t in rows:
