@@ -122,25 +122,24 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def with_kept_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with columns more: __n_lines, __n_dropped, __kept (the text that stays). docs needs a long doc_id; reads it twice."""
+    """row (a struct of all columns of docs, whatever their names), n_lines, n_dropped, kept (the text that stays) for every row of docs. docs needs a long doc_id; reads it twice."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    gone = dropped_lines(plain).withColumnsRenamed({"doc_id": "__doc_id", "t1": "__t1", "dropped": "__dropped"})
-    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.hint("merge").join(gone, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(own) == F.col("__t1")), "left")
+    gone = dropped_lines(plain)
+    own = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = rows.hint("merge").join(gone, (F.col("row")["doc_id"].cast("long") == F.col("doc_id")) & (F.xxhash64(own) == F.col("t1")), "left")
     lines = F.split(own, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    kept = F.when(F.col("__dropped").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    return (
-        joined.withColumn("__lines", F.when(F.col("__dropped").isNotNull(), lines))
-        .withColumns({"__n_lines": (F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1).cast("long"), "__n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"), "__kept": kept})
-        .drop("__doc_id", "__t1", "__dropped", "__lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    kept = F.when(F.col("dropped").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return joined.withColumn("lines", F.when(F.col("dropped").isNotNull(), lines)).select(
+        "row", (F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_kept_text(plain).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+    return with_kept_text(plain).select(F.col("row")["doc_id"].alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = """

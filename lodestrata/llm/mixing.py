@@ -158,17 +158,17 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
-    unit = F.xxhash64("__id", "__source", "__size")
-    chosen = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    chosen = keep(chosen.withColumn("__unit", unit), "chosen")
-    sized = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_source": F.col("source").cast("string"), "__own_size": n_words(F.col("text"))})
-    sized = sized.withColumn("__own_unit", F.xxhash64("__own_id", "__own_source", "__own_size"))
+    """docs with every row as often as the mix takes it; columns may have any names."""
+    unit = F.xxhash64("id", "source", "size")
+    chosen = mix(docs).groupBy(F.col("doc_id").alias("id"), "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    chosen = keep(chosen.withColumn("unit", unit), "chosen").alias("c")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = own.withColumn("unit", unit).alias("o")
     # one shuffle of texts, by the unit's hash, serves both the join and the window, and is planned alike at every size
-    same = (F.col("__own_unit") == F.col("__unit")) & F.col("__own_id").eqNullSafe(F.col("__id")) & F.col("__own_source").eqNullSafe(F.col("__source")) & (F.col("__own_size") == F.col("__size"))
-    joined = sized.hint("merge").join(chosen, F.col("__own_unit") == F.col("__unit")).where(same)
+    same = F.col("o.id").eqNullSafe(F.col("c.id")) & F.col("o.source").eqNullSafe(F.col("c.source")) & (F.col("o.size") == F.col("c.size"))
+    joined = own.hint("merge").join(chosen, F.col("o.unit") == F.col("c.unit")).where(same)
     # rows alike in id, source and size share their copies, the first rows by text taking what is left over
-    turn = F.row_number().over(Window.partitionBy("__own_unit", "__own_id", "__own_source", "__own_size").orderBy("text"))
-    each = (F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("long")).cast("int")
-    often = joined.withColumn("__turn", turn).withColumn("__each", each).where("__each > 0")
-    return often.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(docs.columns)
+    turn = F.row_number().over(Window.partitionBy("o.unit", "o.id", "o.source", "o.size").orderBy(F.col("row")["text"]))
+    each = (F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("long")).cast("int")
+    often = joined.select("row", "copies", "rows", turn.alias("turn")).select("row", each.alias("each")).where("each > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("each")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))

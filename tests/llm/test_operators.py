@@ -14,6 +14,7 @@ from lodestrata.llm import base, linededup, lm, mixing, neardup, packing, pii, q
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
+DOC_NAMES = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def docs_of(spark, texts, ids=None, sources=None):
@@ -492,6 +493,93 @@ def test_lm_tree_is_context_tree_weighting(monkeypatch):
     assert np.allclose(sums, 1, atol=1e-5)
 
 
+def test_pipeline_stages_brute_force(spark, odd):
+    """Every stage's rows on planted documents and odd rows, under names that operators use themselves, against a plain version of the stage."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    r = random.Random(21)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90 AND length(text) < 6000").select(*DOC_NAMES).collect()
+    texts = [tuple(x) for x in docs] + [tuple(x)[:5] for x in odd.collect()]
+    long = [w for x in docs for w in x.text.split()][:700]
+    for k in range(8):  # near copies and exact ones, and shared lines
+        words = list(long)
+        words[r.randrange(len(words))] += "x" * (k % 3)
+        texts.append((1000 + k, " ".join(words) + "\nA line that many documents share.\n" + f"own {k}", "en", "near", 1))
+    made = spark.createDataFrame(texts, DOC)
+    extra = ["row", "kept", "dropped", "lines", "gone", "turn", "copies", "size_", "id", "unit", "__kept", "__score", "t1", "each"]
+    docs = made.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(extra)), "3 AS score", "4 AS size")
+    columns = docs.columns
+    of = lambda d: sorted(((x.doc_id, x.text or "", x.source) for x in d.collect()), key=repr)
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights, hasher, want = quality.train(docs, labels), quality.Hasher(), []
+    for i, t, s in of(docs):
+        f = quality.ngram_features(t, hasher)
+        z = float(weights[-1]) + (sum(float(weights[x]) for x in f) / math.sqrt(len(f)) if len(f) else 0.0)
+        if 1 / (1 + math.exp(-z)) >= 0.3:
+            want.append((i, t, s))
+    stages = [f for _, f in cp.STAGES]
+    first = base.keep(stages[0](spark, docs, SF), "first")
+    assert of(first) == want and 0 < len(want) and first.columns == columns
+
+    second = base.keep(stages[1](spark, first, SF), "second")
+    assert second.columns == columns
+    before, key = of(first), lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    owner = {}
+    for i, t, _ in before:
+        for line in t.split("\n"):
+            if i is not None and len(key(line)) >= 10:
+                owner[key(line)] = min(owner.get(key(line), i), i)
+    assert of(second) == sorted(((i, "\n".join(x for x in t.split("\n") if i is None or owner.get(key(x), i) >= i), s) for i, t, s in before), key=repr)
+    assert all(x.n_chars == len(x.text) for x in second.collect())
+
+    third = base.keep(stages[2](spark, second, SF), "third")
+    rows = of(second)
+    component = brute_components([(i, t) for i, t, _ in rows if i is not None], 5)
+    assert of(third) == [x for x in rows if x[0] is None or component[x[0]][1] == x[0]] and third.columns == columns and len(of(third)) < len(rows)
+
+    fourth = base.keep(stages[3](spark, third, SF), "fourth")
+    assert fourth.columns == columns
+    rows, sizes = of(third), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(base.words_of(t))
+    taken, often = Counter(), Counter(of(fourth))
+    assert set(often) <= set(rows)
+    for x, n in often.items():
+        taken[x[2]] += n * len(base.words_of(x[1]))
+        assert n <= 3 * rows.count(x)
+    goal = brute_targets(sizes)
+    for s in sizes:
+        largest = max(len(base.words_of(t)) for _, t, o in rows if o == s)
+        assert abs(taken[s] - goal[s]) <= largest  # one document at most is rounded against its source
+
+    fifth = stages[4](spark, fourth, SF).toPandas()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t, _ in of(fourth):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 2048):
+            want[-1 if i is None else i, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)] += 1
+    assert Counter(zip(fifth.doc_id.fillna(-1), fifth.start, fifth.length, fifth.ids_crc32, fifth.doc_tokens, strict=True)) == want
+    for _, g in fifth.sort_values("offset").groupby("sequence_id"):
+        assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 2048
+    for stage in stages:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def brute_targets(sizes):
+    """Shares by weight, none above three times its source, in exact steps from the fullest source on."""
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight, goal, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, sum(sizes.values())
+    for s in sorted(order, key=lambda s: sizes[s] / weight[s]):  # sources fill in this order
+        goal[s] = min(3 * sizes[s], left * weight[s] / sum(weight[o] for o in order if o not in goal))
+        left -= goal[s]
+    return goal
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
