@@ -5,6 +5,7 @@ Every operator takes many queries at once and returns one lazy DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,47 +154,71 @@ def hybrid(sparse: DataFrame | None, found: DataFrame | None, k: int = RRF_K) ->
 
 
 def merged_subqueries(queries: DataFrame, search, limit: int = CANDIDATES) -> DataFrame:
-    """Search every part of expanded queries and keep each id's best score. search: (qid, query) -> qid, id, score."""
+    """Search every part of expanded queries and keep each id's best score. search: (qid, query) -> qid, id, score. A limit of 0 keeps all."""
     parts = queries.select("qid", F.posexplode(X.expand_query(F.col("query"))).alias("part", "query"))
-    keyed = parts.select(F.struct("qid", "part").alias("qid"), "query")
-    best = search(keyed).select(F.col("qid.qid").alias("qid"), "id", "score").groupBy("qid", "id").agg(F.max("score").alias("score"))
-    return top(best, ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id"))
+    return best_of_parts(search(parts.select(F.struct("qid", "part").alias("qid"), "query")), limit)
+
+
+def best_of_parts(found: DataFrame, limit: int = 0) -> DataFrame:
+    """Results of sub-queries (qid: a struct of qid and part, id, score), each id with its best score of any part, ranked anew."""
+    best = found.select(F.col("qid.qid").alias("qid"), "id", "score").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    order = (F.desc(F.round("score", 9)), F.asc("id"))
+    return top(best, ["qid"], limit, *order) if limit else best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
 
 def search(
-    queries: DataFrame, mode: str = "hybrid", *, index: Index | None = None, vectors: DataFrame | None = None, about: DataFrame | None = None, layer: str | None = None,
-    namespace: str | None = None, top_k: int = 5, min_score: float | None = None, max_tokens: int | None = None, expand: bool = False,
+    queries: DataFrame, mode: str = "hybrid", *, index: Index | None = None, vectors: DataFrame | None = None, about: DataFrame | None = None, layer: str | None = None, namespace: str | None = None,
+    top_k: int = 5, min_score: float | None = None, max_tokens: int | None = None, expand: bool = True, embed: Callable[[Column], Column] | None = None, scorer: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Keyword, dense or hybrid search with filters, a score floor and a token budget.
-
-    queries: (qid, query) and for dense and hybrid qv; vectors: (id, v); about: (id, layer, namespace, tokens), needed for filters and budgets.
-    A layer or namespace chooses vectors before they are ranked, and keyword candidates after. Returns what hybrid() does, ranked anew, with
-    truncated: how many results of a query the budget left out. A result of unknown size costs no tokens.
+    """Keyword, dense or hybrid search with expansion, filters, a score floor, a reranker and a token budget.
+
+    queries: (qid, query) and for dense and hybrid qv, the query's vector (a query may have rows with the vectors of several parts; without any, its
+    dense side is empty), unless embed turns a text into one: then every part of the expanded query is embedded. Both sides keep each id's best
+    score of any part. vectors: (id, v). about: (id, layer, namespace, tokens, ...), needed for filters and budgets; all its other
+    columns (path, lines, section, text) come along with the results. A layer or namespace chooses vectors before they are ranked, and keyword candidates
+    after. With a scorer of (query, text), hybrid results are reranked, and only those that the reranker reads stay. Returns what hybrid() does,
+    rerank_score, the columns of about, ranks anew, and truncated: how many results of a query the budget left out. The budget is spent over all
+    results, by rank, before the cut to top_k. A result of unknown size costs no tokens.
     """
     if mode not in ("keyword", "dense", "hybrid"):
         raise ValueError(f"no such mode: {mode}")
     again = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    asked = queries.select("qid", "query").distinct() if mode != "dense" or embed else None
     wanted = None
     if layer is not None or namespace is not None:
         wanted = about.where(F.lit(True) if layer is None else F.col("layer") == layer).where(F.lit(True) if namespace is None else F.col("namespace") == namespace).select("id")
     sparse = found = None
     if mode != "dense":
-        asked = queries.select("qid", "query")
-        sparse = merged_subqueries(asked, lambda q: bm25(q, index, CANDIDATES)) if expand else bm25(asked, index, CANDIDATES)
+        sparse = merged_subqueries(asked, lambda q: bm25(q, index, CANDIDATES), 0) if expand else bm25(asked, index, CANDIDATES)
         if wanted is not None:
             sparse = again(sparse.join(wanted, "id", "left_semi"))
     if mode != "keyword":
-        found = dense(queries.select("qid", "qv"), vectors if wanted is None else vectors.join(wanted, "id", "left_semi"))
+        if embed:
+            texts = F.posexplode(X.expand_query(F.col("query"))) if expand else F.posexplode(F.array("query"))
+            parts = asked.select("qid", texts.alias("part", "query")).withColumn("qv", embed(F.col("query")))
+        else:
+            parts = queries.withColumn("part", F.xxhash64("qv"))
+        parts = parts.where("qv IS NOT NULL").select(F.struct("qid", "part").alias("qid"), "qv").dropDuplicates(["qid"])
+        found = best_of_parts(dense(parts, vectors if wanted is None else vectors.join(wanted, "id", "left_semi")))
     got = hybrid(sparse, found)
     if min_score is not None:
         got = again(got.where(F.col("score") >= min_score))
-    got = got.where(F.col("rank") <= top_k)
+    got = got.withColumn("rerank_score", F.lit(None).cast("double"))
+    if scorer is not None and mode == "hybrid":
+        from .assess import rerank
+
+        read = got.drop("rerank_score").join(about.select("id", "text"), "id", "left").join(queries.select("qid", "query").distinct(), "qid")
+        got = rerank(read, scorer).select(got.columns)
+    more = [c for c in about.columns if c not in got.columns] if about is not None else []
     if max_tokens is None:
-        return got.withColumn("truncated", F.lit(0).cast("long"))
+        got = got.where(F.col("rank") <= top_k).withColumn("truncated", F.lit(0).cast("long"))
+        return got.join(about.select("id", *more), "id", "left").select(*got.columns, *more) if more else got
     sized = got.join(about.select("id", "tokens"), "id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    kept = within_budget(sized, max_tokens).drop("tokens")
+    kept = within_budget(sized, max_tokens).select(*got.columns)
     counts = got.groupBy("qid").agg(F.count(F.lit(1)).alias("all"))
-    return again(kept.join(counts, "qid").withColumn("truncated", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("qid"))).drop("all"))
+    told = kept.join(counts, "qid").withColumn("truncated", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("qid"))).drop("all")
+    cut = again(told).where(F.col("rank") <= top_k)
+    return cut.join(about.select("id", *more), "id", "left").select(*got.columns, "truncated", *more)
 
 
 def within_budget(results: DataFrame, max_tokens: int, keep_ratio: float = 0.9) -> DataFrame:

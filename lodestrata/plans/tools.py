@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus, measure, search
-from .queries import _BM25, _DENSE_ITEMS, _HYBRID, _MSG, _REWRITE, _WORDS, _cycle, _docs, _items, _tokens_sql, _vectors, query
+from .queries import _BM25, _COS, _DENSE_ITEMS, _MSG, _REWRITE, _WORDS, _cycle, _docs, _items, _tokens_sql, _vectors, query
 
 _N = 'CAST(row_number() OVER (PARTITION BY qid ORDER BY {}) AS INTEGER) AS rank'
 
@@ -16,15 +16,39 @@ def _about(t):
 
 
 def _with_vectors(t):
-    return _items(t).join(_vectors(t).select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
+    return _items(t).join(_vectors(t).select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid", "left")
 
 
-def _shown(got):
-    return got.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+def _shown(got, *more):
+    return got.select("qid", "id", "rank", F.round("score", 6).alias("score"), *more)
 
 
-@query(f"""WITH {_BM25}, l AS (SELECT qid, rk.id, score, rank FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 50 AND lang = 'en' AND source = 'src1'),
-m AS (SELECT * FROM l WHERE 1 - 1 / (1 + score) >= 0.9), r AS (SELECT qid, id, {_N.format('rank')}, round(1 - 1 / (1 + score), 6) AS score FROM m) SELECT * FROM r WHERE rank <= 5""")
+def _scored_sql(asked: str, key: str) -> str:
+    """BM25 of other queries than the benchmark's own: asked has the columns of key and query."""
+    return f"""qq AS (SELECT {key}, term, count(*) AS qtf FROM (SELECT {key}, unnest({_tokens_sql('query')}) AS term FROM {asked}) GROUP BY ALL),
+ss AS (SELECT {key}, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM qq JOIN df USING (term) JOIN tf USING (term) CROSS JOIN st GROUP BY {key}, id),
+sr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(score, 9) DESC, id) AS rank FROM ss)"""
+
+
+# a query, its parts between "and", theirs between "or"; the best score of any part counts, so repeated parts don't matter
+_PARTS = f"""ands AS (SELECT item_id AS qid, text AS query, unnest(regexp_split_to_array(text, '(?i)\\s+and\\s+')) AS p FROM benchmark),
+ex AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY query) AS part, query FROM (SELECT qid, query FROM ands UNION SELECT qid, trim(p) FROM ands UNION SELECT qid, trim(unnest(regexp_split_to_array(p, '(?i)\\s+or\\s+'))) FROM ands))"""
+_EXPANDED = f"""{_BM25}, {_PARTS}, {_scored_sql('ex', 'qid, part')}, sm AS (SELECT qid, id, max(score) AS bs FROM sr WHERE rank <= 50 GROUP BY qid, id)"""
+_FUSED = """f AS (SELECT coalesce(s.qid, d.qid) AS qid, coalesce(s.id, d.id) AS id, bs, dsc, br, dr, coalesce(1 / (60.0 + dr), 0) + coalesce(1 / (60.0 + br), 0) AS rrf, coalesce(dsc, 1 - 1 / (1 + bs), 0) AS score FROM s FULL JOIN d ON s.qid = d.qid AND s.id = d.id),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, dr NULLS LAST, br NULLS LAST, id) AS rank FROM f)"""
+_SPARSE_RANKED = "s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 9) DESC, id) AS br FROM sm)"
+
+
+def _budget_sql(rows: str, budget: int) -> str:
+    """Greedy by rank over all of rows (qid, id, r, tokens, ...): what doesn't fit is skipped, the first stays in any case; then five are shown."""
+    return f"""w AS (SELECT qid, r, true AS kept, tokens AS used FROM {rows} WHERE r = 1
+UNION ALL SELECT m.qid, m.r, w.used + m.tokens <= {budget}, CASE WHEN w.used + m.tokens <= {budget} THEN w.used + m.tokens ELSE w.used END FROM w JOIN {rows} m ON m.qid = w.qid AND m.r = w.r + 1),
+k AS (SELECT m.*, row_number() OVER (PARTITION BY m.qid ORDER BY m.r) AS place, count(*) OVER (PARTITION BY m.qid) AS n_kept FROM {rows} m JOIN w ON w.qid = m.qid AND w.r = m.r AND kept),
+c AS (SELECT qid, count(*) AS n FROM {rows} GROUP BY qid)"""
+
+
+@query(f"""WITH {_EXPANDED}, l AS (SELECT qid, sm.id, bs, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 9) DESC, sm.id) AS rank FROM sm JOIN documents d ON d.doc_id = sm.id WHERE lang = 'en' AND source = 'src1'),
+m AS (SELECT * FROM l WHERE 1 - 1 / (1 + bs) >= 0.9), r AS (SELECT qid, id, {_N.format('rank')}, round(1 - 1 / (1 + bs), 6) AS score FROM m) SELECT * FROM r WHERE rank <= 5""")
 def search_keyword(t):
     return _shown(search.search(_items(t), "keyword", index=search.build_index(_docs(t)), about=_about(t), layer="en", namespace="src1", min_score=0.9))
 
@@ -37,22 +61,33 @@ def search_dense(t):
     return _shown(search.search(_with_vectors(t), "dense", vectors=_vectors(t).drop("namespace"), about=_about(t), layer="en", min_score=0.1))
 
 
-@query(f"""WITH RECURSIVE {_HYBRID}, g AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM h WHERE score >= 0.2),
-m AS (SELECT g.*, coalesce(CAST(ceil(length(d.text) / 4.0) AS BIGINT), 0) AS tokens FROM g LEFT JOIN documents d ON d.doc_id = g.id WHERE r <= 5),
-w AS (SELECT qid, id, score, r, tokens, true AS kept, tokens AS used FROM m WHERE r = 1
-      UNION ALL SELECT m.qid, m.id, m.score, m.r, m.tokens, w.used + m.tokens <= 900, CASE WHEN w.used + m.tokens <= 900 THEN w.used + m.tokens ELSE w.used END FROM w JOIN m ON m.qid = w.qid AND m.r = w.r + 1),
-c AS (SELECT qid, count(*) AS n FROM m GROUP BY qid)
-SELECT qid, id, {_N.format('r')}, round(score, 6) AS score, n - count(*) OVER (PARTITION BY qid) AS truncated FROM w JOIN c USING (qid) WHERE kept""")
+@query(f"""WITH RECURSIVE {_EXPANDED}, {_SPARSE_RANKED}, {_DENSE_ITEMS}, d AS (SELECT qid, id, score AS dsc, rank AS dr FROM dk WHERE rank <= 50), {_FUSED},
+g AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM h WHERE score >= 0.2), m AS (SELECT g.*, coalesce(CAST(ceil(length(d.text) / 4.0) AS BIGINT), 0) AS tokens FROM g LEFT JOIN documents d ON d.doc_id = g.id), {_budget_sql('m', 900)}
+SELECT qid, id, CAST(place AS INTEGER) AS rank, round(score, 6) AS score, n - n_kept AS truncated FROM k JOIN c USING (qid) WHERE place <= 5""")
 def search_hybrid(t):
     got = search.search(_with_vectors(t), index=search.build_index(_docs(t)), vectors=_vectors(t).drop("namespace"), about=_about(t), min_score=0.2, max_tokens=1000)
-    return got.select("qid", "id", "rank", F.round("score", 6).alias("score"), "truncated")
-
-
-def _scored_sql(asked: str, key: str) -> str:
-    """BM25 of other queries than the benchmark's own: asked has the columns of key and query."""
-    return f"""qq AS (SELECT {key}, term, count(*) AS qtf FROM (SELECT {key}, unnest({_tokens_sql('query')}) AS term FROM {asked}) GROUP BY ALL),
-ss AS (SELECT {key}, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM qq JOIN df USING (term) JOIN tf USING (term) CROSS JOIN st GROUP BY {key}, id),
-sr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(score, 9) DESC, id) AS rank FROM ss)"""
+    return _shown(got, "truncated")
+
+
+# a query has two vectors, its own and the next one's; of benchmark items without any the dense side is empty
+_TWO_VECTORS = f"""e AS (SELECT vec_id AS id, embedding AS v FROM embeddings), qs AS (SELECT item_id AS qid, item_id AS id FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, item_id + 1 FROM benchmark WHERE item_id % 3 <> 0),
+ds AS (SELECT qs.qid, qs.id AS part, c.id, {_COS} AS score FROM qs JOIN e q ON q.id = qs.id CROSS JOIN e c), dk AS (SELECT *, row_number() OVER (PARTITION BY qid, part ORDER BY round(score, 9) DESC, id) AS rank FROM ds),
+dm AS (SELECT qid, id, max(score) AS dsc FROM dk WHERE rank <= 50 GROUP BY qid, id), d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dsc, 9) DESC, id) AS dr FROM dm)"""
+
+
+@query(f"""WITH RECURSIVE {_EXPANDED}, {_SPARSE_RANKED}, {_TWO_VECTORS}, {_FUSED},
+x AS (SELECT h.*, b.text AS query, doc.text, doc.source FROM h JOIN benchmark b ON b.item_id = h.qid LEFT JOIN documents doc ON doc.doc_id = h.id WHERE rank <= 10),
+y AS (SELECT *, CAST(len(list_intersect(list_distinct({_tokens_sql('query')}), list_distinct({_tokens_sql('text')}))) AS DOUBLE) AS rs FROM x),
+m AS (SELECT qid, id, score, rs, source, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, rank) AS r, coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0) AS tokens FROM y), {_budget_sql('m', 1800)}
+SELECT qid, id, CAST(place AS INTEGER) AS rank, round(score, 6) AS score, rs AS rerank_score, coalesce(source, '') AS namespace, n - n_kept AS truncated FROM k JOIN c USING (qid) WHERE place <= 5""")
+def search_reranked(t):
+    v = _vectors(t).drop("namespace")
+    own = _items(t).where("qid % 3 <> 0").select("qid", F.explode(F.array(F.col("qid"), F.col("qid") + 1)).alias("id")).join(v.withColumnRenamed("v", "qv"), "id").select("qid", "qv")
+    queries = _items(t).join(own, "qid", "left")
+    shared = lambda q, d: F.size(F.array_intersect(X.tokens(q), X.tokens(d)))
+    about = _about(t).join(_docs(t), "id")
+    got = search.search(queries, index=search.build_index(_docs(t)), vectors=v, about=about, max_tokens=2000, scorer=shared)
+    return _shown(got, "rerank_score", F.coalesce("namespace", F.lit("")).alias("namespace"), "truncated")
 
 
 @query(f"""WITH {_BM25}, a AS (SELECT item_id AS qid, words[1] || ' ' || words[2] AS one, words[3] || ' ' || words[4] AS two FROM (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS words FROM benchmark)),
