@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus, measure, search
+from ..sources import files
+from ..streaming import live_index
 from .queries import _BM25, _COS, _DENSE_ITEMS, _MSG, _REWRITE, _WORDS, _cycle, _docs, _items, _tokens_sql, _vectors, query
 
 _N = 'CAST(row_number() OVER (PARTITION BY qid ORDER BY {}) AS INTEGER) AS rank'
@@ -299,3 +301,33 @@ def plain_answers(t):
     found = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(t("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/x.md")).alias("file_path"), "text"), "id")
     expected = _items(t).select("qid", F.concat(F.lit("src"), (F.col("qid") % 4).cast("string"), F.lit("/")).alias("source"))
     return measure.plain_answers(found, expected).withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+# an index of two thirds of the documents, then a batch with the others, with halves of every fifth and without every seventh
+_LIVE = f"""now AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN left(text, length(text) // 2) ELSE text END AS text, lang FROM documents WHERE doc_id % 7 <> 3), t AS (SELECT id, {_tokens_sql('text')} AS ts FROM now)"""
+
+
+def _live(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    index = live_index.LiveIndex(docs.sparkSession, files.scratch_folder(docs.sparkSession, "live"), buckets=8)
+    index.apply(docs.where("id % 3 <> 2"))
+    halves = docs.withColumn("text", F.when(F.col("id") % 5 == 0, F.left("text", F.floor(F.length("text") / 2))).otherwise(F.col("text")))
+    index.apply(halves.where("id % 3 = 2 OR id % 5 = 0"), docs.where("id % 7 = 3").select("id"))
+    return index
+
+
+_LIVE_BM25 = _BM25.replace(_BM25[: _BM25.index("st AS")], f"\n{_LIVE},\n")
+
+
+@query(f"WITH {_LIVE_BM25} SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rk WHERE rank <= 10")
+def live_search(t):
+    return _shown(search.bm25(_items(t), _live(t).index(_items(t)), 10))
+
+
+@query(f"WITH {_LIVE_BM25} SELECT df.term, df, CAST(sum(tf) AS BIGINT) AS cf FROM df JOIN tf USING (term) GROUP BY ALL")
+def live_terms(t):
+    index = _live(t)
+    index.compact()
+    index.vacuum()
+    i = index.index()
+    return i.postings.groupBy("term").agg(F.sum("tf").alias("cf")).join(i.terms, "term").select("term", "df", "cf")

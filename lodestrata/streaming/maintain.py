@@ -15,7 +15,7 @@ def debounce(events: DataFrame, gap: str, key: str = "path", ts: str = "ts", kin
     )
 
 
-def _folders(path: Column) -> Column:
+def folders_of(path: Column) -> Column:
     """Every folder above a path: a/b/c lies in a and a/b."""
     parts = F.split(path, "/")
     return F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
@@ -26,7 +26,7 @@ def apply_events(store: DataFrame, events: DataFrame, fresh: DataFrame) -> DataF
     gone = events.select(F.col("path").alias("file_path"))
     removed = events.where("last_kind = 'unlinkDir'").select("path")
     # a path is compared with removed folders by its own folders, so that the join is by key
-    inside = store.select("file_path").distinct().select("file_path", F.explode(_folders(F.col("file_path"))).alias("path")).join(removed, "path", "left_semi").select("file_path")
+    inside = store.select("file_path").distinct().select("file_path", F.explode(folders_of(F.col("file_path"))).alias("path")).join(removed, "path", "left_semi").select("file_path")
     kept = store.join(gone.unionByName(inside).distinct(), "file_path", "left_anti").select(store.columns)
     live = events.where("last_kind IN ('add', 'change')").select(F.col("path").alias("file_path"))
     return kept.unionByName(fresh.join(live, "file_path", "left_semi").select(store.columns))
@@ -40,7 +40,7 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     chunks, gone = (spark.read.parquet(f"{root}/{name}") for name in (CHUNKS, GONE))
     last = gone.where("NOT folder").groupBy(F.col("path").alias("file_path")).agg(F.max("epoch").alias("ended"))
     folders = gone.where("folder").groupBy("path").agg(F.max("epoch").alias("ended"))
-    under = chunks.select("file_path").distinct().select("file_path", F.explode(_folders(F.col("file_path"))).alias("path")).join(folders, "path").select("file_path", "ended")
+    under = chunks.select("file_path").distinct().select("file_path", F.explode(folders_of(F.col("file_path"))).alias("path")).join(folders, "path").select("file_path", "ended")
     ends = last.unionByName(under).groupBy("file_path").agg(F.max("ended").alias("ended"))
     return chunks.join(ends, "file_path", "left").where(F.col("ended").isNull() | (F.col("epoch") >= F.col("ended"))).select([c for c in chunks.columns if c != "epoch"])
 
