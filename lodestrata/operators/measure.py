@@ -119,3 +119,23 @@ def tool_usage(messages: DataFrame, rate_in: float, rate_out: float, multiplier:
     # one aggregate over both sides instead of a full join of two
     sums = calls.unionByName(answers).where("tool IS NOT NULL AND tool <> ''").groupBy("tool").agg(F.sum("call").alias("calls"), F.round(F.sum("i")).cast("long").alias("tokens_in"), F.round(F.sum("o")).cast("long").alias("tokens_out"))
     return sums.withColumn("cost", (F.col("tokens_in") * rate_in + F.col("tokens_out") * rate_out) / 1e6)
+
+
+def audit_turns(usage: DataFrame, prices: DataFrame, default: tuple[float, float, float]) -> DataFrame:
+    """(level, conv_id, turn, tokens_in, tokens_out, sub_agents, cost, running_in, running_out): a row a turn, a conversation and one for all.
+
+    usage: (conv_id, turn, agent, model, tokens_in, tokens_out, last_in), agent null for the conversation's own model; prices as in audit_cost. The
+    conversation's model pays for what it read and wrote, and last_in again as unknown to its cache. A sub-agent pays that rate for its last
+    call's last_in alone, and the plain one for what it had read before, tokens_in - last_in, if that isn't negative. Running sums are those of a
+    conversation's turns; levels above have their own sums there. conv_id and turn are null in the levels that sum over them.
+    """
+    rates = dict(zip(("rate_in", "rate_out", "rate_missed"), default, strict=True))
+    priced = usage.join(prices, "model", "left").withColumns({k: F.coalesce(k, F.lit(float(v))) for k, v in rates.items()})
+    paid = F.when(F.col("agent").isNull(), F.col("tokens_in")).otherwise(F.greatest(F.lit(0), F.col("tokens_in") - F.col("last_in")))
+    cost = (paid * F.col("rate_in") + F.col("tokens_out") * F.col("rate_out") + F.col("last_in") * F.col("rate_missed")) / 1e6
+    sums = priced.withColumn("cost", cost).rollup("conv_id", "turn").agg(
+        F.grouping_id().alias("g"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count("agent").alias("sub_agents"), F.sum("cost").alias("cost")
+    )
+    upto = Window.partitionBy("g", "conv_id").orderBy("turn")
+    level = F.when(F.col("g") == 0, "turn").when(F.col("g") == 1, "conversation").otherwise("total")
+    return sums.select(level.alias("level"), "conv_id", "turn", "tokens_in", "tokens_out", "sub_agents", "cost", F.sum("tokens_in").over(upto).alias("running_in"), F.sum("tokens_out").over(upto).alias("running_out"))
