@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Lengths of chunks, how far a block may go beyond, and what the next chunk repeats.
 TARGET, SLACK, OVERLAP = 1000, 300, 120
 SCHEMA = "id string, layer string, namespace string, file_path string, line_start int, line_end int, section_headers array<struct<level:int,title:string>>, tags array<string>, text string"
 
+# Headings, and tags as #word or [word].
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 _TAG = re.compile(r"(?:^|\s)#([A-Za-z0-9_][A-Za-z0-9_-]*)|\[([A-Za-z0-9_][A-Za-z0-9_-]*)\]")
 

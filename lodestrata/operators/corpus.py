@@ -7,10 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .structure import roman
+
 # Paths that are never indexed, and extensions that are.
 IGNORED = ("**/.env", "**/.env.*", "**/node_modules/**", "**/.git/**", "**/__pycache__/**", "**/dist/**", "**/build/**", "**/.rag/**", "**/chat_history/**", "**/artifacts/**", "**/test/tmp/**", "**/*.local.env")
 EXTENSIONS = ("md", "pdf", "txt", "docx", "epub", "rtf", "html", "htm", "xhtml", "py", "ts", "js", "go", "cpp", "json", "yaml", "yml", "log")
 MAX_BYTES = 150 * 1024
+#: The largest page number that is told from text where it is written in Roman numerals.
+LARGEST_PAGE = 99
 
 
 def glob_regex(glob: str) -> str:
@@ -153,7 +157,8 @@ def page_cleanup(pages: DataFrame) -> DataFrame:
 
     A line that stands at such an edge on over half of a document's pages (of three or more) is boilerplate.
     """
-    number = r"(?i)^(?:\d{1,4}|(?=[ivxl])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))$"
+    numbers = [roman(n).lower() for n in range(1, LARGEST_PAGE + 1)]
+    is_number = lambda c: c.rlike("^[0-9]{1,4}$") | F.lower(c).isin(numbers)
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     ls = pages.select("id", "page", F.split("text", "\n", -1).alias("ls")).withColumn("full", F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: strip(F.element_at("ls", i)) != ""))
     ls = ls.withColumn("first", F.get("full", F.lit(0))).withColumn("last", F.when(F.size("full") > 0, F.element_at("full", -1)))
@@ -161,7 +166,7 @@ def page_cleanup(pages: DataFrame) -> DataFrame:
     many = pages.groupBy("id").agg(F.count(F.lit(1)).alias("pages"))
     boiler = edges.groupBy("id", "edge").agg(F.count(F.lit(1)).alias("votes")).join(many, "id").where((F.col("pages") >= 3) & (F.col("votes") > F.col("pages") / 2)).groupBy("id").agg(F.collect_set("edge").alias("boiler"))
     joined = ls.join(many, "id").join(boiler, "id", "left")
-    bad = lambda i: ((i == F.col("first")) | (i == F.col("last"))) & (F.array_contains(F.coalesce("boiler", F.array().cast("array<string>")), strip(F.element_at("ls", i))) | strip(F.element_at("ls", i)).rlike(number))
+    bad = lambda i: ((i == F.col("first")) | (i == F.col("last"))) & (F.array_contains(F.coalesce("boiler", F.array().cast("array<string>")), strip(F.element_at("ls", i))) | is_number(strip(F.element_at("ls", i))))
     kept = F.when(F.col("pages") < 3, F.col("ls")).otherwise(F.transform(F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: ~bad(i)), lambda i: F.element_at("ls", i)))
     whole = joined.select("id", "page", kept.alias("kept")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page", "kept"))).alias("ps"))
     text = F.array_join(F.flatten(F.transform("ps", lambda p: p["kept"])), "\n")

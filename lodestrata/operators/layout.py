@@ -1,17 +1,13 @@
-"""Text and tables of pages given as positioned pieces of text; y grows upwards. Each page is read alone, in Arrow batches, without a shuffle."""
+"""Text and tables of pages given as positioned pieces of text; y grows upwards.
 
-from __future__ import annotations
+Everything is windows and groups over pieces, keyed by page: lines are islands of falling y, columns are islands of the left edges that lines share, cells
+are groups of pieces by line and column. All exchanges are by page, so pieces are shuffled once.
+"""
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import pairwise
-from math import floor
-from statistics import fmean
-from typing import NamedTuple
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 # Fallbacks and thresholds of lines, word gaps, paragraphs and tables.
 HEIGHT, CHARACTER = 10.0, 5.0
@@ -20,98 +16,109 @@ WORD_GAP, SIGN_GAP = 0.5, 0.35
 FEWEST_PIECES, FEWEST_ROWS, FEWEST_COLUMNS, FULL_ROWS = 6, 3, 2, 0.6
 COLUMN_CHARACTERS, COLUMN_UNITS = 2, 10
 
-
-class Piece(NamedTuple):
-    str: str
-    x: float
-    y: float
-    width: float
-    height: float
-
-
-def text_lines(pieces: list[Piece]) -> list[list[Piece]]:
-    """Pieces from top to bottom, each line from left to right. A line ends where y moves by over half of the (upper) median height."""
-    heights = sorted(p.height for p in pieces if p.height > 0)
-    tolerance = (heights[len(heights) // 2] if heights else HEIGHT) * SAME_LINE
-    lines: list[list[Piece]] = []
-    for p in sorted(pieces, key=lambda p: (-p.y, p.x)):
-        if lines and lines[-1][-1].y - p.y <= tolerance:
-            lines[-1].append(p)
-        else:
-            lines.append([p])
-    return [sorted(line, key=lambda p: p.x) for line in lines]
-
-
-def page_text(pieces: list[Piece]) -> str:
-    """Spaces where the gap is a good part of a character, blank lines where lines are far apart."""
-    lines = text_lines(pieces)
-    out = ""
-    for i, line in enumerate(lines):
-        if i:
-            above = lines[i - 1]
-            far = above[-1].y - line[0].y > PARAGRAPH * fmean(p.height for p in above + line)
-            out += "\n\n" if far else "\n"
-        out += line[0].str
-        for left, right in pairwise(line):
-            n = len(left.str)
-            gap = right.x - left.x - left.width
-            out += (" " if gap > left.width / max(1, n) * (WORD_GAP if n > 1 else SIGN_GAP) else "") + right.str
-    return re.sub(r"\n{3,}", "\n\n", out).strip()
-
-
-def page_table(pieces: list[Piece]) -> tuple[str | None, list[Piece]]:
-    """The page's grid as a Markdown table, and the pieces outside it; (None, all pieces) where no grid is found.
-
-    Columns are runs of alike left edges that two rows or more share; three of five rows must fill all of them.
-    """
-    lines = text_lines(pieces)
-    wide = [line for line in lines if len(line) > 1]
-    if len(pieces) < FEWEST_PIECES or len(lines) < FEWEST_ROWS or len(wide) < 2:
-        return None, pieces
-    edge = lambda p: floor(p.x + 0.5)
-    rows_at = Counter(x for line in wide for x in {edge(p) for p in line})
-    signs = [w for p in pieces if (w := p.width / max(1, len(p.str))) > 0]
-    near = max(COLUMN_CHARACTERS * (fmean(signs) if signs else CHARACTER), COLUMN_UNITS)
-    runs: list[list[int]] = []
-    for x in sorted(rows_at):
-        if runs and x - runs[-1][-1] <= near:
-            runs[-1].append(x)
-        else:
-            runs.append([x])
-    columns = [(r[0] - near / 2, r[-1] + near / 2) for r in runs if sum(rows_at[x] for x in r) > 1]
-    if len(columns) < FEWEST_COLUMNS:
-        return None, pieces
-    grid, rest = [], []
-    for line in lines:
-        row = [""] * len(columns)
-        for p in line:
-            at = next((c for c, (low, high) in enumerate(columns) if low <= edge(p) <= high), None)
-            if at is None:
-                rest.append(p)
-            else:
-                row[at] += p.str
-        grid.append([cell.strip() for cell in row])
-    if sum(map(all, grid)) < FULL_ROWS * len(grid):
-        return None, pieces
-    shown = [grid[0], ["---"] * len(columns), *grid[1:]]
-    return "\n".join(f"| {' | '.join(row)} |" for row in shown), rest
-
-
-def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        texts, tables = [], []
-        for items in frame["items"]:
-            raw = [i for i in (items if items is not None else ()) if i is not None and i["str"] is not None]
-            table, rest = page_table([Piece(i["str"], *(0.0 if i[k] is None or i[k] != i[k] else float(i[k]) for k in ("x", "y", "width", "height"))) for i in raw])
-            texts.append(page_text(rest))
-            tables.append(table)
-        yield pd.DataFrame({"id": frame["id"], "page": frame["page"], "text": texts, "table": tables})
+_PAGE = ("id", "page")
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _in_order(rows: Column, text: str) -> Column:
+    """One text of a group's pieces from left to right."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[text]), "")
+
+
+def pieces_of(pages: DataFrame) -> DataFrame:
+    """(id, page, n, str, x, y, width, height) of every item that has a text; null positions are 0. Rows that share id and page are one page."""
+    items = pages.select(*_PAGE, F.explode("items").alias("i")).where("i.str IS NOT NULL")
+    number = lambda c: F.coalesce(F.nanvl(F.col(f"i.{c}").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
+    return items.select(*_PAGE, F.col("i.str").alias("str"), *(number(c) for c in ("x", "y", "width", "height"))).withColumn("n", F.row_number().over(Window.partitionBy(*_PAGE).orderBy(F.desc("y"), "x", "str", "width", "height")))
+
+
+def in_lines(pieces: DataFrame) -> DataFrame:
+    """Pieces with their line, from 1 at the top. A line ends where y falls by over half of the page's (upper) median height."""
+    # the upper median is the discrete one seen from above
+    typical = -F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY IF(height > 0, -height, NULL)) OVER (PARTITION BY id, page)")
+    down = Window.partitionBy(*_PAGE).orderBy(F.desc("y"), "x", "n")
+    step = F.coalesce(F.lag("y").over(down) - F.col("y"), F.lit(0.0))
+    marked = pieces.withColumn("tall", F.coalesce(typical, F.lit(HEIGHT))).withColumn("ends", (step > SAME_LINE * F.col("tall")).cast("int"))
+    return marked.withColumn("line", 1 + F.sum("ends").over(down)).drop("tall", "ends")
+
+
+def page_texts(pieces: DataFrame) -> DataFrame:
+    """(id, page, text): spaces where the gap between pieces is a good part of a character, blank lines where lines are far apart."""
+    along = Window.partitionBy(*_PAGE, "line").orderBy("x", "n")
+    before = lambda c: F.lag(c).over(along)
+    signs = F.length(before("str"))
+    sign_width = before("width") / F.greatest(F.lit(1), signs)
+    apart = F.col("x") - before("x") - before("width") > sign_width * F.when(signs > 1, WORD_GAP).otherwise(SIGN_GAP)
+    spaced = in_lines(pieces).withColumn("said", F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit(" "), "str")).otherwise(F.col("str")))
+    place = F.struct("x", "n")
+    lines = spaced.groupBy(*_PAGE, "line").agg(
+        _in_order(F.struct("x", "n", "said"), "said").alias("said"), F.min_by("y", place).alias("first_y"), F.max_by("y", place).alias("last_y"), F.sum("height").alias("tall"), F.count(F.lit(1)).alias("many")
+    )
+    down = Window.partitionBy(*_PAGE).orderBy("line")
+    above = lambda c: F.lag(c).over(down)
+    far = above("last_y") - F.col("first_y") > PARAGRAPH * (above("tall") + F.col("tall")) / (above("many") + F.col("many"))
+    broken = lines.withColumn("said", F.concat(F.when(F.col("line") == 1, "").when(far, "\n\n").otherwise("\n"), "said"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda r: r["said"]), "")
+    return broken.groupBy(*_PAGE).agg(_strip(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("text"))
+
+
+def _columns(lined: DataFrame) -> DataFrame:
+    """(id, page, columns array<struct<low, high>>): left edges that at least two lines of several pieces share, near ones together."""
+    several = lined.where("in_line > 1").select(*_PAGE, "line", "edge", "near").distinct()
+    edges = several.groupBy(*_PAGE, "edge", "near").agg(F.count(F.lit(1)).alias("rows"))
+    along = Window.partitionBy(*_PAGE).orderBy("edge")
+    apart = F.coalesce(F.col("edge") - F.lag("edge").over(along) > F.col("near"), F.lit(False))
+    islands = edges.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(along))
+    shared = islands.groupBy(*_PAGE, "island", "near").agg(F.min("edge").alias("low"), F.max("edge").alias("high"), F.sum("rows").alias("rows")).where("rows > 1")
+    span = F.struct((F.col("low") - F.col("near") / 2).alias("low"), (F.col("high") + F.col("near") / 2).alias("high"))
+    return shared.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(span)).alias("columns"))
+
+
+def _same_page(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.page").eqNullSafe(F.col(f"{b}.page"))
+
+
+def placed(pieces: DataFrame) -> DataFrame:
+    """Pieces with line and column: the number of the column that holds their left edge, 0 outside of all; columns is null where the page has too little for a table."""
+    page, line = Window.partitionBy(*_PAGE), Window.partitionBy(*_PAGE, "line")
+    sign = F.col("width") / F.greatest(F.lit(1), F.length("str"))
+    near = F.greatest(COLUMN_CHARACTERS * F.coalesce(F.avg(F.when(sign > 0, sign)).over(page), F.lit(CHARACTER)), F.lit(float(COLUMN_UNITS)))
+    lined = in_lines(pieces).withColumns({"edge": F.floor(F.col("x") + 0.5), "near": near, "in_line": F.count(F.lit(1)).over(line)})
+    # a line of several pieces counts once, at its leftmost piece
+    lined = lined.withColumn("leads", F.row_number().over(line.orderBy("x", "n")) == 1)
+    lined = lined.withColumns({"pieces": F.count(F.lit(1)).over(page), "lines": F.max("line").over(page), "several": F.sum((F.col("leads") & (F.col("in_line") > 1)).cast("int")).over(page)})
+    enough = (F.col("pieces") >= FEWEST_PIECES) & (F.col("lines") >= FEWEST_ROWS) & (F.col("several") > 1)
+    found = lined.alias("p").join(_columns(lined).alias("c"), _same_page("p", "c"), "left").select("p.*", F.when(enough & (F.size("columns") >= FEWEST_COLUMNS), F.col("columns")).alias("columns"))
+    holds = F.transform("columns", lambda c: (F.col("edge") >= c["low"]) & (F.col("edge") <= c["high"]))
+    return found.withColumn("column", F.coalesce(F.array_position(holds, True), F.lit(0)).cast("int"))
+
+
+def page_tables(placed_pieces: DataFrame) -> DataFrame:
+    """(id, page, table): the grid as Markdown, of pages where three lines of five fill all columns."""
+    cells = placed_pieces.where("columns IS NOT NULL").groupBy(*_PAGE, "line", "column", F.size("columns").alias("wide")).agg(_strip(_in_order(F.struct("x", "n", "str"), "str")).alias("cell"))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("column") > 0, F.struct("column", "cell"))))
+    rows = cells.groupBy(*_PAGE, "line", "wide").agg(held.alias("held"))
+    row = F.transform(F.sequence(F.lit(1), F.col("wide")), lambda i: F.coalesce(F.try_element_at("held", i), F.lit("")))
+    rows = rows.withColumn("row", row).withColumn("full", F.forall("row", lambda c: c != ""))
+    bars = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("line", bars(F.col("row")).alias("shown")))), lambda r: r["shown"])
+    grids = rows.groupBy(*_PAGE, "wide").agg(shown.alias("shown"), F.avg(F.col("full").cast("int")).alias("filled")).where(F.col("filled") >= FULL_ROWS)
+    rule = bars(F.array_repeat(F.lit("---"), F.col("wide")))
+    return grids.select(*_PAGE, F.array_join(F.concat(F.slice("shown", 1, 1), F.array(rule), F.slice("shown", F.lit(2), F.size("shown"))), "\n").alias("table"))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """(id, page, items array<struct<str,x,y,width,height>>) to (id, page, text, table): the text outside a table, and the table or null.
 
-    Null items are no item, null positions 0, items without a text are left out.
+    Null items and items without a text are left out, null positions are 0; a page without items has an empty text.
     """
-    kinds = dict(pages.dtypes)
-    return pages.select("id", "page", "items").mapInPandas(_pages, f"id {kinds['id']}, page {kinds['page']}, text string, table string")
+    held = placed(pieces_of(pages))
+    tables = page_tables(held)
+    rest = held.alias("p").join(tables.alias("t"), _same_page("p", "t"), "left").where(F.col("table").isNull() | (F.col("column") == 0))
+    texts = page_texts(rest.select(*(f"p.{c}" for c in ("id", "page", "n", "str", "x", "y", "width", "height"))))
+    every = pages.select(*_PAGE).distinct()
+    got = every.alias("e").join(texts.alias("x"), _same_page("e", "x"), "left").join(tables.alias("t"), _same_page("e", "t"), "left")
+    return got.select("e.id", "e.page", F.coalesce("x.text", F.lit("")).alias("text"), "t.table")

@@ -160,10 +160,9 @@ def html_markdown(html: str | None) -> str:
 
 
 def page_cut(text: Column, max_chars: int) -> Column:
-    """Texts beyond max_chars are cut there, with a note of how much is gone."""
+    """Texts beyond max_chars are cut there, with a note of how many of how many characters are missing, and their share."""
     n = F.length(text)
-    share = F.round((n - max_chars) / n * 100).cast("int").cast("string")
-    note = F.concat(F.lit(f"\n\n[... truncated at {max_chars} characters - "), share, F.lit("% of original page trimmed. Full page is "), n.cast("string"), F.lit(" characters.]"))
+    note = F.format_string("\n\n(cut: %d of %d characters are missing, %d%%)", n - max_chars, n, F.round((n - max_chars) / n * 100).cast("int"))
     return F.when(n > max_chars, F.concat(F.substring(text, 1, max_chars), note)).otherwise(text)
 
 

@@ -26,7 +26,7 @@ def test_markdown_of_deep_pages_keeps_text():
 
 def test_page_cut(spark):
     got = spark.createDataFrame([("a" * 40,), ("b" * 10,), (None,)], "t string").select(M.page_cut(F.col("t"), 10).alias("t")).collect()
-    assert got[0].t == "a" * 10 + "\n\n[... truncated at 10 characters - 75% of original page trimmed. Full page is 40 characters.]"
+    assert got[0].t == "a" * 10 + "\n\n(cut: 30 of 40 characters are missing, 75%)"
     assert (got[1].t, got[2].t) == ("b" * 10, None)
 
 
