@@ -81,3 +81,70 @@ def scenario_scores(scenarios: DataFrame, results: DataFrame) -> DataFrame:
         F.when(~F.col("out_of_scope"), grounded).alias("faithfulness"),
         F.when(~F.col("out_of_scope"), "NA").when(F.coalesce(F.col("top"), F.lit(0.0)) < CONFIDENT, "PASS").otherwise("WARN").alias("hallucination"),
     )
+
+
+def language_profiles(texts: DataFrame) -> DataFrame:
+    """(lang, letter, weight): log frequencies of letters in texts (lang, text) of each language, those that it lacks left out; a table of languages times letters."""
+    letter = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}"), F.lit(0)))
+    counts = texts.where(F.col("lang").isNotNull()).select("lang", letter.alias("letter")).groupBy("lang", "letter").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    return counts.select("lang", "letter", F.ln(F.col("n") / total).alias("weight"))
+
+
+def identify_language(texts: DataFrame, profiles: DataFrame, unseen: float = -14.0) -> DataFrame:
+    """(id, lang) of texts (id, text): the language under whose letter frequencies a text is likeliest; ties to the first by name, null without letters.
+
+    Letters are counted within each text's row; what is joined is a row a text and letter, and the profiles, which languages and alphabets bound, are broadcast.
+    """
+    letters = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}"), F.lit(0))
+    counted = texts.select("id", F.explode_outer(letters).alias("letter")).groupBy("id", "letter").agg(F.count(F.lit(1)).alias("n"))
+    table = profiles.groupBy("letter").agg(F.map_from_entries(F.collect_list(F.struct("lang", "weight"))).alias("weights"))
+    names = F.broadcast(profiles.agg(F.array_sort(F.collect_set("lang")).alias("langs")).withColumn("one", F.lit(1)))
+    met = counted.join(F.broadcast(table), "letter", "left").withColumn("one", F.lit(1)).join(names, "one")
+    score = F.explode(F.transform("langs", lambda l: F.struct(l.alias("lang"), (F.col("n") * F.coalesce(F.try_element_at("weights", l), F.lit(unseen))).alias("s"))))
+    sums = met.select("id", "letter", score.alias("s")).groupBy("id", "s.lang").agg(F.sum("s.s").alias("s"), F.max(F.col("letter").isNotNull()).alias("any"))
+    # likelihoods are compared at six digits, so that sums taken in another order tie alike
+    return sums.groupBy("id").agg(F.min(F.when(F.col("any"), F.struct((-F.round("s", 6)).alias("s"), "lang"))).alias("b")).select("id", "b.lang")
+
+
+def rubric(scenarios: DataFrame, results: DataFrame, answers: DataFrame, languages: DataFrame) -> DataFrame:
+    """All five scores of each scenario: scenario_scores, and from 1 to 5 how far its answer meets the question and how natural its language is.
+
+    scenarios: as in scenario_scores, with query and language (null: any); answers: (qid, answer), an out-of-scope one null where the system declined;
+    languages: (qid, lang), that of the context. An answer meets the question by the share of the query's words over three letters that it
+    holds, and by a marker; its language is judged by the context's and by the markers that context or answer keep as they are.
+    """
+    context = results.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"]), " ").alias("context"))
+    rows = scenarios.join(context, "qid", "left").join(answers.select("qid", "answer"), "qid", "left").join(languages.select("qid", F.col("lang").alias("found")), "qid", "left")
+    rows = rows.withColumns({"context": F.coalesce("context", F.lit("")), "said": F.coalesce("answer", F.lit("")), "markers": F.coalesce("expected_markers", F.array().cast("array<string>"))})
+    words = F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), r"(?U)\s+"), lambda w: F.length(w) > 3)
+    met = F.size(F.filter(words, lambda w: F.contains(F.lower("said"), w))) / F.greatest(F.size(words), F.lit(1))
+    marked = F.exists("markers", lambda m: F.contains(F.lower("said"), F.lower(m)))
+    relevance = F.when((met >= 0.6) & marked, 5).when((met >= 0.4) & marked, 4).when((met >= 0.3) | marked, 3).when(met > 0, 2).otherwise(1)
+    kept = F.exists("markers", lambda m: F.contains(F.col("context"), m) | F.contains(F.col("said"), m))
+    own = F.col("found") == F.col("language")
+    any_ = F.col("found").isNotNull()
+    within = F.when(F.coalesce(own, F.lit(False)), F.when(kept, 5).otherwise(4)).when(any_ & kept & (F.col("language") != "en"), 3).otherwise(2)
+    across = F.when(any_ & kept, 5).when(any_, 3).otherwise(1)
+    told = rows.select(
+        "qid", "out_of_scope", F.when(F.col("out_of_scope"), F.when(F.col("answer").isNull(), 5).otherwise(1)).otherwise(relevance).alias("answer_relevance"),
+        F.when(F.col("out_of_scope"), 4).when(F.col("language").isNull(), across).otherwise(within).alias("language_naturalness"),
+    )
+    return scenario_scores(scenarios, results).join(told, "qid")
+
+
+# Least averages, and the share of out-of-scope scenarios that must be handled.
+LEAST_RELEVANCE, LEAST_FAITH, LEAST_ANSWER, LEAST_HANDLED = 3.5, 3.5, 3.0, 0.67
+
+
+def rubric_gate(scores: DataFrame) -> DataFrame:
+    """One row over rubric(): averages, how many out-of-scope scenarios there are and were handled (passed or warned), and whether all is good enough; averages over nothing are 0."""
+    inside = ~F.col("out_of_scope")
+    mean = lambda c, where=F.lit(True): F.coalesce(F.avg(F.when(where, F.col(c))), F.lit(0.0))
+    one = scores.agg(
+        F.count(F.lit(1)).alias("n"), mean("context_relevance").alias("context_relevance"), mean("faithfulness", inside).alias("faithfulness"), mean("answer_relevance").alias("answer_relevance"),
+        mean("language_naturalness", inside).alias("language_naturalness"), F.count_if("out_of_scope").alias("outside"), F.count_if(F.col("out_of_scope") & F.col("hallucination").isin("PASS", "WARN")).alias("handled"),
+    )
+    overall = (F.col("context_relevance") + F.col("faithfulness") + F.col("answer_relevance") + F.col("language_naturalness")) / 4
+    good = (F.col("context_relevance") >= LEAST_RELEVANCE) & (F.col("faithfulness") >= LEAST_FAITH) & (F.col("answer_relevance") >= LEAST_ANSWER) & (F.col("handled") >= LEAST_HANDLED * F.col("outside"))
+    return one.withColumn("overall", overall).withColumn("passed", good)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions import text as X
-from ..operators import blocks, corpus, measure, modes
+from ..operators import assess, blocks, corpus, measure, modes, search
+from ..operators.structure import roman
 from ..sources import conversations, files
 from ..streaming import stateful
-from .queries import _cycle, _docs, query
+from .queries import _BM25, _MSG, _cycle, _docs, query
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -124,3 +125,129 @@ def content_changes(t):
     days = t("documents").select("doc_id", F.col("lang").alias("layer"), F.concat_ws("/", "source", "doc_id").alias("path"), "text", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day"))
     seen = days.withColumns({"file_hash": F.sha2(F.concat("text", F.floor(F.col("day") / 3).cast("string")).cast("binary"), 256), "ts": F.timestamp_seconds("day")})
     return stateful.changed_rows(seen).select("doc_id", "day")
+
+
+# languages are told by the letter frequencies of all documents of each
+_LETTERS = r"unnest(regexp_extract_all(lower(text), '\p{L}'))"
+
+
+@query(f"""WITH k AS (SELECT lang, letter, count(*) AS n FROM (SELECT lang, {_LETTERS} AS letter FROM documents) GROUP BY ALL), w AS (SELECT lang, letter, ln(n / sum(n) OVER (PARTITION BY lang)) AS weight FROM k),
+t AS (SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, {_LETTERS} AS letter FROM documents) GROUP BY ALL), s AS (SELECT doc_id, l.lang, round(sum(n * coalesce(weight, -14)), 6) AS s FROM t CROSS JOIN (SELECT DISTINCT lang FROM k) l LEFT JOIN w ON w.lang = l.lang AND w.letter = t.letter GROUP BY doc_id, l.lang),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS place FROM s)
+SELECT d.doc_id AS id, coalesce(r.lang, '') AS lang FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND place = 1""")
+def document_languages(t):
+    docs = t("documents")
+    profiles = assess.language_profiles(docs)
+    return assess.identify_language(docs.select(F.col("doc_id").alias("id"), "text"), profiles).withColumn("lang", F.coalesce("lang", F.lit("")))
+
+
+# scenarios of benchmark texts: their first and last words are the markers, every fifth is out of scope and was declined if it found nothing of its source
+_RUBRIC = f"""sn AS (SELECT item_id AS qid, text AS query, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws, 'src' || item_id % 4 || '/' AS source, item_id % 5 = 0 AS oos, ['', 'en', 'de'][item_id % 3 + 1] AS language FROM benchmark),
+fr AS (SELECT qid, rk.id, rank, 1 - 1 / (1 + score) AS sat, d.source || '/x.md' AS path, d.text, lang FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5),
+cx AS (SELECT qid, string_agg(text, ' ' ORDER BY rank) AS context, list(path) AS paths, arg_min(sat, rank) AS top, arg_min(lang, rank) AS found FROM fr GROUP BY qid),
+an AS (SELECT fr.qid, arg_min(CASE WHEN length(fr.text) > 500 THEN left(fr.text, 500) || '...' ELSE fr.text END, (NOT contains(path, source), rank)) AS answer, bool_or(contains(path, source)) AS own FROM fr JOIN sn ON sn.qid = fr.qid GROUP BY fr.qid),
+j AS (SELECT sn.*, [ws[1], ws[-1], 'zzz'] AS markers, coalesce(context, '') AS context, coalesce(paths, []) AS paths, top, coalesce(found, '') AS found, CASE WHEN oos AND NOT coalesce(own, false) THEN NULL ELSE answer END AS answer FROM sn LEFT JOIN cx ON cx.qid = sn.qid LEFT JOIN an ON an.qid = sn.qid),
+m AS (SELECT *, len(list_filter(markers, lambda k: contains(lower(context), lower(k)))) / 3.0 AS hit, len(list_filter(paths, lambda p: contains(p, source))) > 0 AS src, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 4)) AS truth,
+list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 3) AS asked, coalesce(answer, '') AS said FROM j),
+v AS (SELECT *, len(list_filter(truth, lambda w: contains(lower(context), w))) / greatest(len(truth), 1)::DOUBLE AS ground, len(list_filter(asked, lambda w: contains(lower(said), w))) / greatest(len(asked), 1)::DOUBLE AS met,
+len(list_filter(markers, lambda k: contains(lower(said), lower(k)))) > 0 AS marked, len(list_filter(markers, lambda k: contains(context, k) OR contains(said, k))) > 0 AS kept FROM m),
+ru AS (SELECT qid, oos, CASE WHEN oos THEN CASE WHEN top IS NULL THEN 5 WHEN top < 0.6 THEN 4 ELSE 2 END WHEN hit >= 0.75 AND src THEN 5 WHEN hit >= 0.5 AND src THEN 4 WHEN hit >= 0.25 OR src THEN 3 WHEN hit > 0 THEN 2 ELSE 1 END AS context_relevance,
+CASE WHEN oos THEN 0 WHEN ground >= 0.8 THEN 5 WHEN ground >= 0.6 THEN 4 WHEN ground >= 0.4 THEN 3 WHEN ground >= 0.2 THEN 2 ELSE 1 END AS faithfulness,
+CASE WHEN oos THEN CASE WHEN answer IS NULL THEN 5 ELSE 1 END WHEN met >= 0.6 AND marked THEN 5 WHEN met >= 0.4 AND marked THEN 4 WHEN met >= 0.3 OR marked THEN 3 WHEN met > 0 THEN 2 ELSE 1 END AS answer_relevance,
+CASE WHEN oos THEN 4 WHEN language = '' THEN CASE WHEN found <> '' AND kept THEN 5 WHEN found <> '' THEN 3 ELSE 1 END WHEN found = language THEN CASE WHEN kept THEN 5 ELSE 4 END WHEN found <> '' AND kept AND language <> 'en' THEN 3 ELSE 2 END AS language_naturalness,
+CASE WHEN NOT oos THEN 'NA' WHEN coalesce(top, 0) < 0.6 THEN 'PASS' ELSE 'WARN' END AS hallucination FROM v)"""
+
+
+def _rubric(t):
+    items = t("benchmark")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    none = F.lit(None).cast("string")
+    scenarios = items.select(
+        F.col("item_id").alias("qid"), F.col("text").alias("query"), F.array(F.get(words, F.lit(0)), F.element_at(words, -1), F.lit("zzz")).alias("expected_markers"),
+        F.concat(F.lit("src"), (F.col("item_id") % 4).cast("string"), F.lit("/")).alias("expected_source"), F.col("text").alias("ground_truth"), (F.col("item_id") % 5 == 0).alias("out_of_scope"),
+        F.when(F.col("item_id") % 3 == 1, "en").when(F.col("item_id") % 3 == 2, "de").otherwise(none).alias("language"),
+    )
+    about = t("documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/x.md")).alias("file_path"), "text", "lang")
+    found = search.bm25(scenarios.select("qid", "query"), search.build_index(_docs(t)), 5).join(about, "id").withColumn("score", X.saturation(F.col("score")))
+    answers = measure.plain_answers(found, scenarios.select("qid", F.col("expected_source").alias("source")))
+    own = found.join(scenarios.select("qid", "expected_source", "out_of_scope"), "qid").groupBy("qid").agg(F.bool_and("out_of_scope").alias("oos"), F.bool_or(F.contains("file_path", F.col("expected_source"))).alias("own"))
+    answers = answers.join(own, "qid", "left").select("qid", F.when(~(F.col("oos") & ~F.col("own")), F.col("answer")).alias("answer"))
+    languages = found.groupBy("qid").agg(F.min_by("lang", "rank").alias("lang"))
+    return assess.rubric(scenarios, found, answers, languages)
+
+
+@query(f"WITH {_BM25}, {_RUBRIC} SELECT qid, context_relevance, faithfulness, answer_relevance, language_naturalness, hallucination FROM ru")
+def rubric_scores(t):
+    return _rubric(t).select("qid", "context_relevance", F.coalesce("faithfulness", F.lit(0)).alias("faithfulness"), "answer_relevance", "language_naturalness", "hallucination")
+
+
+@query(f"""WITH {_BM25}, {_RUBRIC}, g AS (SELECT count(*) AS n, avg(context_relevance) AS c, coalesce(avg(faithfulness) FILTER (WHERE NOT oos), 0) AS f, avg(answer_relevance) AS a, coalesce(avg(language_naturalness) FILTER (WHERE NOT oos), 0) AS l, count(*) FILTER (WHERE oos) AS outside, count(*) FILTER (WHERE oos AND hallucination IN ('PASS', 'WARN')) AS handled FROM ru)
+SELECT n, round(c, 6) AS context_relevance, round(f, 6) AS faithfulness, round(a, 6) AS answer_relevance, round(l, 6) AS language_naturalness, outside, handled, round((c + f + a + l) / 4, 6) AS overall, c >= 3.5 AND f >= 3.5 AND a >= 3.0 AND handled >= 0.67 * outside AS passed FROM g""")
+def rubric_gate(t):
+    g = assess.rubric_gate(_rubric(t))
+    return g.select(*(F.round(c, 6).alias(c) if dict(g.dtypes)[c] == "double" else F.col(c) for c in g.columns))
+
+
+# paths of documents with endings and folders that rules tell apart
+@query(r"""WITH p AS (SELECT doc_id, lang || '/' || ['docs', 'node_modules/x', 'src', 'drafts', 'keep'][doc_id % 5 + 1] || '/' || doc_id || ['.md', '.PY', '', '.exe', '.env', '.log', '.local.env'][doc_id % 7 + 1] AS path FROM documents)
+SELECT doc_id, path, NOT contains(path, '/node_modules/') AND doc_id % 7 NOT IN (3, 4, 6) AND NOT (contains(path, '/drafts/') OR (doc_id % 7 = 5 AND NOT contains(path, '/keep/'))) AS indexed FROM p""")
+def indexed_paths(t):
+    ending = _cycle("doc_id", ".md", ".PY", "", ".exe", ".env", ".log", ".local.env")
+    path = F.concat(F.concat_ws("/", "lang", _cycle("doc_id", "docs", "node_modules/x", "src", "drafts", "keep"), F.col("doc_id").cast("string")), ending)
+    rules = ["# a comment", "", "drafts/", "*.log", "!keep"]
+    return t("documents").select("doc_id", path.alias("path")).select("doc_id", "path", corpus.indexable(F.col("path"), rules).alias("indexed"))
+
+
+# an assistant's turn calls one of three tools with its text, and the next user turn answers it
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, ['grep', 'read', 'tree'][conv_id % 3 + 1] AS tool FROM conversations), c AS (SELECT tool, 1 AS k, 0.0 AS i, 1.6 + 1.6 + length(text) / 4.0 * 1.6 + 12 AS o FROM m WHERE role = 'assistant'),
+a AS (SELECT tool, 0 AS k, {_MSG} AS i, 0.0 AS o FROM m WHERE role = 'user' AND turn > 0), s AS (SELECT tool, sum(k) AS calls, CAST(round(sum(i)) AS BIGINT) AS tokens_in, CAST(round(sum(o)) AS BIGINT) AS tokens_out FROM (SELECT * FROM c UNION ALL SELECT * FROM a) GROUP BY tool)
+SELECT tool, CAST(calls AS BIGINT) AS calls, tokens_in, tokens_out, round((tokens_in * 0.27 + tokens_out * 1.1) / 1e6, 9) AS cost FROM s""")
+def tool_usage(t):
+    c = t("conversations")
+    tool = _cycle("conv_id", "grep", "read", "tree")
+    call = F.array(F.struct(F.concat(F.lit("call_"), F.col("turn").cast("string")).alias("id"), tool.alias("name"), F.col("text").alias("arguments")))
+    m = c.select(F.when(F.col("role") == "assistant", "assistant").when(F.col("turn") > 0, "tool").otherwise("user").alias("role"), tool.alias("name"), "text", F.when(F.col("role") == "assistant", call).alias("tool_calls"))
+    return measure.tool_usage(m, 0.27, 1.1).withColumn("cost", F.round("cost", 9))
+
+
+# documents as books: pages of six lines under a running title, over a number in Arabic or Roman figures
+_ROMAN = ", ".join(f"'{roman(i).lower()}'" for i in range(1, 100))
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), g AS (SELECT doc_id, (n - 1) // 6 AS page, string_agg(line, chr(10) ORDER BY n) AS body FROM l GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS pages FROM g GROUP BY doc_id), b AS (SELECT doc_id, CASE WHEN pages >= 3 THEN '' ELSE 'A running title' || chr(10) END AS head, pages, page, body, CASE WHEN pages >= 3 THEN '' ELSE chr(10) || CASE WHEN doc_id % 2 = 0 THEN CAST(page + 1 AS VARCHAR) ELSE [{_ROMAN}][page % 99 + 1] END END AS foot FROM g JOIN c USING (doc_id))
+SELECT doc_id AS id, regexp_replace(string_agg(head || body || foot, chr(10) ORDER BY page), '(\\w)-\\n(\\w)', '\\1\\2', 'g') AS text FROM b GROUP BY doc_id""")
+def cleaned_pages(t):
+    lines = corpus.lines(_docs(t)).withColumn("page", F.floor((F.col("line_number") - 1) / 6).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda r: r["line"]), "\n")
+    numerals = F.array(*(F.lit(roman(i).lower()) for i in range(1, 100)))
+    number = F.when(F.col("id") % 2 == 0, (F.col("page") + 1).cast("string")).otherwise(F.get(numerals, F.col("page") % 99))
+    pages = lines.groupBy("id", "page").agg(body.alias("body")).select("id", "page", F.concat(F.lit("A running title\n"), "body", F.lit("\n"), number).alias("text"))
+    return corpus.page_cleanup(pages)
+
+
+@query(r"""WITH d AS (SELECT doc_id, turn, CASE i WHEN 0 THEN '## Part #one [Two] ' || w ELSE '#tag [12] #9 ' || w || ' [' || w || ']' END AS line FROM (SELECT conv_id AS doc_id, turn, turn % 2 AS i, regexp_replace(lower(text), '[^a-z]', '', 'g') AS w FROM conversations))
+SELECT doc_id AS conv_id, turn, CASE WHEN starts_with(line, '##') THEN 2 ELSE 0 END AS level, CASE WHEN starts_with(line, '##') THEN line[4:] ELSE '' END AS title, array_to_string(CASE WHEN starts_with(line, '##') THEN ['one', 'two'] ELSE list_sort(list_distinct(list_filter(['tag', regexp_extract(line, '\[([a-z]+)\]$', 1)], lambda x: x <> ''))) END, '|') AS tags FROM d""")
+def line_marks(t):
+    w = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    line = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("## Part #one [Two] "), w)).otherwise(F.concat(F.lit("#tag [12] #9 "), w, F.lit(" ["), w, F.lit("]")))
+    return t("conversations").select("conv_id", "turn", line.alias("line")).select("conv_id", "turn", X.heading_level(F.col("line")).alias("level"), X.heading_title(F.col("line")).alias("title"), F.array_join(X.tags(F.col("line")), "|").alias("tags"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0') || '.0' || (1 + turn % 9) || '.2024' AS folder, '1' || (turn % 10) || '.30.' || (10 + conv_id % 50) || CASE turn % 3 WHEN 0 THEN ' - ' || replace(text, chr(10), ' ') ELSE '' END || '.json' AS file, turn % 3 AS k, replace(text, chr(10), ' ') AS text FROM conversations)
+SELECT conv_id, turn, strftime(strptime(folder || ' ' || left(file, 8), '%d.%m.%Y %H.%M.%S'), '%Y-%m-%d %H:%M:%S') AS saved, CASE k WHEN 0 THEN text ELSE '' END AS title FROM d""")
+def saved_names(t):
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    folder = F.concat(two(1 + F.col("conv_id") % 28), F.lit(".0"), (1 + F.col("turn") % 9).cast("string"), F.lit(".2024"))
+    named = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" - "), F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise("")
+    file = F.concat(F.lit("1"), (F.col("turn") % 10).cast("string"), F.lit(".30."), (10 + F.col("conv_id") % 50).cast("string"), named, F.lit(".json"))
+    d = t("conversations").select("conv_id", "turn", folder.alias("folder"), file.alias("file"))
+    return d.select("conv_id", "turn", F.date_format(X.saved_at(F.col("folder"), F.col("file")), "yyyy-MM-dd HH:mm:ss").alias("saved"), F.coalesce(X.saved_title(F.col("file")), F.lit("")).alias("title"))
+
+
+@query("""WITH l AS (SELECT doc_id, CAST(n AS INTEGER) AS line_number, string_split(line, ' ') AS ws FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents))
+SELECT doc_id, line_number, array_to_string(list_transform(ws, lambda w: trim(w)), '~') AS cells FROM l WHERE array_to_string(ws, '') NOT LIKE '%|%'""")
+def table_rows(t):
+    lines = corpus.lines(t("documents").select(F.col("doc_id").alias("id"), "text")).where(~F.contains("line", F.lit("|")))
+    row = F.concat(F.lit(" | "), F.replace("line", F.lit(" "), F.lit(" | ")), F.lit(" |"))
+    return lines.select(F.col("id").alias("doc_id"), "line_number", F.array_join(X.table_cells(row), "~").alias("cells"))

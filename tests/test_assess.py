@@ -64,3 +64,31 @@ def test_density_vectors_names_and_cells(spark):
     assert [tuple(r) for r in got] == [(datetime.datetime(2024, 12, 31, 23, 59, 58), "My talk"), (datetime.datetime(2024, 12, 31, 23, 59, 58), ""), (None, "notes")]
     cells = spark.createDataFrame([("| a | b |",), ("a|",), ("",)], "s string").select(X.table_cells(F.col("s")).alias("c")).collect()
     assert [r.c for r in cells] == [["a", "b"], ["a"], [""]]
+
+
+def test_languages_are_told_by_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = assess.language_profiles(docs.where("doc_id % 2 = 0"))
+    told = assess.identify_language(docs.select(F.col("doc_id").alias("id"), "text"), profiles)
+    met = docs.where("doc_id % 2 = 1 AND length(text) > 60").join(told.withColumnRenamed("lang", "told"), F.col("doc_id") == F.col("id")).toPandas()
+    assert len(met) > 300 and (met.lang == met.told).mean() > 0.95
+    few = assess.identify_language(spark.createDataFrame([(1, None), (2, "12 !"), (3, "")], "id int, text string"), profiles)
+    assert {(r.id, r.lang) for r in few.collect()} == {(1, None), (2, None), (3, None)}
+
+
+def test_rubric_and_gate(spark):
+    rows = [
+        (1, "where does moisture settle", ["Moisture", "peat"], "bog.md", "moisture settles within layers", False, "en"), (2, "where does moisture settle", ["nothing"], "x.md", None, False, "en"),
+        (3, "unknown things", None, None, None, True, None), (4, "unknown things", None, None, None, True, "en"), (5, "moisture", ["Moisture"], None, "moisture", False, None), (6, "moisture here", ["Moisture"], None, None, False, "fr"), (7, "moisture", [], None, None, False, "en"),
+    ]
+    scenarios = spark.createDataFrame(rows, "qid int, query string, expected_markers array<string>, expected_source string, ground_truth string, out_of_scope boolean, language string")
+    results = spark.createDataFrame([(q, 1, "a/bog.md", "Moisture settles within peat layers", 0.9) for q in (1, 2, 4, 5, 6)], "qid int, rank int, file_path string, text string, score double")
+    answers = spark.createDataFrame([(1, "moisture does settle where peat is"), (2, "something else"), (3, None), (4, "a guess"), (5, "Moisture"), (6, "here")], "qid int, answer string")
+    languages = spark.createDataFrame([(q, "en") for q in (1, 2, 4, 5, 6)], "qid int, lang string")
+    got = assess.rubric(scenarios, results, answers, languages)
+    scores = {r.qid: (r.context_relevance, r.faithfulness, r.answer_relevance, r.language_naturalness, r.hallucination) for r in got.collect()}
+    assert scores == {1: (5, 5, 5, 5, "NA"), 2: (1, 3, 1, 4, "NA"), 3: (5, None, 5, 4, "PASS"), 4: (2, None, 1, 4, "WARN"), 5: (5, 5, 5, 5, "NA"), 6: (5, 3, 3, 3, "NA"), 7: (3, 3, 1, 2, "NA")}
+    gate = assess.rubric_gate(got).first()
+    assert (gate.n, gate.outside, gate.handled) == (7, 2, 2) and gate.context_relevance == pytest.approx(26 / 7) and gate.faithfulness == pytest.approx(19 / 5) and not gate.passed
+    good = assess.rubric_gate(got.where("qid IN (1, 5)")).first()
+    assert good.passed and good.overall == 5 and assess.rubric_gate(got.limit(0)).first().passed is False
