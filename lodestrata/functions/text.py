@@ -195,3 +195,30 @@ def relevant(file_path: Column, text: Column, file: Column, terms: Column, every
     held = lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(t))
     terms = F.coalesce(terms, F.array().cast("array<string>"))
     return F.coalesce(F.contains(F.coalesce(file_path, F.lit("")), file), F.lit(True)) & ((F.size(terms) == 0) | (F.forall(terms, held) if every else F.exists(terms, held)))
+
+
+def invisible_count(text: Column) -> Column:
+    """How many characters sanitize() takes out."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(INVISIBLE))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below a root, with forward slashes; paths outside of it stay as they are."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
+
+
+def namespace(path: Column, root: str) -> Column:
+    """The folders between a root and a file, empty directly below the root."""
+    return F.regexp_extract(relative_path(path, root), r"^(?s)(.*)/[^/]*$", 1)
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path, with its extension."""
+    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """The lower-cased extension of a file's name without its dot; empty for none and for names that only begin with a dot."""
+    return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+\.([^.]*)$", 1))

@@ -52,9 +52,19 @@ def answered_calls(calls: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def history_search(messages: DataFrame, word: str) -> DataFrame:
-    """Conversations in which a user or the assistant uses a word, whole and in any case, with their number of hits; latest first by id."""
+    """Conversations in which a user or the assistant uses a word, whole and in any case, with their number of hits."""
     hit = F.col("text").rlike(r"(?i)\b\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E\b") & F.col("role").isin("user", "assistant")
-    return messages.where(hit).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("turn").alias("first_turn")).orderBy(F.desc("conv_id"))
+    return messages.where(hit).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("turn").alias("first_turn"))
+
+
+def history_versions(messages: DataFrame, word: str, titles: DataFrame) -> DataFrame:
+    """(title, versions, matching, latest): conversations by title (conv_id, title) in which any version uses a word; a page of them is ordered by latest.
+
+    The word is looked for in each conversation once; what is grouped afterwards is a row a conversation.
+    """
+    hits = history_search(messages, word).select("conv_id", F.lit(1).alias("hit"))
+    told = titles.select("conv_id", F.lower(F.trim("title")).alias("title")).join(hits, "conv_id", "left")
+    return told.groupBy("title").agg(F.count(F.lit(1)).alias("versions"), F.count("hit").alias("matching"), F.max("conv_id").alias("latest")).where("matching > 0")
 
 
 def retrieval_metrics(ranked: DataFrame, queries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions import text as X
-from ..operators import assess, blocks, corpus, measure, modes, search
+from ..operators import assess, blocks, code, corpus, layout, measure, modes, search
 from ..operators.structure import roman
 from ..sources import conversations, files
 from ..streaming import stateful
@@ -251,3 +251,55 @@ def table_rows(t):
     lines = corpus.lines(t("documents").select(F.col("doc_id").alias("id"), "text")).where(~F.contains("line", F.lit("|")))
     row = F.concat(F.lit(" | "), F.replace("line", F.lit(" "), F.lit(" | ")), F.lit(" |"))
     return lines.select(F.col("id").alias("doc_id"), "line_number", F.array_join(X.table_cells(row), "~").alias("cells"))
+
+
+@query(r"""WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS text, count(*) FILTER (WHERE role IN ('user', 'assistant') AND regexp_matches(text, '(?i)\bthe\b')) AS hits FROM conversations GROUP BY conv_id),
+g AS (SELECT lower(trim(string_split(text, ' ')[1])) AS title, conv_id, hits FROM f WHERE text IS NOT NULL)
+SELECT title, count(*) AS versions, count(*) FILTER (WHERE hits > 0) AS matching, max(conv_id) AS latest FROM g GROUP BY title HAVING count(*) FILTER (WHERE hits > 0) > 0""")
+def history_versions(t):
+    m = t("conversations")
+    titles = m.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select("conv_id", F.get(F.split("text", " "), F.lit(0)).alias("title"))
+    return measure.history_versions(m, "the", titles)
+
+
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'C:\data\' || lang || '\' || source || '\' || doc_id || '.TXT' WHEN 1 THEN 'C:/data/' || doc_id || '.tar.gz' WHEN 2 THEN 'D:/else/' || source || '/.env' ELSE 'C:/data/' || lang || '/none' END AS path FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '/' || source WHEN 1 THEN '' WHEN 2 THEN 'D:/else/' || source ELSE lang END AS namespace, CASE doc_id % 4 WHEN 0 THEN doc_id || '.TXT' WHEN 1 THEN doc_id || '.tar.gz' WHEN 2 THEN '.env' ELSE 'none' END AS name, ['txt', 'gz', '', ''][doc_id % 4 + 1] AS extension FROM p JOIN documents USING (doc_id)""")
+def path_parts(t):
+    key = F.col("doc_id").cast("string")
+    n = F.col("doc_id") % 4
+    path = F.when(n == 0, F.concat(F.lit("C:\\data\\"), "lang", F.lit("\\"), "source", F.lit("\\"), key, F.lit(".TXT"))).when(n == 1, F.concat(F.lit("C:/data/"), key, F.lit(".tar.gz")))
+    path = path.when(n == 2, F.concat(F.lit("D:/else/"), "source", F.lit("/.env"))).otherwise(F.concat(F.lit("C:/data/"), "lang", F.lit("/none")))
+    d = t("documents").select("doc_id", path.alias("path"))
+    return d.select("doc_id", X.namespace(F.col("path"), "C:\\data").alias("namespace"), X.base_name(F.col("path")).alias("name"), X.extension(F.col("path")).alias("extension"))
+
+
+@query("""SELECT doc_id, CAST(length(text) - length(replace(text, 'a ', 'a')) AS INTEGER) AS removed FROM documents""")
+def invisible_counts(t):
+    marked = F.replace("text", F.lit("a "), F.lit("a\u200b "))
+    return t("documents").select("doc_id", X.invisible_count(marked).alias("removed"))
+
+
+# vectors as paragraphs, ten a text
+@query(f"""WITH p AS (SELECT vec_id // 10 AS id, vec_id % 10 AS pos, vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id % 10) AS w FROM embeddings),
+s AS (SELECT id, pos, vec_id, CASE WHEN w IS NOT NULL AND greatest(0, list_cosine_similarity(list_transform(v, lambda x: CAST(x AS DOUBLE)), list_transform(w, lambda x: CAST(x AS DOUBLE)))) < 0.35 THEN 1 ELSE 0 END AS cut FROM p),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY id ORDER BY pos) AS part FROM s)
+SELECT CAST(id AS BIGINT) AS id, CAST(part AS BIGINT) AS part, string_agg('paragraph ' || vec_id, chr(10) || chr(10) ORDER BY pos) AS text FROM g GROUP BY ALL""")
+def paragraph_groups(t):
+    p = t("embeddings").select(F.floor(F.col("vec_id") / 10).alias("id"), (F.col("vec_id") % 10).alias("pos"), F.concat(F.lit("paragraph "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"))
+    return assess.semantic_groups(p)
+
+
+@query(r"""WITH s AS (SELECT doc_id, ['python', 'go', 'javascript', 'rust'][doc_id % 4 + 1] AS lang, ['import os', 'package main', 'export x', 'use y'][doc_id % 4 + 1] || chr(10) || text || chr(10) || ['from a import b', 'import "c"', 'const d = require("e")', 'z'][doc_id % 4 + 1] AS src FROM documents)
+SELECT doc_id, array_to_string(list_filter(string_split(src, chr(10))[1:30], lambda l: CASE lang WHEN 'python' THEN regexp_matches(l, '^\s*(import|from) ') WHEN 'go' THEN regexp_matches(l, '^\s*(package |import)') WHEN 'javascript' THEN regexp_matches(l, '^\s*((import|export) |.*require\()') ELSE false END), chr(10)) AS header FROM s""")
+def module_headers(t):
+    head, tail = _cycle("doc_id", "import os", "package main", "export x", "use y"), _cycle("doc_id", "from a import b", 'import "c"', 'const d = require("e")', "z")
+    d = t("documents").select("doc_id", _cycle("doc_id", "python", "go", "javascript", "rust").alias("lang"), F.concat_ws("\n", head, "text", tail).alias("src"))
+    return d.select("doc_id", code.module_header(F.col("src"), F.col("lang")).alias("header"))
+
+
+# documents as pages of sixty lines, their words placed by the characters before them
+@query()
+def page_layout(t):
+    lines = corpus.lines(_docs(t)).select("id", F.floor((F.col("line_number") - 1) / 60).cast("int").alias("page"), ((F.col("line_number") - 1) % 60).alias("row"), F.posexplode(F.split("line", " ")).alias("pos", "word"), "line")
+    words = lines.where("word <> ''").select("id", "page", F.struct(F.col("word").alias("str"), (5.0 * F.length(F.expr("substring_index(line, ' ', pos)")) + F.when(F.col("pos") > 0, 5.0).otherwise(0.0)).alias("x"), (-12.0 * F.col("row")).alias("y"), (5.0 * F.length("word")).alias("width"), F.lit(10.0).alias("height")).alias("i"))
+    return layout.read_pages(words.groupBy("id", "page").agg(F.collect_list("i").alias("items"))).select("id", "page", "text", F.coalesce("table", F.lit("")).alias("table"))
