@@ -15,6 +15,12 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as Spark names files."""
+    where, fs = _at(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, sorted; none if it doesn't exist."""
     where, fs = _at(spark, folder)

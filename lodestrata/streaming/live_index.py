@@ -149,6 +149,12 @@ class LiveIndex:
         ended = [*version.ended, number] if went else version.ended
         return self._commit(replace(told, number=number, epochs=[*version.epochs, number], ended=ended, n_gone=version.n_gone + went, n=version.n + came - went, total=version.total + tokens - less))
 
+    def sync(self, live: DataFrame) -> Version:
+        """Bring the index to the documents (id, text) that there are now: new and changed ones come, all others go. A first call indexes everything."""
+        version = self.version()
+        gone = self.documents(version).select("id").join(live.select("id"), "id", "left_anti") if version.epochs else None
+        return self.apply(live, gone)
+
     def index(self, queries: DataFrame | None = None) -> search.Index:
         """The index as search.bm25 takes it. With queries (qid, query) only their terms are read: by folders and a pushed filter if they are few."""
         version = self.version()

@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import search
-from lodestrata.sources import files
+from lodestrata.sources import files, layers
 from lodestrata.streaming import live_index
 
 DOC = "id string, text string"
@@ -88,6 +89,32 @@ def test_terms_of_few_queries_reach_the_scan(spark, tmp_path, monkeypatch):
     assert "d3" not in {r.id for r in search.bm25(queries, index.index(queries), 0).collect()}
 
 
+def test_layers_are_walked_and_synced(spark, tmp_path):
+    """Two roots with their own rules; a second walk finds what changed and what is gone."""
+    for path, text in {"k/a.md": "alpha", "k/sub/b.txt": "beta", "k/sub/c.exe": "x", "k/node_modules/d.md": "x", "k/drafts/e.md": "x", "k/plain": "no extension", "w/a.md": "other alpha", "w/drafts/f.md": "kept"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "k" / ".ragignore").write_text("# mine\n\ndrafts/\n")
+    roots = {"knowledge": str(tmp_path / "k"), "workspace": str(tmp_path / "w")}
+    walk = lambda content=True: layers.layer_files(spark, roots, content)
+    got = {(r.layer, r.path, r.namespace, r.name, r.length) for r in walk(False).collect()}
+    assert got == {("knowledge", "a.md", "", "a.md", 5), ("knowledge", "sub/b.txt", "sub", "b.txt", 4), ("knowledge", "plain", "", "plain", 12), ("workspace", "a.md", "", "a.md", 11), ("workspace", "drafts/f.md", "drafts", "f.md", 4)}
+    assert {r.path: r.file_hash for r in walk().where("layer = 'knowledge'").collect()}["a.md"] == hashlib.sha256(b"alpha").hexdigest()
+    live = lambda: walk().select(F.concat_ws(":", "layer", "path").alias("id"), F.decode("content", "UTF-8").alias("text"))
+    index = live_index.LiveIndex(spark, str(tmp_path / "i"), buckets=2)
+    one = index.sync(live())
+    assert one.n == 5 and index.sync(live()) == one
+    (tmp_path / "k" / "a.md").write_text("gamma")
+    (tmp_path / "w" / "a.md").unlink()
+    (tmp_path / "w" / "new.md").write_text("delta")
+    two = index.sync(live())
+    assert two.n == 5 and two.n_gone == 2 and two.epochs == [*one.epochs, two.number]
+    assert {(r.id, r.term) for r in index.index().postings.collect()} >= {("knowledge:a.md", "gamma"), ("workspace:new.md", "delta")}
+    listed = layers.resolve_inputs(spark, [str(tmp_path / "w" / "new.md"), str(tmp_path / "*" / "*.md"), str(tmp_path / "k")]).orderBy("place").collect()
+    assert [r.path.split("/", 3)[-1].split("/")[-2:] for r in listed][0] == ["w", "new.md"] and len(listed) == len({r.path for r in listed}) and not any(r.path.endswith(("exe", "plain")) for r in listed)
+    assert layers.resolve_inputs(spark, []).count() == 0
+
+
 def test_stream_keeps_the_index(spark, tmp_path):
     events, root = str(tmp_path / "e"), str(tmp_path / "i")
     rows = [("a/x", "add", 1), ("a/y", "add", 1), ("b", "add", 2), ("a", "unlinkDir", 3), ("a/z", "add", 3), ("b", "unlink", 4), ("c", "change", 5)]
