@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions import text as X
-from ..operators import assess, blocks, code, corpus, layout, measure, modes, search
+from ..operators import assess, blocks, code, corpus, layout, measure, modes, search, settings
 from ..operators.structure import roman
 from ..sources import conversations, files
 from ..streaming import stateful
@@ -303,3 +305,20 @@ def page_layout(t):
     lines = corpus.lines(_docs(t)).select("id", F.floor((F.col("line_number") - 1) / 60).cast("int").alias("page"), ((F.col("line_number") - 1) % 60).alias("row"), F.posexplode(F.split("line", " ")).alias("pos", "word"), "line")
     words = lines.where("word <> ''").select("id", "page", F.struct(F.col("word").alias("str"), (5.0 * F.length(F.expr("substring_index(line, ' ', pos)")) + F.when(F.col("pos") > 0, 5.0).otherwise(0.0)).alias("x"), (-12.0 * F.col("row")).alias("y"), (5.0 * F.length("word")).alias("width"), F.lit(10.0).alias("height")).alias("i"))
     return layout.read_pages(words.groupBy("id", "page").agg(F.collect_list("i").alias("items"))).select("id", "page", "text", F.coalesce("table", F.lit("")).alias("table"))
+
+
+# two patches a document over the defaults
+_PATCHES = """[['{"thresholds": {"min_score": 0.' || (1 + n % 8) || '}, "extra": {"a": {"b": [1, ' || n || ']}, "c": {}}}', '{"hybrid": {"rrf_k": ' || n || ', "mode": "x"}}', '{"watcher": "off"}', '{}'][n % 4 + 1], ['{"extra": "' || source || '"}', '{"hybrid": 7}', '{"watcher": {"active_layers": {"deep": {"er": true}}}}', '{"thresholds": {}, "reranker": {"enabled": false}}', '{"extra": {"c": {"d": 1}}}'][n % 5 + 1]]"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents), j AS (SELECT doc_id, json_merge_patch(CAST('{json.dumps(settings.DEFAULTS)}' AS JSON), CAST(p[1] AS JSON), CAST(p[2] AS JSON)) AS j FROM (SELECT doc_id, {_PATCHES} AS p FROM d)),
+r AS (SELECT doc_id, t.* FROM j, json_tree(j.j) t)
+SELECT doc_id AS id, fullkey[3:] AS path, CAST(value AS VARCHAR) AS value FROM r WHERE type <> 'OBJECT' AND NOT contains(fullkey, '[') UNION ALL SELECT doc_id, fullkey[3:], '{{}}' FROM r WHERE type = 'OBJECT' AND CAST(value AS VARCHAR) = '{{}}'""")
+def merged_settings(t):
+    n = F.length("text")
+    text = n.cast("string")
+    pick = lambda many, *values: F.get(F.array(*(v if hasattr(v, "cast") else F.lit(v) for v in values)), (n % many).cast("int"))
+    one = pick(4, F.concat(F.lit('{"thresholds": {"min_score": 0.'), (1 + n % 8).cast("string"), F.lit('}, "extra": {"a": {"b": [1, '), text, F.lit(']}, "c": {}}}')), F.concat(F.lit('{"hybrid": {"rrf_k": '), text, F.lit(', "mode": "x"}}')), '{"watcher": "off"}', "{}")
+    two = pick(5, F.concat(F.lit('{"extra": "'), "source", F.lit('"}')), '{"hybrid": 7}', '{"watcher": {"active_layers": {"deep": {"er": true}}}}', '{"thresholds": {}, "reranker": {"enabled": false}}', '{"extra": {"c": {"d": 1}}}')
+    patches = t("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.array(one, two)).alias("place", "json")).withColumn("place", F.col("place") + 1)
+    return settings.settings(patches)

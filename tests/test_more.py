@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lodestrata.functions import display
-from lodestrata.operators import blocks, measure, modes
+from lodestrata.operators import blocks, measure, modes, settings
 from lodestrata.sources import conversations
 
 
@@ -85,3 +86,39 @@ def test_display_width_and_wrapping(spark):
                 lines.append(w)
         assert got[i] == (wide(t or ""), "\n".join(lines)), t
     assert got[3][0] == 4 and got[4][0] == 3 and got[5][0] == 4 and got[6][1] == "ab cd\nef"
+
+
+def test_settings_equal_merging_one_by_one(spark):
+    def merge(target, source):
+        for k, v in source.items():
+            if isinstance(v, dict):
+                if not isinstance(target.get(k), dict):
+                    target[k] = {}
+                merge(target[k], v)
+            else:
+                target[k] = v
+
+    def leaves(d, path=()):
+        for k, v in d.items():
+            if isinstance(v, dict) and v:
+                yield from leaves(v, (*path, k))
+            else:
+                yield ".".join((*path, k)), v
+
+    r = random.Random(8)
+    value = lambda depth: {k: value(depth - 1) for k in r.sample("abc", r.randrange(3))} if depth and r.random() < 0.6 else r.choice([1, 2.5, "x", True, None, [1, {"a": 2}]])
+    patches = {i: [{k: value(2) for k in r.sample("abc", 2)} for _ in range(3)] for i in range(25)}
+    base = {"a": {"b": 1, "c": {"a": 2}}, "b": 3}
+    rows = [(i, n + 1, json.dumps(p)) for i, ps in patches.items() for n, p in enumerate(ps)] + [(98, 1, "[1]"), (98, 2, "{broken"), (99, 1, None)]
+    got = settings.settings(spark.createDataFrame(rows, "id int, place int, json string"), base).collect()
+    found = {}
+    for x in got:
+        assert (x.id, x.path) not in found
+        found[x.id, x.path] = json.loads(x.value)
+    want = {}
+    for i in [*patches, 98, 99]:
+        whole = json.loads(json.dumps(base))
+        for p in patches.get(i, []):
+            merge(whole, p)
+        want |= {(i, path): v for path, v in leaves(whole)}
+    assert found == want
