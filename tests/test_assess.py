@@ -89,6 +89,7 @@ def test_rubric_and_gate(spark):
     scores = {r.qid: (r.context_relevance, r.faithfulness, r.answer_relevance, r.language_naturalness, r.hallucination) for r in got.collect()}
     assert scores == {1: (5, 5, 5, 5, "NA"), 2: (1, 3, 1, 4, "NA"), 3: (5, None, 5, 4, "PASS"), 4: (2, None, 1, 4, "WARN"), 5: (5, 5, 5, 5, "NA"), 6: (5, 3, 3, 3, "NA"), 7: (3, 3, 1, 2, "NA")}
     gate = assess.rubric_gate(got).first()
-    assert (gate.n, gate.outside, gate.handled) == (7, 2, 2) and gate.context_relevance == pytest.approx(26 / 7) and gate.faithfulness == pytest.approx(19 / 5) and not gate.passed
+    assert (gate.n, gate.outside, gate.handled) == (7, 2, 2) and gate.context_relevance == pytest.approx(26 / 7) and gate.faithfulness == pytest.approx(19 / 5) and gate.answer_relevance == 3 and gate.passed
+    assert not assess.rubric_gate(got.where("qid IN (2, 6)")).first().passed
     good = assess.rubric_gate(got.where("qid IN (1, 5)")).first()
     assert good.passed and good.overall == 5 and assess.rubric_gate(got.limit(0)).first().passed is False
