@@ -55,9 +55,14 @@ def indexable(path: Column, rules: list[str] | None = None) -> Column:
     return ~denied & ((extension == "") | extension.isin(*EXTENSIONS)) & ~verdict
 
 
+def split_lines(text: Column) -> Column:
+    """A text's lines; line ends of any kind."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(id, line_number, line) of docs (id, text); line ends of any kind."""
-    return docs.select("id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n", -1)).alias("pos", "line")).select("id", (F.col("pos") + 1).alias("line_number"), "line")
+    return docs.select("id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select("id", (F.col("pos") + 1).alias("line_number"), "line")
 
 
 def grep(docs: DataFrame, pattern: str, regex: bool = False, context: int = 2, limit: int = 50) -> DataFrame:

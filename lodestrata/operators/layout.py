@@ -1,12 +1,14 @@
 """Text and tables of pages given as positioned pieces of text; y grows upwards.
 
-Everything is windows and groups over pieces, keyed by page: lines are islands of falling y, columns are islands of the left edges that lines share, cells
-are groups of pieces by line and column. All exchanges are by page, so pieces are shuffled once.
+A page is one row and is read within it, by functions over its sorted pieces: lines are runs of falling y, columns are runs of the left edges that lines
+share, cells are a line's pieces in a column. Only rows that share id and page meet by a shuffle, so pieces themselves are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fallbacks and thresholds of lines, word gaps, paragraphs and tables.
@@ -23,102 +25,123 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _in_order(rows: Column, text: str) -> Column:
-    """One text of a group's pieces from left to right."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[text]), "")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def _runs(values: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """The parts of an array, each from a value that begins one, given the value before it, up to the next such value."""
+    starts = F.filter(F.transform(values, lambda v, i: F.when((i == 0) | begins(F.get(values, i - 1), v), i)), lambda i: i.isNotNull())
+    return _let(starts, lambda at: F.transform(at, lambda a, j: F.slice(values, a + 1, F.coalesce(F.get(at, j + 1), F.size(values)) - a)))
+
+
+def _sorted(items: Column) -> Column:
+    """Items that have a text, numbered from the top left; null positions are 0."""
+    number = lambda i, c: F.coalesce(F.nanvl(i[c].cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
+    down = lambda i: (-F.coalesce(F.nanvl(i["y"].cast("double"), F.lit(0.0)), F.lit(0.0))).alias("down")
+    said = F.filter(F.coalesce(items, F.array().cast("array<struct<str:string,x:double,y:double,width:double,height:double>>")), lambda i: i["str"].isNotNull())
+    placed = F.sort_array(F.transform(said, lambda i: F.struct(down(i), number(i, "x"), i["str"].alias("str"), number(i, "width"), number(i, "height"))))
+    return F.transform(placed, lambda p, i: F.struct(p["x"].alias("x"), (i + 1).alias("n"), p["str"].alias("str"), (-p["down"]).alias("y"), p["width"].alias("width"), p["height"].alias("height")))
+
+
+def _lines(pieces: Column) -> Column:
+    """Sorted pieces by line, each line from left to right. A line ends where y falls by over half of the page's (upper) median height."""
+    heights = F.sort_array(F.filter(F.transform(pieces, lambda p: p["height"]), lambda h: h > 0))
+    typical = _let(heights, lambda h: F.coalesce(F.get(h, F.floor(F.size(h) / 2).cast("int")), F.lit(HEIGHT)))
+    return _let(typical, lambda tall: F.transform(_runs(pieces, lambda a, b: a["y"] - b["y"] > SAME_LINE * tall), lambda line: F.sort_array(line)))
 
 
 def pieces_of(pages: DataFrame) -> DataFrame:
     """(id, page, n, str, x, y, width, height) of every item that has a text; null positions are 0. Rows that share id and page are one page."""
-    items = pages.select(*_PAGE, F.explode("items").alias("i")).where("i.str IS NOT NULL")
-    number = lambda c: F.coalesce(F.nanvl(F.col(f"i.{c}").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
-    return items.select(*_PAGE, F.col("i.str").alias("str"), *(number(c) for c in ("x", "y", "width", "height"))).withColumn("n", F.row_number().over(Window.partitionBy(*_PAGE).orderBy(F.desc("y"), "x", "str", "width", "height")))
+    return _whole(pages).select(*_PAGE, F.explode(_sorted(F.col("items"))).alias("p")).select(*_PAGE, *(f"p.{c}" for c in ("n", "str", "x", "y", "width", "height")))
 
 
 def in_lines(pieces: DataFrame) -> DataFrame:
-    """Pieces with their line, from 1 at the top. A line ends where y falls by over half of the page's (upper) median height."""
-    # the upper median is the discrete one seen from above
-    typical = -F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY IF(height > 0, -height, NULL)) OVER (PARTITION BY id, page)")
-    down = Window.partitionBy(*_PAGE).orderBy(F.desc("y"), "x", "n")
-    step = F.coalesce(F.lag("y").over(down) - F.col("y"), F.lit(0.0))
-    marked = pieces.withColumn("tall", F.coalesce(typical, F.lit(HEIGHT))).withColumn("ends", (step > SAME_LINE * F.col("tall")).cast("int"))
-    return marked.withColumn("line", 1 + F.sum("ends").over(down)).drop("tall", "ends")
-
-
-def page_texts(pieces: DataFrame) -> DataFrame:
-    """(id, page, text): spaces where the gap between pieces is a good part of a character, blank lines where lines are far apart."""
-    along = Window.partitionBy(*_PAGE, "line").orderBy("x", "n")
-    before = lambda c: F.lag(c).over(along)
-    signs = F.length(before("str"))
-    sign_width = before("width") / F.greatest(F.lit(1), signs)
-    apart = F.col("x") - before("x") - before("width") > sign_width * F.when(signs > 1, WORD_GAP).otherwise(SIGN_GAP)
-    spaced = in_lines(pieces).withColumn("said", F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit(" "), "str")).otherwise(F.col("str")))
-    place = F.struct("x", "n")
-    lines = spaced.groupBy(*_PAGE, "line").agg(
-        _in_order(F.struct("x", "n", "said"), "said").alias("said"), F.min_by("y", place).alias("first_y"), F.max_by("y", place).alias("last_y"), F.sum("height").alias("tall"), F.count(F.lit(1)).alias("many")
-    )
-    down = Window.partitionBy(*_PAGE).orderBy("line")
-    above = lambda c: F.lag(c).over(down)
-    far = above("last_y") - F.col("first_y") > PARAGRAPH * (above("tall") + F.col("tall")) / (above("many") + F.col("many"))
-    broken = lines.withColumn("said", F.concat(F.when(F.col("line") == 1, "").when(far, "\n\n").otherwise("\n"), "said"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda r: r["said"]), "")
-    return broken.groupBy(*_PAGE).agg(_strip(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("text"))
-
-
-def _columns(lined: DataFrame) -> DataFrame:
-    """(id, page, columns array<struct<low, high>>): left edges that at least two lines of several pieces share, near ones together."""
-    several = lined.where("in_line > 1").select(*_PAGE, "line", "edge", "near").distinct()
-    edges = several.groupBy(*_PAGE, "edge", "near").agg(F.count(F.lit(1)).alias("rows"))
-    along = Window.partitionBy(*_PAGE).orderBy("edge")
-    apart = F.coalesce(F.col("edge") - F.lag("edge").over(along) > F.col("near"), F.lit(False))
-    islands = edges.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(along))
-    shared = islands.groupBy(*_PAGE, "island", "near").agg(F.min("edge").alias("low"), F.max("edge").alias("high"), F.sum("rows").alias("rows")).where("rows > 1")
-    span = F.struct((F.col("low") - F.col("near") / 2).alias("low"), (F.col("high") + F.col("near") / 2).alias("high"))
-    return shared.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(span)).alias("columns"))
-
-
-def _same_page(a: str, b: str) -> Column:
-    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.page").eqNullSafe(F.col(f"{b}.page"))
-
-
-def placed(pieces: DataFrame) -> DataFrame:
-    """Pieces with line and column: the number of the column that holds their left edge, 0 outside of all; columns is null where the page has too little for a table."""
-    page, line = Window.partitionBy(*_PAGE), Window.partitionBy(*_PAGE, "line")
-    sign = F.col("width") / F.greatest(F.lit(1), F.length("str"))
-    near = F.greatest(COLUMN_CHARACTERS * F.coalesce(F.avg(F.when(sign > 0, sign)).over(page), F.lit(CHARACTER)), F.lit(float(COLUMN_UNITS)))
-    lined = in_lines(pieces).withColumns({"edge": F.floor(F.col("x") + 0.5), "near": near, "in_line": F.count(F.lit(1)).over(line)})
-    # a line of several pieces counts once, at its leftmost piece
-    lined = lined.withColumn("leads", F.row_number().over(line.orderBy("x", "n")) == 1)
-    lined = lined.withColumns({"pieces": F.count(F.lit(1)).over(page), "lines": F.max("line").over(page), "several": F.sum((F.col("leads") & (F.col("in_line") > 1)).cast("int")).over(page)})
-    enough = (F.col("pieces") >= FEWEST_PIECES) & (F.col("lines") >= FEWEST_ROWS) & (F.col("several") > 1)
-    found = lined.alias("p").join(_columns(lined).alias("c"), _same_page("p", "c"), "left").select("p.*", F.when(enough & (F.size("columns") >= FEWEST_COLUMNS), F.col("columns")).alias("columns"))
-    holds = F.transform("columns", lambda c: (F.col("edge") >= c["low"]) & (F.col("edge") <= c["high"]))
-    return found.withColumn("column", F.coalesce(F.array_position(holds, True), F.lit(0)).cast("int"))
-
-
-def page_tables(placed_pieces: DataFrame) -> DataFrame:
-    """(id, page, table): the grid as Markdown, of pages where three lines of five fill all columns."""
-    cells = placed_pieces.where("columns IS NOT NULL").groupBy(*_PAGE, "line", "column", F.size("columns").alias("wide")).agg(_strip(_in_order(F.struct("x", "n", "str"), "str")).alias("cell"))
-    held = F.map_from_entries(F.collect_list(F.when(F.col("column") > 0, F.struct("column", "cell"))))
-    rows = cells.groupBy(*_PAGE, "line", "wide").agg(held.alias("held"))
-    row = F.transform(F.sequence(F.lit(1), F.col("wide")), lambda i: F.coalesce(F.try_element_at("held", i), F.lit("")))
-    rows = rows.withColumn("row", row).withColumn("full", F.forall("row", lambda c: c != ""))
+    """Pieces with their line, from 1 at the top."""
+    lines = _let(_sorted(F.collect_list(F.struct("str", "x", "y", "width", "height"))), _lines)
+    lined = pieces.groupBy(*_PAGE).agg(lines.alias("lines")).select(*_PAGE, F.posexplode("lines").alias("line", "ps"))
+    return lined.select(*_PAGE, (F.col("line") + 1).alias("line"), F.explode("ps").alias("p")).select(*_PAGE, *(f"p.{c}" for c in ("n", "str", "x", "y", "width", "height")), "line")
+
+
+def _text(lines: Column) -> Column:
+    """Spaces where the gap between pieces is a good part of a character, blank lines where lines are far apart."""
+
+    def apart(before: Column, piece: Column) -> Column:
+        signs = F.length(before["str"])
+        return piece["x"] - before["x"] - before["width"] > before["width"] / F.greatest(F.lit(1), signs) * F.when(signs > 1, WORD_GAP).otherwise(SIGN_GAP)
+
+    said = lambda line: F.array_join(F.transform(line, lambda p, i: F.when((i > 0) & apart(F.get(line, i - 1), p), F.concat(F.lit(" "), p["str"])).otherwise(p["str"])), "")
+    told = F.transform(lines, lambda line: F.struct(
+        said(line).alias("said"), F.get(line, F.lit(0))["y"].alias("first_y"), F.element_at(line, -1)["y"].alias("last_y"), _sum(F.transform(line, lambda p: p["height"])).alias("tall"), F.size(line).alias("many"),
+    ))
+    far = lambda above, line: above["last_y"] - line["first_y"] > PARAGRAPH * (above["tall"] + line["tall"]) / (above["many"] + line["many"])
+    broken = lambda ls: F.transform(ls, lambda l, i: F.concat(F.when(i == 0, "").when(far(F.get(ls, i - 1), l), "\n\n").otherwise("\n"), l["said"]))
+    return _strip(F.regexp_replace(F.array_join(_let(told, broken), ""), r"\n{3,}", "\n\n"))
+
+
+def _edge(piece: Column) -> Column:
+    return F.floor(piece["x"] + 0.5)
+
+
+def _columns(pieces: Column, lines: Column) -> Column:
+    """array<struct<low, high>>: left edges that at least two lines of several pieces share, near ones together; null where the page has too little for a table."""
+    signs = F.filter(F.transform(pieces, lambda p: p["width"] / F.greatest(F.lit(1), F.length(p["str"]))), lambda s: s > 0)
+    near = _let(signs, lambda s: F.greatest(COLUMN_CHARACTERS * F.when(F.size(s) > 0, _sum(s) / F.size(s)).otherwise(F.lit(CHARACTER)), F.lit(float(COLUMN_UNITS))))
+    several = F.filter(lines, lambda line: F.size(line) > 1)
+
+    def shared(near: Column, ls: Column) -> Column:
+        edges = F.sort_array(F.flatten(F.transform(ls, lambda line: F.array_distinct(F.transform(line, _edge)))))
+        islands = _let(edges, lambda e: F.filter(_runs(e, lambda a, b: b - a > near), lambda run: F.size(run) > 1))
+        return F.transform(islands, lambda run: F.struct((F.get(run, F.lit(0)) - near / 2).alias("low"), (F.element_at(run, -1) + near / 2).alias("high")))
+
+    enough = (F.size(pieces) >= FEWEST_PIECES) & (F.size(lines) >= FEWEST_ROWS)
+    found = _let(several, lambda ls: F.when(F.size(ls) > 1, _let(near, lambda n: shared(n, ls))))
+    return F.when(enough, _let(found, lambda columns: F.when(F.size(columns) >= FEWEST_COLUMNS, columns)))
+
+
+def _column(piece: Column, columns: Column) -> Column:
+    """The number of the column that holds a piece's left edge, 0 outside of all."""
+    return _let(_edge(piece), lambda edge: F.array_position(F.transform(columns, lambda c: (edge >= c["low"]) & (edge <= c["high"])), True))
+
+
+def _table(lines: Column, columns: Column) -> Column:
+    """The grid as Markdown, of a page where three lines of five fill all columns; else null."""
+    share = lambda what: F.size(F.filter(*what)) / F.size(what[0]) >= FULL_ROWS
+    numbered = lambda line: F.transform(line, lambda p: F.struct(_column(p, columns).alias("column"), p["str"].alias("str")))
+    cell = lambda line, c: _strip(F.array_join(F.transform(F.filter(line, lambda p: p["column"] == c), lambda p: p["str"]), ""))
+    row = lambda line: _let(numbered(line), lambda ps: F.transform(F.sequence(F.lit(1), F.size(columns)), lambda c: cell(ps, c)))
     bars = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    shown = F.transform(F.array_sort(F.collect_list(F.struct("line", bars(F.col("row")).alias("shown")))), lambda r: r["shown"])
-    grids = rows.groupBy(*_PAGE, "wide").agg(shown.alias("shown"), F.avg(F.col("full").cast("int")).alias("filled")).where(F.col("filled") >= FULL_ROWS)
-    rule = bars(F.array_repeat(F.lit("---"), F.col("wide")))
-    return grids.select(*_PAGE, F.array_join(F.concat(F.slice("shown", 1, 1), F.array(rule), F.slice("shown", F.lit(2), F.size("shown"))), "\n").alias("table"))
+    grid = lambda rows: F.concat(F.slice(rows, 1, 1), F.array(F.array_repeat(F.lit("---"), F.size(columns))), F.slice(rows, F.lit(2), F.size(rows)))
+    shown = lambda rows: F.when(share((rows, lambda r: F.forall(r, lambda c: c != ""))), F.array_join(F.transform(grid(rows), bars), "\n"))
+    # a line of fewer pieces than columns can't fill them: where such lines are too many, no cell is read
+    return F.when(share((lines, lambda line: F.size(line) >= F.size(columns))), _let(F.transform(lines, row), shown))
+
+
+def _page(pieces: Column) -> Column:
+    """struct<text, table> of a page's sorted pieces."""
+
+    def told(lines: Column, columns: Column, table: Column) -> Column:
+        rest = F.filter(pieces, lambda p: _column(p, columns) == 0)
+        return F.struct(F.when(table.isNull(), _text(lines)).otherwise(_let(_let(rest, _lines), _text)).alias("text"), table.alias("table"))
+
+    tabled = lambda lines, columns: _let(F.when(columns.isNotNull(), _table(lines, columns)), lambda table: told(lines, columns, table))
+    return _let(_lines(pieces), lambda lines: _let(_columns(pieces, lines), lambda columns: tabled(lines, columns)))
+
+
+def _whole(pages: DataFrame) -> DataFrame:
+    return pages.groupBy(*_PAGE).agg(F.flatten(F.collect_list("items")).alias("items"))
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
+def read_pages(pages: DataFrame, whole: bool = False) -> DataFrame:
     """(id, page, items array<struct<str,x,y,width,height>>) to (id, page, text, table): the text outside a table, and the table or null.
 
-    Null items and items without a text are left out, null positions are 0; a page without items has an empty text.
+    Null items and items without a text are left out, null positions are 0; a page without items has an empty text. Rows that share id and page are
+    one page; if none do, whole spares the shuffle that brings them together.
     """
-    held = placed(pieces_of(pages))
-    tables = page_tables(held)
-    rest = held.alias("p").join(tables.alias("t"), _same_page("p", "t"), "left").where(F.col("table").isNull() | (F.col("column") == 0))
-    texts = page_texts(rest.select(*(f"p.{c}" for c in ("id", "page", "n", "str", "x", "y", "width", "height"))))
-    every = pages.select(*_PAGE).distinct()
-    got = every.alias("e").join(texts.alias("x"), _same_page("e", "x"), "left").join(tables.alias("t"), _same_page("e", "t"), "left")
-    return got.select("e.id", "e.page", F.coalesce("x.text", F.lit("")).alias("text"), "t.table")
+    rows = pages if whole else _whole(pages)
+    return rows.select(*_PAGE, _let(_sorted(F.col("items")), _page).alias("p")).select(*_PAGE, "p.text", "p.table")

@@ -302,9 +302,17 @@ def module_headers(t):
 # documents as pages of sixty lines, their words placed by the characters before them
 @query()
 def page_layout(t):
-    lines = corpus.lines(_docs(t)).select("id", F.floor((F.col("line_number") - 1) / 60).cast("int").alias("page"), ((F.col("line_number") - 1) % 60).alias("row"), F.posexplode(F.split("line", " ")).alias("pos", "word"), "line")
-    words = lines.where("word <> ''").select("id", "page", F.struct(F.col("word").alias("str"), (5.0 * F.length(F.expr("substring_index(line, ' ', pos)")) + F.when(F.col("pos") > 0, 5.0).otherwise(0.0)).alias("x"), (-12.0 * F.col("row")).alias("y"), (5.0 * F.length("word")).alias("width"), F.lit(10.0).alias("height")).alias("i"))
-    return layout.read_pages(words.groupBy("id", "page").agg(F.collect_list("i").alias("items"))).select("id", "page", "text", F.coalesce("table", F.lit("")).alias("table"))
+    # texts that share an id share its pages
+    texts = _docs(t).groupBy("id").agg(F.collect_list("text").alias("texts"))
+    lines = texts.select("id", F.transform("texts", corpus.split_lines).alias("ts"))
+    numbers = F.sequence(F.lit(0), F.floor((F.array_max(F.transform("ts", F.size)) - 1) / 60).cast("int"))
+    rows = lambda ls, page: F.transform(F.slice(ls, page * 60 + 1, F.lit(60)), lambda line, row: F.struct(line.alias("line"), row.alias("row")))
+    pages = lines.where(F.size("ts") > 0).select("id", F.posexplode(F.transform(numbers, lambda page: F.flatten(F.transform("ts", lambda ls: rows(ls, page))))).alias("page", "rows"))
+    before = lambda line, pos: 5.0 * F.length(F.call_function("substring_index", line, F.lit(" "), pos)) + F.when(pos > 0, 5.0).otherwise(0.0)
+    placed = lambda r: lambda word, pos: F.struct(word.alias("str"), before(r["line"], pos).alias("x"), (-12.0 * r["row"]).alias("y"), (5.0 * F.length(word)).alias("width"), F.lit(10.0).alias("height"))
+    words = F.flatten(F.transform("rows", lambda r: F.filter(F.transform(F.split(r["line"], " "), placed(r)), lambda i: i["str"] != "")))
+    found = layout.read_pages(pages.where(F.exists("rows", lambda r: F.trim(r["line"]) != "")).select("id", "page", words.alias("items")), whole=True)
+    return found.select("id", "page", "text", F.coalesce("table", F.lit("")).alias("table"))
 
 
 # two patches a document over the defaults

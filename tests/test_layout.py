@@ -57,3 +57,15 @@ def test_pages(spark):
     got = {(r.id, r.page): (r.text, r.table is not None) for r in read_pages(rows).collect()}
     assert got == {("d", 1): ("", True), ("d", 2): ("only", False), ("e", 1): ("", False), ("e", 2): ("", False), (None, None): ("x", False)}
     assert read_pages(rows.limit(0)).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_pieces_are_never_shuffled(spark):
+    rows = spark.createDataFrame([("d", 1, GRID), ("d", 2, [at("x", 1, 1)])], PAGES)
+    assert exchanges(read_pages(rows)) == 1 and exchanges(read_pages(rows, whole=True)) == 0
+    assert sorted(read_pages(rows).collect()) == sorted(read_pages(rows, whole=True).collect())
+    parts = spark.createDataFrame([("d", 1, GRID[:5]), ("d", 1, None), ("d", 1, GRID[5:])], PAGES)
+    assert [r.table for r in read_pages(parts).collect()] == [r.table for r in read_pages(rows.where("page = 1")).collect()] != [None]
