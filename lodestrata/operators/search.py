@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .nearest import nearest
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 50
-#: Queries of at most so many characters (in dense search: components) together are broadcast; more are joined by a shuffle.
+#: Queries of at most so many characters together are broadcast; more are joined by a shuffle.
 SMALL_QUERIES = 16_000_000
 
 
@@ -103,25 +104,9 @@ def cosine(a: Column, b: Column) -> Column:
     return _similarity(a, b, F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int = CANDIDATES, same: list[str] | None = None, block: int = 1024) -> DataFrame:
-    """queries: (qid, qv), vectors: (id, v), with the columns in same equal on both sides.
-
-    Few queries go to where the vectors lie; of many, every vector goes to each block of at most some block queries, in
-    parts, so that no block is one task. Each part keeps its best before parts are merged. Norms are taken once a vector.
-    """
-    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    q = queries.withColumn("qn", length(F.col("qv")))
-    v = vectors.withColumn("vn", length(F.col("v")))
-    if few(queries, F.greatest(F.size("qv"), F.lit(0))):
-        # a constant key, so that the join is one by hash table even without other keys
-        pairs = v.withColumn("qb", F.lit(0)).join(F.broadcast(q.withColumn("qb", F.lit(0))), ["qb", *(same or [])])
-    else:
-        many, parts = max(1, -(-queries.count() // block)), 16
-        q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(many)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        pairs = v.join(q, ["qb", "vb", *(same or [])])
-    scored = pairs.select("qid", "id", _similarity(F.col("qv"), F.col("v"), F.col("qn") * F.col("vn")).alias("score"))
-    return top(scored, ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id"))
+def dense(queries: DataFrame, vectors: DataFrame, limit: int = CANDIDATES, same: list[str] | None = None) -> DataFrame:
+    """queries: (qid, qv), vectors: (id, v), with the columns in same equal on both sides. Each pair of blocks keeps its best before they are merged."""
+    return top(nearest(queries, vectors, limit, same or []), ["qid"], limit, F.desc(F.round("score", 9)), F.asc("id"))
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

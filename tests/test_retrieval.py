@@ -269,3 +269,27 @@ def test_search_without_vectors_and_with_a_scorer(spark):
     embedded = search.search(spark.createDataFrame([(1, "red and blue")], "qid int, query string"), "dense", vectors=own, embed=hashed).collect()
     assert {r.id for r in embedded if r.score == 1} == {2} and all(r.dense_score > 0 for r in embedded if r.id in (0, 2))
     index.release()
+
+
+def test_dense_blocks_give_every_row_of_the_plain_join(spark, monkeypatch):
+    import math
+    import random
+
+    from lodestrata.operators import nearest
+
+    for name, n in (("QUERIES", 7), ("VECTORS", 11), ("TILE", 40), ("PAIRS", 5)):
+        monkeypatch.setattr(nearest, name, n)
+    r = random.Random(3)
+    vs = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(20)] * 3 + [[0.0] * 4] * 3 + [[1.0, 2.0], [], None, [1.0, None, 1.0, 1.0], [-1.0] * 4]
+    rows = [(i, v, i % 3 if i % 17 else None) for i, v in enumerate(vs)]
+    v = spark.createDataFrame(rows, "id int, v array<float>, label int")
+    q = v.select(F.struct("id", F.lit("a").alias("part")).alias("qid"), F.col("v").alias("qv"), "label")
+    for same in ([], ["label"]):
+        pairs = q.join(v, same) if same else q.crossJoin(v.drop("label"))
+        plain = pairs.select("qid", "id", search.cosine(F.col("qv"), F.col("v")).alias("score"))
+        want = search.top(plain, ["qid"], 6, F.desc(F.round("score", 9)), F.asc("id"))
+        key = lambda d: sorted((tuple(x.qid), x.id, x["rank"], x.score) for x in d.collect())
+        got, want = key(search.dense(q, v, 6, same)), key(want)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and all(math.isclose(a[3], b[3], abs_tol=1e-15) for a, b in zip(got, want))
+    assert "BroadcastNestedLoop" not in (plan := search.dense(q, v, 6)._jdf.queryExecution().executedPlan().toString()) and "FlatMapCoGroups" in plan
+    assert search.dense(q.limit(0), v, 6).count() == search.dense(q, v.limit(0), 6).count() == 0
