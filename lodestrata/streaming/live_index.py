@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrays import counted
 from ..operators import search
 from ..sources import files
 
@@ -95,17 +96,15 @@ class LiveIndex:
         return F.pmod(F.xxhash64(key), F.lit(version.buckets)).cast("int")
 
     def _analysed(self, docs: DataFrame) -> DataFrame:
-        """(id, hash, dl, terms) of documents (id, hash, text): one shuffle, of texts by id."""
-        ts = docs.repartition("id").select("id", "hash", X.tokens(F.col("text"), self.stopwords).alias("ts"))
-        counted = ts.select("id", "hash", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).groupBy("id", "hash", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        return counted.groupBy("id", "hash", "dl").agg(F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("terms"))
+        """Documents (id, hash, text, ...) with dl and terms instead of the text. Terms are counted within each text's row, so nothing is shuffled."""
+        ts = docs.withColumn("ts", X.tokens(F.col("text"), self.stopwords)).drop("text")
+        return ts.withColumns({"dl": F.size("ts"), "terms": counted(F.col("ts"))}).drop("ts")
 
     def _write(self, version: Version, number: int, analysed: DataFrame, gone: DataFrame | None) -> tuple[int, int, int, int]:
-        """An epoch's tables; gone has the rows of documents() that end. Returns how many documents and tokens came and went."""
+        """An epoch's tables of documents (id, hash, dl, terms, part); gone has the rows of documents() that end. Returns how many documents and tokens came and went."""
         at = lambda name: f"{self.root}/{name}/epoch={number}"
         kind = dict(analysed.dtypes)["id"]
-        rows = analysed.withColumn("part", self._part(F.col("id"), version))
-        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(at("docs"))
+        analysed.select("id", "hash", "dl", "terms", "part").write.mode("overwrite").partitionBy("part").parquet(at("docs"))
         docs = self.spark.read.schema(f"id {kind}, hash string, dl int, terms array<struct<term: string, tf: bigint>>, part int").parquet(at("docs"))
         dealt = docs.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl").withColumn("bucket", self._part(F.col("term"), version))
         dealt.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
@@ -126,28 +125,38 @@ class LiveIndex:
         if batch is not None and batch <= version.batch:
             return version
         told = replace(version, batch=version.batch if batch is None else batch, kind=version.kind if version.epochs else dict(changes.dtypes)["id"])
-        new = changes.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+        came = changes.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+        facts = {"was": F.lit(None).cast("string"), "ended": F.lit(False)}  # what else is known of an id: the hash it has, and whether it is removed
+        known = [came.withColumns(facts)]
+        if version.epochs:
+            known.append(self.documents(version).select("id", F.col("hash").alias("was")))
         if removed is not None:
-            new = new.join(removed.select("id"), "id", "left_anti")
-        new = new.groupBy("id").agg(F.max(F.struct("hash", "text")).alias("d")).select("id", "d.hash", "d.text")
-        gone = None
+            known.append(removed.where("id IS NOT NULL").select("id", F.lit(True).alias("ended")))
+        every = known[0]
+        for more in known[1:]:
+            every = every.unionByName(more, allowMissingColumns=True)
+        # texts are shuffled once, to the folder that they will lie in; the changes of ids are found without them
+        placed = every.withColumns({"part": self._part(F.col("id"), version), "sub": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))}).repartition("part", "sub").groupBy("part", "sub", "id")
+        met = placed.agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("hash", "text"))).alias("d"), F.max("was").alias("was"), F.max("ended").alias("ended"))
+        new = met.where("d IS NOT NULL AND NOT coalesce(ended, false) AND NOT d.hash <=> was").select("id", "d.hash", "d.text", "part")
+        gone = ids = None
         if version.epochs:
-            touched = new.select("id", "hash") if removed is None else new.select("id", "hash").unionByName(removed.where("id IS NOT NULL").select("id", F.lit(None).cast("string").alias("hash")).distinct())
-            before = self.documents(version).alias("b").join(touched.alias("t"), "id").select("id", F.col("b.hash").alias("hash"), "dl", "terms", F.col("t.hash").eqNullSafe(F.col("b.hash")).alias("same")).persist()
-            new = new.join(before.where("same").select("id"), "id", "left_anti")
-            gone = before.where("NOT same")
+            states = every.groupBy("id").agg(F.max("hash").alias("hash"), F.max("was").alias("was"), F.max("ended").alias("ended"))
+            ids = states.where("was IS NOT NULL AND (coalesce(ended, false) OR hash <> was)").select("id").persist()
+            gone = self.documents(version).join(F.broadcast(ids) if ids.count() <= SMALL_GONE else ids, "id", "left_semi").persist()
         number = self._next()
         try:
-            came, tokens, went, less = self._write(version, number, self._analysed(new), gone)
+            arrived, tokens, went, less = self._write(version, number, self._analysed(new), gone)
         finally:
             if gone is not None:
-                before.unpersist()
-        if not came and not went and version.epochs:
+                gone.unpersist()
+                ids.unpersist()
+        if not arrived and not went and version.epochs:
             for name in ("docs", "postings", "terms", "gone"):
                 files.remove(self.spark, f"{self.root}/{name}/epoch={number}")
             return version if batch is None else self._commit(replace(told, number=number))
         ended = [*version.ended, number] if went else version.ended
-        return self._commit(replace(told, number=number, epochs=[*version.epochs, number], ended=ended, n_gone=version.n_gone + went, n=version.n + came - went, total=version.total + tokens - less))
+        return self._commit(replace(told, number=number, epochs=[*version.epochs, number], ended=ended, n_gone=version.n_gone + went, n=version.n + arrived - went, total=version.total + tokens - less))
 
     def sync(self, live: DataFrame) -> Version:
         """Bring the index to the documents (id, text) that there are now: new and changed ones come, all others go. A first call indexes everything."""
@@ -182,7 +191,7 @@ class LiveIndex:
         if not version.epochs:
             return version
         number = self._next()
-        came, tokens, _, _ = self._write(version, number, self.documents(version).select("id", "hash", "dl", "terms"), None)
+        came, tokens, _, _ = self._write(version, number, self.documents(version), None)
         return self._commit(replace(version, number=number, epochs=[number], ended=[], n_gone=0, n=came, total=tokens))
 
     def vacuum(self) -> None:

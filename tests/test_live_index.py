@@ -137,3 +137,12 @@ def test_stream_keeps_the_index(spark, tmp_path):
         assert query.exception() is None
     index = live_index.LiveIndex(spark, root)
     assert {d.id for d in index.documents().collect()} == {"a/z", "c"} and index.version().n == 2
+
+
+def test_an_epoch_shuffles_texts_once_and_counts_terms_in_their_rows(spark, tmp_path):
+    index = live_index.LiveIndex(spark, str(tmp_path), buckets=2)
+    words = ["b", "bb", "aa", "bb", "the", "cc", "aa", "bb"]
+    docs = spark.createDataFrame([("a", "h", " ".join(words)), ("e", "h", ""), ("s", "h", "the")], "id string, hash string, text string")
+    got = index._analysed(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: (r.dl, [tuple(t) for t in r.terms]) for r in got.collect()} == {"a": (6, [("aa", 2), ("bb", 3), ("cc", 1)]), "e": (0, []), "s": (0, [])}
