@@ -27,10 +27,11 @@ class Index:
     terms: DataFrame
     n: int
     avgdl: float
+    kept: DataFrame | None = None  # what the postings are read from, if not kept themselves
 
     def release(self) -> None:
         """Give up the kept postings, once nothing reads the index any more."""
-        self.postings.unpersist()
+        (self.postings if self.kept is None else self.kept).unpersist()
 
     def save(self, path: str) -> None:
         """Snapshot: postings sorted by term within files, so a term's row groups are found by their statistics."""
@@ -48,18 +49,28 @@ class Index:
             return None
 
 
-def build_index(docs: DataFrame, stopwords: bool = True) -> Index:
+def build_index(docs: DataFrame, stopwords: bool = True, queries: DataFrame | None = None) -> Index:
     """docs: (id, text). Null ids are skipped, null texts are empty; empty documents count in n and the mean length.
 
     Texts are read once: the postings stay in the executors' memory and disks until release(), and lost parts are computed anew.
     Texts are what is shuffled, by id: they are smaller than their postings, which then need no exchange, and a table of few
-    row groups still feeds every core.
+    row groups still feeds every core. With queries (qid, query) few enough to broadcast, only their terms' postings are kept.
     """
     known = docs.where(F.col("id").isNotNull())
     spread = known.select("id", "text").repartition("id").select("id", X.tokens(F.col("text"), stopwords).alias("ts"))
-    postings = spread.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
-    n, total = known.count(), postings.agg(F.sum("tf")).first()[0] or 0
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, total / n if n else 1.0)
+    count = lambda rows: rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
+    kept = None
+    if queries is not None and few(queries, F.length("query")):
+        # "" is no token: a row of it a document tells how many there are and how long
+        asked = query_terms(queries, stopwords).select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        terms = spread.select("id", F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
+        kept = count(terms.join(F.broadcast(asked), "term", "left_semi"))
+        told = kept.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("tf") * F.col("dl")), F.lit(0))).first()
+        postings, n, total = kept.where("term <> ''"), told[0], told[1]
+    else:
+        postings = count(spread.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")))
+        n, total = known.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, total / n if n else 1.0, kept)
 
 
 def top(scored: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
@@ -198,6 +209,7 @@ def search(
     if max_tokens is None:
         got = got.where(F.col("rank") <= top_k).withColumn("truncated", F.lit(0).cast("long"))
         return got.join(about.select("id", *more), "id", "left").select(*got.columns, *more) if more else got
+    got = got.persist()  # read three times: what fits, and how many there were
     sized = got.join(about.select("id", "tokens"), "id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     kept = within_budget(sized, max_tokens).select(*got.columns)
     counts = got.groupBy("qid").agg(F.count(F.lit(1)).alias("all"))
@@ -209,9 +221,9 @@ def search(
 def within_budget(results: DataFrame, max_tokens: int, keep_ratio: float = 0.9) -> DataFrame:
     """Greedy by rank: a result that doesn't fit is skipped and later ones may still fit; a first result too large alone is kept.
 
-    results: (qid, rank, tokens, ...). A query's results are a top-n list, so they are folded as one array.
+    results: (qid, rank, tokens, ...). A query's results are a top-n list, so they are folded as one array. They are read twice and kept in the session.
     """
-    budget = int(max_tokens * keep_ratio)
+    budget, results = int(max_tokens * keep_ratio), results.persist()
     listed = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("rs"))
 
     def step(acc: Column, r: Column) -> Column:

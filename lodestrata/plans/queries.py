@@ -60,7 +60,7 @@ def _items(t):
 
 
 def _sparse(t, limit):
-    return search.bm25(_items(t), search.build_index(_docs(t)), limit)
+    return search.bm25(_items(t), search.build_index(_docs(t), queries=_items(t)), limit)
 
 
 @query(f"WITH {_BM25} SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rk WHERE rank <= 10")

@@ -52,7 +52,7 @@ c AS (SELECT qid, count(*) AS n FROM {rows} GROUP BY qid)"""
 @query(f"""WITH {_EXPANDED}, l AS (SELECT qid, sm.id, bs, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 9) DESC, sm.id) AS rank FROM sm JOIN documents d ON d.doc_id = sm.id WHERE lang = 'en' AND source = 'src1'),
 m AS (SELECT * FROM l WHERE 1 - 1 / (1 + bs) >= 0.9), r AS (SELECT qid, id, {_N.format('rank')}, round(1 - 1 / (1 + bs), 6) AS score FROM m) SELECT * FROM r WHERE rank <= 5""")
 def search_keyword(t):
-    return _shown(search.search(_items(t), "keyword", index=search.build_index(_docs(t)), about=_about(t), layer="en", namespace="src1", min_score=0.9))
+    return _shown(search.search(_items(t), "keyword", index=search.build_index(_docs(t), queries=_items(t)), about=_about(t), layer="en", namespace="src1", min_score=0.9))
 
 
 _COSINE = _DENSE_ITEMS.replace("FROM e q JOIN e c ON", "FROM e q JOIN e c ON c.id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND")
@@ -67,7 +67,7 @@ def search_dense(t):
 g AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM h WHERE score >= 0.2), m AS (SELECT g.*, coalesce(CAST(ceil(length(d.text) / 4.0) AS BIGINT), 0) AS tokens FROM g LEFT JOIN documents d ON d.doc_id = g.id), {_budget_sql('m', 900)}
 SELECT qid, id, CAST(place AS INTEGER) AS rank, round(score, 6) AS score, n - n_kept AS truncated FROM k JOIN c USING (qid) WHERE place <= 5""")
 def search_hybrid(t):
-    got = search.search(_with_vectors(t), index=search.build_index(_docs(t)), vectors=_vectors(t).drop("namespace"), about=_about(t), min_score=0.2, max_tokens=1000)
+    got = search.search(_with_vectors(t), index=search.build_index(_docs(t), queries=_items(t)), vectors=_vectors(t).drop("namespace"), about=_about(t), min_score=0.2, max_tokens=1000)
     return _shown(got, "truncated")
 
 
@@ -88,7 +88,7 @@ def search_reranked(t):
     queries = _items(t).join(own, "qid", "left")
     shared = lambda q, d: F.size(F.array_intersect(X.tokens(q), X.tokens(d)))
     about = _about(t).join(_docs(t), "id")
-    got = search.search(queries, index=search.build_index(_docs(t)), vectors=v, about=about, max_tokens=2000, scorer=shared)
+    got = search.search(queries, index=search.build_index(_docs(t), queries=_items(t)), vectors=v, about=about, max_tokens=2000, scorer=shared)
     return _shown(got, "rerank_score", F.coalesce("namespace", F.lit("")).alias("namespace"), "truncated")
 
 
@@ -99,7 +99,7 @@ SELECT * FROM o WHERE rank <= 10""")
 def expanded_search(t):
     words = F.split(F.replace("query", F.lit("\n"), F.lit(" ")), " ")
     asked = _items(t).select("qid", F.concat_ws(" ", words[0], words[1], F.lit("and"), words[2], words[3]).alias("query"))
-    index = search.build_index(_docs(t))
+    index = search.build_index(_docs(t), queries=asked)
     return search.merged_subqueries(asked, lambda q: search.bm25(q, index, search.CANDIDATES), 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -112,7 +112,7 @@ FROM sr JOIN use ON use.qid = sr.qid AND use.iterations = sr.iterations JOIN top
 def retrieve_loop(t):
     words = F.split(F.replace("query", F.lit("\n"), F.lit(" ")), " ")
     asked = _items(t).select("qid", F.concat(words[0], F.lit(" "), _cycle("qid", "deploy", "error", "and/or"), F.lit("?")).alias("query"))
-    index = search.build_index(_docs(t))
+    index = search.build_index(_docs(t), queries=asked.union(asked.select("qid", X.rewrite_query(F.col("query")).alias("query"))))
     got = search.retrieve(asked, lambda q: search.search(q, "keyword", index=index).select("qid", "id", "score", "rank"), 0.8)
     return got.select("qid", "iterations", "id", "rank", F.round("score", 6).alias("score"), F.round("top_score", 6).alias("top_score"), "low_confidence")
 
@@ -120,7 +120,7 @@ def retrieve_loop(t):
 @query(f"""WITH {_BM25}, l AS (SELECT qid, id, rank FROM rk WHERE rank <= 20 UNION ALL SELECT qid, id, 21 - rank FROM rk WHERE rank <= 20 AND id % 2 = 0 UNION ALL SELECT qid, id, id % 7 + 1 FROM rk WHERE rank <= 20)
 SELECT qid, id, round(sum(1 / (10.0 + rank)), 9) AS rrf FROM l GROUP BY qid, id""")
 def rrf_lists(t):
-    one = search.bm25(_items(t), search.build_index(_docs(t)), 20)
+    one = search.bm25(_items(t), search.build_index(_docs(t), queries=_items(t)), 20)
     lists = [one, one.where("id % 2 = 0").withColumn("rank", 21 - F.col("rank")), one.withColumn("rank", F.col("id") % 7 + 1)]
     return search.rrf(lists, 10).select("qid", "id", F.round("rrf", 9).alias("rrf"))
 
@@ -283,14 +283,14 @@ def token_savings(t):
     sizes = _about(t)
     whole = sizes.where("namespace = 'src1'").agg(F.sum("tokens").alias("tokens")).withColumn("one", F.lit(1))
     sources = _items(t).select("qid", F.lit(1).alias("one")).join(whole, "one").select("qid", "tokens")
-    got = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(sizes.select("id", "tokens"), "id")
+    got = search.bm25(_items(t), search.build_index(_docs(t), queries=_items(t)), 5).join(sizes.select("id", "tokens"), "id")
     return measure.token_savings(got, sources).withColumn("savings", F.round("savings", 6))
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT qid, max(1 - 1 / (1 + score)) AS best, sum(ceil(length(d.text) / 4.0)) AS t FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5 GROUP BY qid)
 SELECT count(*) AS n, round(avg(CASE WHEN coalesce(best, 0) < 0.98 THEN 1.0 ELSE 0.0 END), 6) AS low_confidence, round(avg(coalesce(t, 0)), 6) AS mean_tokens FROM benchmark LEFT JOIN r ON r.qid = item_id""")
 def search_confidence(t):
-    got = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(_about(t).select("id", "tokens"), "id").withColumn("score", X.saturation(F.col("score")))
+    got = search.bm25(_items(t), search.build_index(_docs(t), queries=_items(t)), 5).join(_about(t).select("id", "tokens"), "id").withColumn("score", X.saturation(F.col("score")))
     m = measure.confidence(got, _items(t), 0.98)
     return m.select("n", F.round("low_confidence", 6).alias("low_confidence"), F.round("mean_tokens", 6).alias("mean_tokens"))
 
@@ -298,7 +298,7 @@ def search_confidence(t):
 @query(f"""WITH {_BM25}, r AS (SELECT qid, rk.id, rank, source, text FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 5), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source <> 'src' || qid % 4, rank) AS place FROM r)
 SELECT item_id AS qid, coalesce(id, -1) AS id, CASE WHEN length(b.text) > 500 THEN left(b.text, 500) || '...' ELSE b.text END AS answer FROM benchmark LEFT JOIN b ON b.qid = item_id AND place = 1""")
 def plain_answers(t):
-    found = search.bm25(_items(t), search.build_index(_docs(t)), 5).join(t("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/x.md")).alias("file_path"), "text"), "id")
+    found = search.bm25(_items(t), search.build_index(_docs(t), queries=_items(t)), 5).join(t("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/x.md")).alias("file_path"), "text"), "id")
     expected = _items(t).select("qid", F.concat(F.lit("src"), (F.col("qid") % 4).cast("string"), F.lit("/")).alias("source"))
     return measure.plain_answers(found, expected).withColumn("id", F.coalesce("id", F.lit(-1)))
 

@@ -293,3 +293,18 @@ def test_dense_blocks_give_every_row_of_the_plain_join(spark, monkeypatch):
         assert [x[:3] for x in got] == [x[:3] for x in want] and all(math.isclose(a[3], b[3], abs_tol=1e-15) for a, b in zip(got, want))
     assert "BroadcastNestedLoop" not in (plan := search.dense(q, v, 6)._jdf.queryExecution().executedPlan().toString()) and "FlatMapCoGroups" in plan
     assert search.dense(q.limit(0), v, 6).count() == search.dense(q, v.limit(0), 6).count() == 0
+
+
+def test_an_index_for_few_queries_keeps_their_terms_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None), (4, ""), (4, "grey the"), (5, "blue fox"), (5, "blue fox"), (None, "red")], "id int, text string")
+    queries = spark.createDataFrame([(1, "red fox and green"), (2, "fox fox"), (3, "")], "qid int, query string")
+    whole, own = search.build_index(docs), search.build_index(docs, queries=queries)
+    assert {r.term for r in own.postings.collect()} == {"red", "fox"} and (own.n, own.avgdl) == (whole.n, whole.avgdl)
+    ranked = lambda i: sorted(map(tuple, search.bm25(queries, i, 0).collect()))
+    assert ranked(own) == ranked(whole) != []
+    own.release()
+    assert not own.kept.is_cached
+    monkeypatch.setattr(search, "SMALL_QUERIES", 1)
+    assert sorted(map(tuple, search.build_index(docs, queries=queries).postings.collect())) == sorted(map(tuple, whole.postings.collect()))
+    none = search.build_index(docs.limit(0), queries=queries)
+    assert (none.n, none.avgdl, none.postings.count()) == (0, 1.0, 0)
