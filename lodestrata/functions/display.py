@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
+WORDS = 64  # wrapped at once
+
 # Ranges of code points that take no cell (joiners, variation selectors, combining marks).
 NO_CELL = (
     (0x0300, 0x036F), (0x0483, 0x0489), (0x0591, 0x05BD), (0x0610, 0x061A), (0x064B, 0x065F), (0x0670, 0x06D6), (0x0E31, 0x0E3A), (0x0E47, 0x0E4E), (0x0EB1, 0x0EB9),
@@ -25,17 +29,23 @@ def character_class(ranges: tuple[tuple[int, int], ...]) -> str:
 def width(text: Column) -> Column:
     """Cells that a text takes: one a character, none or two of the ranges above; null takes none."""
     t = F.coalesce(text, F.lit(""))
-    return F.length(t) - F.regexp_count(t, F.lit(character_class(NO_CELL))) + F.regexp_count(t, F.lit(character_class(TWO_CELLS)))
+    rare = F.regexp_replace(t, r"[\x00-\x{2FF}]+", "")  # what is before all ranges takes one cell a character
+    more = let(rare, lambda r: F.regexp_count(r, F.lit(character_class(TWO_CELLS))) - F.regexp_count(r, F.lit(character_class(NO_CELL))))
+    return F.length(t) + F.when(F.octet_length(t) == F.length(t), 0).otherwise(more)
 
 
 def wrapped(text: Column, cells: int) -> Column:
     """A text's words in lines of at most so many cells, greedily; a wider word has a line of its own. Words are what spaces part."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != "")
+    words = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), lambda w: F.struct(w.alias("s"), width(w).alias("n")))
     line = lambda s, n: F.struct(s.alias("s"), n.cast("int").alias("n"))
 
     def put(acc: Column, word: Column) -> Column:
-        n = width(word)
+        s, n = word["s"], word["n"]
         fits = acc["n"] + 1 + n <= cells
-        return F.when(acc["n"] < 0, line(word, n)).when(fits, line(F.concat(acc["s"], F.lit(" "), word), acc["n"] + 1 + n)).otherwise(line(F.concat(acc["s"], F.lit("\n"), word), n))
+        return F.when(acc["n"] < 0, line(s, n)).when(fits, line(F.concat(acc["s"], F.lit(" "), s), acc["n"] + 1 + n)).otherwise(line(F.concat(acc["s"], F.lit("\n"), s), n))
 
-    return F.aggregate(words, line(F.lit(""), F.lit(-1)), put)["s"]
+    # some words at a time, so that a long text isn't copied for each of its words
+    last = lambda ws: F.greatest(F.floor((F.size(ws) - 1) / WORDS), F.lit(0)).cast("int")
+    parts = let(words, lambda ws: F.transform(F.sequence(F.lit(0), last(ws)), lambda i: F.slice(ws, i * WORDS + 1, F.lit(WORDS))))
+    more = lambda acc, ws: let(F.aggregate(ws, line(F.lit(""), acc["n"]), put), lambda part: line(F.concat(acc["s"], part["s"]), part["n"]))
+    return F.aggregate(parts, line(F.lit(""), F.lit(-1)), more)["s"]

@@ -122,3 +122,25 @@ def test_settings_equal_merging_one_by_one(spark):
             merge(whole, p)
         want |= {(i, path): v for path, v in leaves(whole)}
     assert found == want
+
+
+def test_long_texts_are_wrapped_in_proportion(spark):
+    import time
+
+    words = [("ab", "中", "", "ábc", "word", "éé")[i % 6] * (1 + i % 3) for i in range(400_000)]
+    cells = lambda w: sum(0 if c == "́" else 2 if c == "中" else 1 for c in w)
+    want, n = "", -1
+    lines = []
+    for w in filter(None, words):
+        if n >= 0 and n + 1 + cells(w) <= 30:
+            lines[-1].append(w)
+            n += 1 + cells(w)
+        else:
+            lines.append([w])
+            n = cells(w)
+    want = "\n".join(" ".join(x) for x in lines)
+    text = spark.createDataFrame([(" ".join(words),), (" ".join(["w"] * 64),), ("",), (None,)], "text string")
+    began = time.perf_counter()
+    got = [r.w for r in text.select(display.wrapped(F.col("text"), 30).alias("w")).collect()]
+    assert got[0] == want and got[1] == "\n".join([" ".join(["w"] * 15)] * 4 + ["w w w w"]) and got[2:] == ["", ""]
+    assert time.perf_counter() - began < 15
