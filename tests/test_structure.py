@@ -106,3 +106,16 @@ def test_tool_usage(spark):
     got = measure.tool_usage(spark.createDataFrame(rows, f"role string, name string, text string, tool_calls {call}"), 1.0, 2.0).orderBy("tool").collect()
     assert [(r.tool, r.calls, r.tokens_in, r.tokens_out) for r in got] == [("grep", 1, 5, 18), ("tree", 0, 0, 0)]
     assert got[0].cost == pytest.approx((got[0].tokens_in + 2 * got[0].tokens_out) / 1e6)
+
+
+def test_batches_of_pages_are_read_in_slices(spark):
+    import pyarrow as pa
+
+    from lodestrata.sources import markdown
+
+    pages = [f"<body><p>page {i}</p></body>" if i % 50 else None for i in range(150)]
+    want = [f"page {i}" if i % 50 else "" for i in range(150)]
+    slices = [s.to_pylist() for s in markdown.in_slices(iter([pa.array(pages), pa.array([], pa.string())]))]
+    assert max(map(len, slices)) == markdown.PAGES and sum(slices, []) == want
+    rows = spark.createDataFrame([*enumerate(pages)], "page_id int, html string").coalesce(1)
+    assert [r.markdown for r in markdown.markdown_column(rows).orderBy("page_id").collect()] == want
