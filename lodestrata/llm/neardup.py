@@ -16,10 +16,12 @@ than a shingle is one shingle; rows with a null id take no part (component null,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,8 @@ MANTISSA = 10
 ROWS = 4  # registers a band
 BANDS = REGISTERS // ROWS
 BLOCK = 512  # classes of one bucket that meet at a time
+PAIRS = 32_768  # compared at once
+PORTION = 1 << 18  # characters of texts that are hashed at once
 TURNS = 16  # rounds of hashing before a small set's buckets are drawn one by one
 MARGIN = 0.19  # below the threshold; a standard deviation of the estimate is 0.035 there
 
@@ -60,30 +64,78 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """REGISTERS compressed registers (uint16) of a non-empty set."""
-    bits = REGISTERS.bit_length() - 1
-    least = np.zeros(REGISTERS, np.uint64)
-    filled = np.zeros(REGISTERS, bool)
-    edges = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - bits)
+def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingle_set() of many texts, one after the other, and where each begins, with the end."""
+    import xxhash
+
+    words = [words_of(t) for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    acc, n = h.copy(), np.maximum(counts - size + 1, 0)
+    with np.errstate(over="ignore"):
+        for k in range(1, min(size, len(h))):
+            acc[:-k] = mix64(acc[:-k] * _K ^ h[k:])
+    whole = np.flatnonzero((counts > 0) & (n == 0))  # the whole sequence as one
+    for i in whole:
+        acc[begins[i]] = shingle_set(texts[i], size)[0]
+    n[whole] = 1
+    owner = np.repeat(np.arange(len(n)), n)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    acc = acc[np.arange(len(owner)) + np.repeat(begins[:-1] - offsets[:-1], n)]
+    for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+        acc[lo:hi].sort()
+    new = np.ones(len(acc), bool)
+    new[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
+    return acc[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(n)))])
+
+
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """REGISTERS compressed registers (uint16) of each of many sets, as shingle_sets() gives them; those of an empty set mean nothing."""
+    bits, n = REGISTERS.bit_length() - 1, np.diff(offsets)
+    least, filled = np.zeros((len(n), REGISTERS), np.uint64), np.zeros((len(n), REGISTERS), bool)
+    left, owner = hashes, np.repeat(np.arange(len(n)), n)
     with np.errstate(over="ignore"):
         for turn in range(TURNS):
-            h = np.sort(mix64(hashes + np.uint64(turn) * _K))
-            at = np.searchsorted(h, edges)
-            new = (np.append(at[1:], len(h)) > at) & ~filled
-            least[new] = h[at[new]] << np.uint64(bits)
+            h = mix64(left + np.uint64(turn) * _K)
+            at = owner * REGISTERS + (h >> np.uint64(64 - bits)).astype(np.int64)
+            low, new = np.full(least.size, ~np.uint64(0)), np.zeros(least.size, bool)
+            np.minimum.at(low, at, h)
+            new[at] = True
+            new = new.reshape(filled.shape) & ~filled
+            least[new] = low.reshape(filled.shape)[new] << np.uint64(bits)
             filled |= new
-            if filled.all():
+            more = ~filled.all(1)[owner]
+            left, owner = left[more], owner[more]
+            if not len(left):
                 break
-        else:  # a small set: every bucket left takes a minimum of its own, over all hashes
-            left = np.flatnonzero(~filled)
-            own = mix64(hashes[:, None] + (left + TURNS).astype(np.uint64) * _K)
-            least[left] = own.min(axis=0) << np.uint64(bits)
+        for i in np.unique(owner):  # a small set: every bucket left takes a minimum of its own, over all hashes
+            empty = np.flatnonzero(~filled[i])
+            own = mix64(hashes[offsets[i] : offsets[i + 1], None] + (empty + TURNS).astype(np.uint64) * _K)
+            least[i, empty] = own.min(axis=0) << np.uint64(bits)
     zeros = np.where(least == 0, 63, 63 - np.floor(np.log2(np.maximum(least, np.uint64(1)).astype(np.float64))).astype(np.int64)).clip(0, 62).astype(np.uint64)
     mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     return (zeros << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """REGISTERS compressed registers (uint16) of a non-empty set."""
+    return sketches(hashes, np.array([0, len(hashes)]))[0]
+
+
+def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts in order, so many at a time that their words fit a core's cache."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        size += len(some[-1] or "")
+        if size >= PORTION or len(some) >= PORTION >> 8:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def estimate(equal: np.ndarray | int) -> np.ndarray | float:
     """Jaccard similarity from the number of equal registers, less what chance collisions of compressed registers add."""
     chance = 2.0**-MANTISSA / 3  # two independent minima share their leading zeros with chance 1/3, and then their mantissa
@@ -93,21 +145,20 @@ def estimate(equal: np.ndarray | int) -> np.ndarray | float:
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, regs = [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), size)
-                n.append(len(s))
-                if len(s):
-                    with np.errstate(over="ignore"):
-                        prints.append((int(mix64(s).sum(dtype=np.uint64).astype(np.int64)), int(mix64(s ^ _K).sum(dtype=np.uint64).astype(np.int64))))
-                    regs.append(sketch(s).tobytes())
-                else:
-                    prints.append((None, None))
-                    regs.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "regs"],
-            )
+            at = 0
+            for texts in _portions(batch.column("text")):
+                sets, offsets = shingle_sets(texts, size)
+                n = np.diff(offsets)
+                with np.errstate(over="ignore"):
+                    ends = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(x), dtype=np.uint64)])[offsets] for x in (sets, sets ^ _K)]
+                    f1, f2 = ((e[1:] - e[:-1]).view(np.int64) for e in ends)
+                none = n == 0
+                regs = [None if e else r.tobytes() for e, r in zip(none, sketches(sets, offsets), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(f1, pa.int64(), mask=none), pa.array(f2, pa.int64(), mask=none), pa.array(regs, pa.binary())],
+                    names=["doc_id", "n_shingles", "f1", "f2", "regs"],
+                )
+                at += len(texts)
         trim()
 
     return run
@@ -154,15 +205,15 @@ def _sets_of(plain: DataFrame, wanted: DataFrame, size: int, short: bool) -> Dat
         for batch in batches:
             s = batch.column("slot").to_numpy()
             at = np.flatnonzero(shared.value[s >> 6] >> (s & 63) & 1)
-            part = batch.take(pa.array(at))
-            sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
-            if short:
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_short(x) for x in sets], pa.binary())], names=["rep", "short"])
-                continue
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(x) for x in sets], out=offsets[1:])
-            values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rep", "shingles"])
+            part, at = batch.take(pa.array(at)), 0
+            for texts in _portions(part.column("text")):
+                sets, offsets = shingle_sets(texts, size)
+                if short:
+                    column = pa.array([_short(sets[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("rep").slice(at, len(texts)), column], names=["rep", "short" if short else "shingles"])
+                at += len(texts)
         trim()
 
     known = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), slot("doc_id").alias("slot"), "text")
@@ -223,42 +274,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(percent: int):
-    """In one pair of blocks of one bucket: pairs of different components that may be links by their short sets, which miss none.
+    """Of rows sorted by bucket, pair of blocks and side: pairs of different components that may be links by their short sets, which miss none.
 
-    A pair is looked at in the first band that it shares only, so once in all buckets.
+    Most open buckets hold a few classes, so all that a batch holds meet in the same array operations. A pair of blocks is at most some
+    2 * BLOCK rows; the last of a batch waits for the next. A pair is looked at in the first band that it shares only, so once in all buckets.
     """
     least = percent / 100 - MARGIN
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        left, right = (group[group.side == s].reset_index(drop=True) for s in (0, 1))
-        if not len(right):
-            right = left
-        place = int(group.place.iloc[0])
-        x, y = (np.frombuffer(b"".join(g.regs), np.uint16).reshape(len(g), -1) for g in (left, right))
-        parts, reps, sets = right.component.to_numpy(), right.rep.to_numpy(), [_long(b) for b in right.short]
-        sizes = np.array([len(b) for b in sets])
-        found = []
-        for s in range(len(left)):
-            own = _long(left.short[s])
-            near = (parts != left.component[s]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-            if right is left:
-                near[: s + 1] = False
-            at = np.flatnonzero(near)
-            equal = x[s] == y[at]
-            ok = estimate(equal.sum(1)) >= least
-            at, equal = at[ok], equal[ok]
-            at = at[equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == place]
-            if len(at):
-                other = np.concatenate([sets[i] for i in at])
+    keys = ["band", "x", "y"]
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        column = {c: rows[c].to_numpy() for c in (*keys, "side", "place", "rep", "component")}
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(rows.num_rows, REGISTERS)
+        short = rows["short"].combine_chunks()
+        sizes = pc.binary_length(short).to_numpy() // 3
+        begins = _begins([column[c] for c in keys])
+        ends = np.append(begins[1:], rows.num_rows)
+        m = ends - begins
+        second = ends - np.add.reduceat(column["side"], begins)  # where a group's rows of the other block begin
+        one = (column["x"] == column["y"])[begins]
+        place = np.arange(rows.num_rows)
+        lo = np.where(np.repeat(one, m), place + 1, np.repeat(second, m))
+        n = np.where(np.repeat(one, m) | (column["side"] == 0), np.repeat(ends, m) - lo, 0)
+        before = np.concatenate([[0], np.cumsum(n)])
+        found, at, decoded = [], 0, {}
+        full = lambda i: decoded[i] if i in decoded else decoded.setdefault(i, _long(short[i].as_py()))
+        while at < rows.num_rows:
+            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
+            left = np.repeat(place[at:to], n[at:to])
+            right = np.arange(len(left)) - np.repeat(before[at:to] - before[at], n[at:to]) + np.repeat(lo[at:to], n[at:to])
+            at = to
+            a, b = sizes[left], sizes[right]
+            some = np.flatnonzero((column["component"][left] != column["component"][right]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
+            left, right = left[some], right[some]
+            equal = regs[left] == regs[right]
+            some = np.flatnonzero(estimate(equal.view(np.uint8).sum(1, dtype=np.uint8)) >= least)
+            left, right, equal = left[some], right[some], equal[some]
+            some = np.flatnonzero(equal.reshape(len(some), BANDS, ROWS).all(2).argmax(1) == column["place"][left])
+            left, right = left[some], right[some]
+            bounds = np.append(_begins([left]), len(left))
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                own, others = full(left[s]), right[s:e]
+                other = np.concatenate([full(i) for i in others])
                 hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-                meet = np.minimum(np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]])), len(own))
-                found += [(left.rep[s], reps[i]) for i in at[100 * meet >= percent * (len(own) + sizes[at] - meet)]]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}).astype("int64")
+                shared = np.minimum(np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]])), len(own))
+                others = others[100 * shared >= percent * (len(own) + sizes[others] - shared)]
+                found.append(np.stack([np.full(len(others), column["rep"][left[s]]), column["rep"][others]], 1))
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            last = int(_begins([rows[c].to_numpy() for c in keys])[-1])
+            rest = rows.slice(last)
+            if last:
+                yield meet(rows.slice(0, last))
+        if rest is not None:
+            yield meet(rest)
+        trim()
 
     return run
 
 
+def _begins(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
 def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Components of documents under 100 * intersection >= percent * union of their sets of size-word shingles.
 
@@ -289,7 +377,7 @@ def link_documents(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[D
     sets = keep(_sets_of(plain, wanted, size, True).join(reps.select("rep", "regs"), "rep"), "sets")
     members = members.join(sets, "rep").select("band", "place", "rep", "component", "regs", "short", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("band", "place", "rep", "component", "regs", "short", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = members.groupBy("band", "x", "y").applyInPandas(_across(percent), "a long, b long").distinct()
+    more = members.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "side").mapInArrow(_across(percent), "a long, b long").distinct()
     late = _verified(keep(more, "more"), reps, plain, size, percent)
     if not late.isEmpty():
         again = components(links.unionByName(late))

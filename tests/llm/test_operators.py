@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import base, linededup, lm, mixing, neardup, packing, pii, quality, rules, topk, toxicity
@@ -218,6 +220,42 @@ def test_sketch_estimates():
     assert (neardup.sketch(a) == neardup.sketch(a)).all()
 
 
+def test_sketches_of_many_texts_equal_those_of_one():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)) for n in [0, 1, 2, 3, 4, 700, *(r.randint(0, 90) for _ in range(60))]] + [None, "  "]
+    for size in (1, 2, 5):
+        for some in (texts, texts[:4], [None]):
+            sets, at = neardup.shingle_sets(some, size)
+            many = neardup.sketches(sets, at)
+            for i, t in enumerate(some):
+                own = neardup.shingle_set(t, size)
+                assert (sets[at[i] : at[i + 1]] == own).all() and at[i + 1] - at[i] == len(own) and (not len(own) or (many[i] == neardup.sketch(own)).all())
+
+
+def test_open_buckets_of_few_meet_together():
+    """5,000 buckets of two or three and one of two blocks, cut into batches anywhere: as every pair by itself, in one result for each batch."""
+    rng = np.random.default_rng(4)
+    kinds = [rng.integers(0, 2**63, 60).astype(np.uint64) for _ in range(8)]
+    some = [np.unique(np.concatenate([kinds[i % 8][: rng.integers(52, 61)], rng.integers(0, 2**63, 4).astype(np.uint64)])) for i in range(200)]
+    regs, short = [neardup.sketch(x) for x in some], [neardup._short(x) for x in some]
+    groups = [(band, 0, 0, [(int(i), 0) for i in rng.choice(200, rng.integers(2, 4), replace=False)]) for band in range(5000)]
+    groups += [(5000, 0, 1, [(i, int(i >= 40)) for i in range(80)]), (5001, 1, 2, [(3, 0), (11, 0)])]  # the last one's other block is empty
+    rows, want = [], set()
+    for band, x, y, members in groups:
+        pairs = [(i, j) for (i, s), (j, t) in itertools.combinations(members, 2) if x == y or s != t]
+        first = {p: next((k for k in range(neardup.BANDS) if (regs[p[0]].reshape(-1, neardup.ROWS)[k] == regs[p[1]].reshape(-1, neardup.ROWS)[k]).all()), 0) for p in pairs}
+        place = min(first.values(), default=0)
+        rows += [(band, x, y, s, place, i, i % 5, regs[i].tobytes(), short[i]) for i, s in members]
+        alike = lambda i, j: 100 * len(np.intersect1d(some[i], some[j])) >= 80 * len(np.union1d(some[i], some[j]))
+        want |= {(min(p), max(p)) for p in pairs if p[0] % 5 != p[1] % 5 and first[p] == place and alike(*p)}
+    names = ["band", "x", "y", "side", "place", "rep", "component", "regs", "short"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    batches = table.to_batches(max_chunksize=997)
+    out = list(neardup._across(80)(iter(batches)))
+    assert len(out) <= len(batches) + 1 and len(want) > 100
+    assert {(a, b) for batch in out for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)} == want
+
+
 def auc_rows(got, labels, column):
     m = got.merge(labels.toPandas(), on="doc_id")
     return m[m.held_out], column
