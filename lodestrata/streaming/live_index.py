@@ -11,7 +11,9 @@ epoch left behind is overwritten by the next. Content that didn't change writes
     root/gone/epoch=E             id
     root/versions/000000012.json
 
-Postings are dealt by a hash of their term and sorted in their files: the terms of few queries reach the scan as folders and as a filter.
+Postings are dealt by a hash of their term and sorted in their files: the terms of few queries reach the scan as folders and as a filter. They are never
+shuffled: a task writes the postings of the documents that it reads, a sorted file a bucket, and compaction those of the files that it reads, so a bucket has
+at most as many files as there were tasks.
 
 Defined cases: rows without an id are skipped; a null text is empty and counts as a document; of rows that repeat an id in one batch the one with the
 largest hash stands; an id both changed and removed in one batch is removed; removing an unknown id does nothing; a batch number that has
@@ -33,6 +35,8 @@ from ..sources import files
 
 #: Queries of at most so many distinct terms together reach the scan as a filter; more meet the index by a join.
 PUSHED_TERMS = 2000
+#: Bytes of texts, of documents' or of postings' files that a task takes: their postings, some 80 bytes each to sort, fit its memory.
+TEXTS, FILES = 32 << 20, 16 << 20
 #: Tombstones of at most so many rows are broadcast; more are joined by a shuffle.
 SMALL_GONE = 1_000_000
 
@@ -72,6 +76,13 @@ class LiveIndex:
         taken = [n for n in files.names(self.spark, f"{self.root}/versions") if n.endswith(".json")]
         return max([0, *(int(n.removesuffix(".json")) for n in taken)]) + 1
 
+    def _narrow(self) -> LiveIndex:
+        """The same index in a session of its own, whose tasks read FILES bytes at most."""
+        spark = self.spark.newSession()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", FILES)
+        spark.conf.set("spark.sql.files.openCostInBytes", FILES >> 8)
+        return LiveIndex(spark, self.root, self.buckets, self.stopwords)
+
     def _table(self, name: str, epochs: list[int], schema: str) -> DataFrame:
         if not epochs:
             return self.spark.createDataFrame([], schema)
@@ -100,24 +111,42 @@ class LiveIndex:
         ts = docs.withColumn("ts", X.tokens(F.col("text"), self.stopwords)).drop("text")
         return ts.withColumns({"dl": F.size("ts"), "terms": counted(F.col("ts"))}).drop("ts")
 
+    def _write_documents(self, number: int, analysed: DataFrame) -> tuple[DataFrame, int, int]:
+        """An epoch's documents (id, hash, dl, terms, part), as written, how many there are, and their tokens."""
+        kind, at = dict(analysed.dtypes)["id"], f"{self.root}/docs/epoch={number}"
+        analysed.select("id", "hash", "dl", "terms", "part").write.mode("overwrite").partitionBy("part").parquet(at)
+        docs = self.spark.read.schema(f"id {kind}, hash string, dl int, terms array<struct<term: string, tf: bigint>>, part int").parquet(at)
+        return docs, *docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+
+    def _write_postings(self, number: int, postings: DataFrame) -> None:
+        """An epoch's postings (term, id, tf, dl, bucket): every task sorts and writes its own."""
+        rows = postings.select("term", "id", "tf", "dl", "bucket").sortWithinPartitions("bucket", "term", "id")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/epoch={number}")
+
+    def _write_terms(self, version: Version, number: int, changes: DataFrame) -> None:
+        """An epoch's document frequencies, from signed changes (term, d)."""
+        deltas = changes.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0").withColumn("bucket", self._part(F.col("term"), version))
+        deltas.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/terms/epoch={number}")
+
     def _write(self, version: Version, number: int, analysed: DataFrame, gone: DataFrame | None) -> tuple[int, int, int, int]:
         """An epoch's tables of documents (id, hash, dl, terms, part); gone has the rows of documents() that end. Returns how many documents and tokens came and went."""
-        at = lambda name: f"{self.root}/{name}/epoch={number}"
-        kind = dict(analysed.dtypes)["id"]
-        analysed.select("id", "hash", "dl", "terms", "part").write.mode("overwrite").partitionBy("part").parquet(at("docs"))
-        docs = self.spark.read.schema(f"id {kind}, hash string, dl int, terms array<struct<term: string, tf: bigint>>, part int").parquet(at("docs"))
-        dealt = docs.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl").withColumn("bucket", self._part(F.col("term"), version))
-        dealt.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-        came = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        docs, came, tokens = self._write_documents(number, analysed)
+        narrow = self._narrow().spark.read.schema(docs.schema).parquet(f"{self.root}/docs/epoch={number}")
+        dealt = narrow.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl")
+        self._write_postings(number, dealt.withColumn("bucket", self._part(F.col("term"), version)))
         changes = docs.select(F.explode("terms.term").alias("term"), F.lit(1).alias("d"))
         went = (0, 0)
         if gone is not None:
-            gone.select("id").write.mode("overwrite").parquet(at("gone"))
+            gone.select("id").write.mode("overwrite").parquet(f"{self.root}/gone/epoch={number}")
             changes = changes.unionByName(gone.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("d")))
             went = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        deltas = changes.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0").withColumn("bucket", self._part(F.col("term"), version))
-        deltas.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-        return came[0], came[1], went[0], went[1]
+        self._write_terms(version, number, changes)
+        return came, tokens, went[0], went[1]
+
+    def _tasks(self, texts: DataFrame) -> int:
+        """How many tasks texts are dealt to: one for TEXTS bytes, or for a core's share if that is less."""
+        size, cores = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, self.spark.sparkContext.defaultParallelism
+        return max(1, -(-size // min(TEXTS, max(TEXTS >> 5, size // cores))))
 
     def apply(self, changes: DataFrame, removed: DataFrame | None = None, batch: int | None = None) -> Version:
         """Index new and changed documents (id, text) and end removed ones (id). A batch number makes a repeated call do nothing."""
@@ -135,10 +164,9 @@ class LiveIndex:
         every = known[0]
         for more in known[1:]:
             every = every.unionByName(more, allowMissingColumns=True)
-        # texts are shuffled once, to the folder that they will lie in; the changes of ids are found without them
-        placed = every.withColumns({"part": self._part(F.col("id"), version), "sub": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))}).repartition("part", "sub").groupBy("part", "sub", "id")
-        met = placed.agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("hash", "text"))).alias("d"), F.max("was").alias("was"), F.max("ended").alias("ended"))
-        new = met.where("d IS NOT NULL AND NOT coalesce(ended, false) AND NOT d.hash <=> was").select("id", "d.hash", "d.text", "part")
+        # texts are shuffled once, to the task that writes their postings; the changes of ids are found without them
+        met = every.repartition(self._tasks(came), "id").groupBy("id").agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("hash", "text"))).alias("d"), F.max("was").alias("was"), F.max("ended").alias("ended"))
+        new = met.where("d IS NOT NULL AND NOT coalesce(ended, false) AND NOT d.hash <=> was").select("id", "d.hash", "d.text", self._part(F.col("id"), version).alias("part"))
         gone = ids = None
         if version.epochs:
             states = every.groupBy("id").agg(F.max("hash").alias("hash"), F.max("was").alias("was"), F.max("ended").alias("ended"))
@@ -190,8 +218,11 @@ class LiveIndex:
         version = self.version()
         if not version.epochs:
             return version
-        number = self._next()
-        came, tokens, _, _ = self._write(version, number, self.documents(version), None)
+        number, narrow = self._next(), self._narrow()
+        _, came, tokens = self._write_documents(number, narrow.documents(version))
+        postings = narrow._table("postings", version.epochs, f"term string, id {version.kind}, tf long, dl int, epoch int, bucket int")
+        narrow._write_postings(number, narrow._alive(postings, version, version.kind))
+        self._write_terms(version, number, self._table("terms", version.epochs, "term string, df long, epoch int, bucket int").select("term", F.col("df").alias("d")))
         return self._commit(replace(version, number=number, epochs=[number], ended=[], n_gone=0, n=came, total=tokens))
 
     def vacuum(self) -> None:

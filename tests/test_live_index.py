@@ -146,3 +146,28 @@ def test_an_epoch_shuffles_texts_once_and_counts_terms_in_their_rows(spark, tmp_
     got = index._analysed(docs)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.id: (r.dl, [tuple(t) for t in r.terms]) for r in got.collect()} == {"a": (6, [("aa", 2), ("bb", 3), ("cc", 1)]), "e": (0, []), "s": (0, [])}
+
+
+def test_postings_are_written_where_documents_are_read(spark, tmp_path, monkeypatch):
+    """No shuffle of postings in epochs or compaction, files sorted by term, texts dealt by their bytes."""
+    import pyarrow.parquet as pq
+
+    plans, write = [], live_index.LiveIndex._write_postings
+    monkeypatch.setattr(live_index.LiveIndex, "_write_postings", lambda self, number, postings: plans.append(postings._jdf.queryExecution().executedPlan().toString()) or write(self, number, postings))
+    monkeypatch.setattr(live_index, "FILES", 1 << 12)
+    index = live_index.LiveIndex(spark, str(tmp_path), buckets=3)
+    docs = spark.createDataFrame([(f"d{i}", f"term{i % 5} common word{i}") for i in range(300)], DOC)
+    index.apply(docs)
+    index.apply(docs.where("id < 'd2'").withColumn("text", F.concat("text", F.lit(" more"))), docs.where("id > 'd9'").select("id"))
+    before = rows_of(index.index())
+    index.compact()
+    index.vacuum()
+    assert rows_of(index.index()) == before and [p.count("Exchange hashpartitioning") for p in plans] == [0, 0, 1]  # compaction's is that of tombstones
+    found = sorted(tmp_path.glob("postings/epoch=*/bucket=*/*.parquet"))
+    assert {f.parent.name for f in found} == {"bucket=0", "bucket=1", "bucket=2"} and len(found) > 3  # of several tasks
+    for f in found:
+        rows = pq.ParquetFile(f).read(columns=["term", "id"]).to_pylist()
+        assert rows == sorted(rows, key=lambda r: (r["term"], r["id"]))
+    texts = lambda n, size: spark.range(n).select(F.repeat(F.lit("x"), F.lit(size)).alias("text"))
+    monkeypatch.setattr(live_index, "TEXTS", 1 << 15)
+    assert [index._tasks(texts(n, 1000)) for n in (0, 1, 4000, 8000)] == [1, 1, 123, 245]
