@@ -17,6 +17,8 @@ from .nearest import nearest
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 50
 #: Queries of at most so many characters together are broadcast; more are joined by a shuffle.
 SMALL_QUERIES = 16_000_000
+#: Bytes of texts that a task of an index takes: the scores of its texts for all queries are summed in its memory.
+TEXTS = 8 << 20
 
 
 @dataclass
@@ -49,15 +51,21 @@ class Index:
             return None
 
 
+def tasks(texts: DataFrame, most: int) -> int:
+    """How many tasks texts are dealt to: one for most bytes, or for a core's share if that is less."""
+    size, cores = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, texts.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // min(most, max(most >> 5, size // cores))))
+
+
 def build_index(docs: DataFrame, stopwords: bool = True, queries: DataFrame | None = None) -> Index:
     """docs: (id, text). Null ids are skipped, null texts are empty; empty documents count in n and the mean length.
 
     Texts are read once: the postings stay in the executors' memory and disks until release(), and lost parts are computed anew.
-    Texts are what is shuffled, by id: they are smaller than their postings, which then need no exchange, and a table of few
-    row groups still feeds every core. With queries (qid, query) few enough to broadcast, only their terms' postings are kept.
+    Texts are what is shuffled, by id: they are smaller than their postings, which then need no exchange, nor do a text's scores; a
+    table of few row groups still feeds every core, and a task's share is bounded by TEXTS, whatever the session's number of shuffle partitions. With queries (qid, query) few enough to broadcast, only their terms' postings are kept.
     """
     known = docs.where(F.col("id").isNotNull())
-    spread = known.select("id", "text").repartition("id").select("id", X.tokens(F.col("text"), stopwords).alias("ts"))
+    spread = known.select("id", "text").repartition(tasks(known, TEXTS), "id").select("id", X.tokens(F.col("text"), stopwords).alias("ts"))
     count = lambda rows: rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
     kept = None
     if queries is not None and few(queries, F.length("query")):

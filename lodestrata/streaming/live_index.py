@@ -143,11 +143,6 @@ class LiveIndex:
         self._write_terms(version, number, changes)
         return came, tokens, went[0], went[1]
 
-    def _tasks(self, texts: DataFrame) -> int:
-        """How many tasks texts are dealt to: one for TEXTS bytes, or for a core's share if that is less."""
-        size, cores = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, self.spark.sparkContext.defaultParallelism
-        return max(1, -(-size // min(TEXTS, max(TEXTS >> 5, size // cores))))
-
     def apply(self, changes: DataFrame, removed: DataFrame | None = None, batch: int | None = None) -> Version:
         """Index new and changed documents (id, text) and end removed ones (id). A batch number makes a repeated call do nothing."""
         version = self.version()
@@ -165,7 +160,7 @@ class LiveIndex:
         for more in known[1:]:
             every = every.unionByName(more, allowMissingColumns=True)
         # texts are shuffled once, to the task that writes their postings; the changes of ids are found without them
-        met = every.repartition(self._tasks(came), "id").groupBy("id").agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("hash", "text"))).alias("d"), F.max("was").alias("was"), F.max("ended").alias("ended"))
+        met = every.repartition(search.tasks(came, TEXTS), "id").groupBy("id").agg(F.max(F.when(F.col("hash").isNotNull(), F.struct("hash", "text"))).alias("d"), F.max("was").alias("was"), F.max("ended").alias("ended"))
         new = met.where("d IS NOT NULL AND NOT coalesce(ended, false) AND NOT d.hash <=> was").select("id", "d.hash", "d.text", self._part(F.col("id"), version).alias("part"))
         gone = ids = None
         if version.epochs:

@@ -169,5 +169,4 @@ def test_postings_are_written_where_documents_are_read(spark, tmp_path, monkeypa
         rows = pq.ParquetFile(f).read(columns=["term", "id"]).to_pylist()
         assert rows == sorted(rows, key=lambda r: (r["term"], r["id"]))
     texts = lambda n, size: spark.range(n).select(F.repeat(F.lit("x"), F.lit(size)).alias("text"))
-    monkeypatch.setattr(live_index, "TEXTS", 1 << 15)
-    assert [index._tasks(texts(n, 1000)) for n in (0, 1, 4000, 8000)] == [1, 1, 123, 245]
+    assert [search.tasks(texts(n, 1000), 1 << 15) for n in (0, 1, 4000, 8000)] == [1, 1, 123, 245]

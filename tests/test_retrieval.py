@@ -308,3 +308,17 @@ def test_an_index_for_few_queries_keeps_their_terms_alone(spark, monkeypatch):
     assert sorted(map(tuple, search.build_index(docs, queries=queries).postings.collect())) == sorted(map(tuple, whole.postings.collect()))
     none = search.build_index(docs.limit(0), queries=queries)
     assert (none.n, none.avgdl, none.postings.count()) == (0, 1.0, 0)
+
+
+def test_an_index_of_more_text_has_more_parts(spark, monkeypatch):
+    """Whatever the session's number of shuffle partitions; results don't depend on it."""
+    docs = spark.range(400).select("id", F.concat(F.lit("red fox "), F.repeat(F.lit("filler "), F.lit(20)), F.lit("word"), F.col("id") % 7).alias("text"))
+    queries = spark.createDataFrame([(1, "red word3"), (2, "fox")], "qid int, query string")
+    found = []
+    for most in (1 << 20, 1 << 12):
+        monkeypatch.setattr(search, "TEXTS", most)
+        index = search.build_index(docs, queries=queries)
+        got = sorted((r.qid, r.rank, r.id, round(r.score, 9)) for r in search.bm25(queries, index, 20).collect())
+        found.append((index.postings.rdd.getNumPartitions(), got))
+        index.release()
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 40 and found[0][0] <= 4 and found[1][0] >= 400 * 150 // (1 << 12)
